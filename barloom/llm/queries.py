@@ -8,8 +8,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe
-from barloom.llm._common import table
+from barloom.llm import attribution, bpe, langid, tiff, toxicity
+from barloom.llm._common import fold, table
+
+
+def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs.filter(fold("doc_id", 3) != 1), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = tiff.store_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return tiff.read_pages(stored.withColumn("file", F.col("media")), "file", ("doc_id", "n_bytes", "media")).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("samples", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op3_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return attribution.attribute(docs, path, public_tokenizers.PATTERN, attribution.line_sections(), "largest")
+
+
+def op4_marginal_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    pieces = langid.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    model = langid.fit(docs.filter(fold("doc_id", 5) != 0), pieces)
+    return langid.predict(docs, pieces, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
 def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +59,10 @@ def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nnpu_toxicity": op1_nnpu_toxicity,
+    "op2_tiff_pages": op2_tiff_pages,
+    "op3_offset_attribution": op3_offset_attribution,
+    "op4_marginal_unigrams": op4_marginal_unigrams,
     "op7_bpe_transducer": op7_bpe_transducer,
 }
 ORACLES: dict[str, str] = {}
