@@ -2,7 +2,7 @@
 
 Confirmed toxic texts are the positives, texts nobody labelled are the unlabelled set, and the share of toxic
 rows among the labelled ones is the class prior. ``MEMBERS`` linear classifiers are trained in numpy, each in
-its own task on a bounded sample of the positives and its own part of one of the unlabelled texts, with the non-negative risk estimator (the corrected negative
+its own task on its own bounded draw of both sets, with the non-negative risk estimator (the corrected negative
 risk may not fall below zero). A text's score is the mean of the members' probabilities over all its words.
 
 Defined results: a null or empty text, or one without letters, gets the score of the bias alone; repeated rows
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from barloom.llm._common import ship
 
-#: Bounds of the training sample: confirmed positives, and unlabelled texts (expected sizes, drawn by hash of the id).
+#: Bounds of a member's training sample: confirmed positives, and unlabelled texts (expected sizes, drawn by hash of the id).
 POSITIVES = 4_000
-UNLABELLED = 16_000
+UNLABELLED = 8_000
 MEMBERS = 2
 #: Words that a member weighs, chosen by how far their share in the positives exceeds chance.
 FEATURES = 1_024
@@ -99,20 +99,19 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     if not n_p or not n_u:
         return {}, []
     prior = min(max(n_p / n_known, 1e-3), 0.9)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    sample = ids.filter(((F.col("kind") == 1) & (draw < positives / n_p)) | ((F.col("kind") == 0) & (draw < unlabelled / n_u)))
-    sample = F.broadcast(sample.select("doc_id", "kind"))  # at most about positives + unlabelled ids
+    draw = lambda m: F.pmod(F.xxhash64("doc_id", F.lit(m)), F.lit(1 << 30)) / float(1 << 30)
+    share = F.when(F.col("kind") == 1, positives / n_p).when(F.col("kind") == 0, unlabelled / n_u).otherwise(0.0)
+    takes = F.array(*[F.when(draw(m) < share, m) for m in range(members)])
+    sample = ids.withColumn("member", F.explode(F.array_compact(takes)))
+    sample = F.broadcast(sample.select("doc_id", "kind", "member"))  # about members * (positives + unlabelled) rows at most
 
     def member(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [(k, words_in(t)) for k, t in zip(pdf.kind, pdf.text)]
         words, weights, bias = fit_member([s for k, s in sets if k == 1], [s for k, s in sets if k == 0], prior)
         return pd.DataFrame({"member": int(pdf.member.iloc[0]), "word": [None, *words], "weight": [bias, *map(float, weights)]})
 
-    own = F.array(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(members)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(members - 1))
     rows = (
         docs.select("doc_id", "text").join(sample, "doc_id")
-        .withColumn("member", F.explode(F.when(F.col("kind") == 1, every).otherwise(own)))
         .groupBy("member").applyInPandas(member, "member int, word string, weight double")
         .collect()
     )
