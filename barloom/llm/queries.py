@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import attribution, bpe, decontam, jaccard, langid, tiff, toxicity
+from barloom.llm import attribution, bpe, decontam, jaccard, langid, pii, tiff, toxicity
 from barloom.llm._common import fold, table
 
 
@@ -51,6 +51,15 @@ def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.examine(table(spark, sf_dir, "documents", "doc_id", "text"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[n(k) for k in pii.BASE], F.sha2(joined(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
+
+
 def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -75,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_offset_attribution": op3_offset_attribution,
     "op4_marginal_unigrams": op4_marginal_unigrams,
     "op5_jaccard_components": op5_jaccard_components,
+    "op6_weak_supervision": op6_weak_supervision,
     "op7_bpe_transducer": op7_bpe_transducer,
     "op8_winnowing": op8_winnowing,
 }
