@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import attribution, bpe, decontam, jaccard, langid, pii, tiff, toxicity
+from barloom.llm import attribution, bpe, decontam, jaccard, langid, lm, pii, tiff, toxicity
 from barloom.llm._common import fold, table
 
 
@@ -78,6 +78,10 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents", "doc_id", "text"), fold("doc_id", 10) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op2_tiff_pages": op2_tiff_pages,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_weak_supervision": op6_weak_supervision,
     "op7_bpe_transducer": op7_bpe_transducer,
     "op8_winnowing": op8_winnowing,
+    "op9_bloom_lm": op9_bloom_lm,
 }
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
