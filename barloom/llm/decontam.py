@@ -124,3 +124,9 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose text holds no window of an item."""
+    hit = matches(docs.select("text"), items).select("text_key").distinct()
+    return docs.join(hit, F.xxhash64(docs["text"]) == hit["text_key"], "left_anti")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import attribution, bpe, decontam, jaccard, langid, lm, pii, tiff, toxicity
+from barloom.llm import attribution, bpe, decontam, jaccard, langid, licenses, lm, pii, tiff, toxicity
 from barloom.llm._common import fold, table
 
 
@@ -82,6 +82,12 @@ def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents", "doc_id", "text"), fold("doc_id", 10) == 0)
 
 
+def op10_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
+    shown = F.transform("hits", lambda h: F.concat_ws(":", h["line"], h["family"], F.format_number(h["overlap"], 3)))
+    return found.select("doc_id", "n_hits", F.array_join("families", ",").alias("families"), F.array_join(shown, ",").alias("hits"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op2_tiff_pages": op2_tiff_pages,
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe_transducer": op7_bpe_transducer,
     "op8_winnowing": op8_winnowing,
     "op9_bloom_lm": op9_bloom_lm,
+    "op10_license_paragraphs": op10_license_paragraphs,
 }
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {

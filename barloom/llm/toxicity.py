@@ -127,21 +127,36 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     return weights, list(bias)
 
 
+def scores_of(texts, model) -> np.ndarray:
+    """The score of each text of an Arrow column."""
+    weights, bias = model
+    bias, vocabulary, out = np.array(bias), set(weights), np.zeros(len(texts))
+    for i, t in enumerate(texts):
+        if len(bias):
+            f = bias.copy()
+            for w in sorted(vocabulary & words_in(t.as_py())):
+                f += weights[w]
+            out[i] = np.mean(1 / (1 + np.exp(-np.clip(f, -40, 40))))
+    return np.round(out, 9)
+
+
+def accepted(docs: DataFrame, model, cutoff: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores under the cut-off."""
+    shipped, place = ship(docs.sparkSession, model), docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(scores_of(batch.column(place), shipped.value) < cutoff))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model) -> DataFrame:
     """(doc_id, score) of every whole text; docs: (doc_id, text)."""
     shipped = ship(docs.sparkSession, model)
 
     def run(batches):
-        weights, bias = shipped.value
-        bias, vocabulary = np.array(bias), set(weights)
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for i, t in enumerate(batch.column(1)):
-                if len(bias):
-                    f = bias.copy()
-                    for w in sorted(vocabulary & words_in(t.as_py())):
-                        f += weights[w]
-                    out[i] = np.mean(1 / (1 + np.exp(-np.clip(f, -40, 40))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(out, 9))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores_of(batch.column(1), shipped.value))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
