@@ -1,10 +1,9 @@
-"""All registered queries of the library proper."""
+"""All registered queries of the library proper, with their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from barloom.plans import market
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+flagship = market.flagship
+QUERIES = dict(market.QUERIES)
+ORACLES = dict(market.ORACLES)
