@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from barloom.plans import market
+from barloom.plans import fits, market
 
 flagship = market.flagship
-QUERIES = dict(market.QUERIES)
-ORACLES = dict(market.ORACLES)
+QUERIES = {**market.QUERIES, **fits.QUERIES}
+ORACLES = {**market.ORACLES, **fits.ORACLES}
