@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from barloom.plans import fits, market
+from barloom.plans import fits, ingest, market, study
 
 flagship = market.flagship
-QUERIES = {**market.QUERIES, **fits.QUERIES}
-ORACLES = {**market.ORACLES, **fits.ORACLES}
+QUERIES = {**market.QUERIES, **fits.QUERIES, **ingest.QUERIES, **study.QUERIES}
+ORACLES = {**market.ORACLES, **fits.ORACLES, **ingest.ORACLES, **study.ORACLES}
