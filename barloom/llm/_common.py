@@ -28,11 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/barloom-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    The shuffle files behind it are of no use once it is written and are removed at once.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession, value):

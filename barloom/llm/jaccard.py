@@ -1,8 +1,8 @@
 """N-gram Jaccard join over sets of five-word shingles, and its connected groups.
 
 1. Equal sets are one set from the start; its smallest document id stands for it.
-2. Two sets of Jaccard similarity 0.8 or more share one of the first ``n - ceil(0.8 n) + 1`` shingles of each, in
-   any fixed order. Shingles that a sample of the documents shows to be frequent come last in that order, which
+2. Two sets of Jaccard similarity 0.8 or more share ``m`` of the first ``n - ceil(0.8 n) + m`` shingles of each, in
+   any fixed order; m grows with the set (``needed``), so that long sets meet by more than one chance. Shingles that a sample of the documents shows to be frequent come last in that order, which
    keeps common passages out of the joins; the order changes the work only, never the result.
 3. Sets that share such a shingle are first paired with the smallest set there (a star, so a group of thousands of
    near copies costs as many pairs as members), verified, and joined into groups. Then every pair that shares a
@@ -107,10 +107,15 @@ def linked(overlap, n_a, n_b):
     return 100 * overlap >= 80 * (n_a + n_b - overlap)
 
 
+def needed(n: int) -> int:
+    """How many shingles of its prefix a set of n must share with any set that links with it and is not smaller."""
+    return 1 + n // 50
+
+
 def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The first shingles of a set in the order: infrequent ones, then by hash."""
     n = len(s)
-    length = n - (4 * n + 4) // 5 + 1
+    length = n - (4 * n + 4) // 5 + needed(n)
     if len(frequent):
         late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
         s = np.concatenate([s[~late][:length], s[late][:length]])
@@ -169,6 +174,17 @@ def sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, n int, key binary, bitmap binary, prefix array<long>")
 
 
+def keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, key) as in sets()."""
+
+    def run(batches):
+        for batch in batches:
+            found = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None) for s in (shingles(t.as_py()) for t in batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int32()), pa.array([k for _, k in found], pa.binary())], names=["doc_id", "n", "key"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n int, key binary")
+
+
 def _arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(rep, members): the sorted shingles of the documents named in ids (rep)."""
 
@@ -203,13 +219,20 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(bool(linked(int((both[1:] == both[:-1]).sum()), len(a), len(b))))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    # The second of a pair is joined first: a star's head is the first, and its set then needs no copy for each pair.
     side = lambda k: reps.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("bitmap").alias(f"bits_{k}"))
     tile = F.floor(F.log("n_a") / F.log(F.lit(1.25))).cast("int")
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
     near = written(near.repartition(tile, F.pmod("b", F.lit(1024))).mapInArrow(by_bits, "a long, b long"))
     held = written(_arrays(docs, near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()))
     member = lambda k: held.select(F.col("rep").alias(k), F.col("members").alias(f"members_{k}"))
-    return near.join(member("a"), "a").join(member("b"), "b").select("a", "b", "members_a", "members_b").mapInArrow(by_sets, "a long, b long")
+    return near.join(member("b"), "b").join(member("a"), "a").select("a", "b", "members_a", "members_b").mapInArrow(by_sets, "a long, b long")
+
+
+def enough(shared: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of rows (a, b, n_a, n_b), one for each shared shingle, that share as many as linked sets must."""
+    least = 1 + F.floor(F.least("n_a", "n_b") / 50)
+    return shared.groupBy("a", "b", "n_a", "n_b").count().filter(F.col("count") >= least).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -236,15 +259,14 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    all_sets = written(sets(docs, frequent_shingles(docs)))
-    reps = all_sets.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "n", "bitmap", "prefix")).alias("s"))
+    reps = sets(docs, frequent_shingles(docs)).filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "n", "bitmap", "prefix")).alias("s"))
     reps = written(reps.select("key", F.col("s.doc_id").alias("rep"), "s.n", "s.bitmap", "s.prefix"))
     entries = reps.select("rep", "n", F.explode("prefix").alias("token"))
     heads = entries.groupBy("token").agg(F.min(F.struct("n", "rep")).alias("head"), F.count("*").alias("k")).filter("k > 1").select("token", "head")
     shared = written(entries.join(heads, "token"))
     near = lambda x, y: (5 * F.least(x, y) >= 4 * F.greatest(x, y))
     star = shared.filter((F.col("head.rep") != F.col("rep")) & near(F.col("n"), F.col("head.n")))
-    star = written(star.select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b")).distinct())
+    star = written(enough(star.select(F.col("head.rep").alias("a"), F.col("rep").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b"))))
     groups = components(verified(star, reps, docs))
     # Across groups: only shingles that sets of several groups share, and only pairs that weren't tried.
     labelled = shared.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", F.coalesce("root", "rep").alias("group"))
@@ -252,12 +274,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = written(labelled.join(mixed_up, "token", "left_semi"))
     x, y = labelled.alias("x"), labelled.alias("y")
     across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.group") < F.col("y.group")) & near(F.col("x.n"), F.col("y.n")))
-    across = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    across = written(across)
+    across = enough(across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.least("x.n", "y.n").alias("n_a"), F.greatest("x.n", "y.n").alias("n_b")))
+    across = written(across.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not across.isEmpty():
         more = verified(across, reps, docs)
         groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = reps.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("group"))
-    return all_sets.select("doc_id", "n", "key").join(named, "key", "left").select(
+    return keys(docs).join(named, "key", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("group")).alias("component_id")
     )
