@@ -4,8 +4,8 @@
 2. Two sets of Jaccard similarity 0.8 or more share ``m`` of the first ``n - ceil(0.8 n) + m`` shingles of each, in
    any fixed order; m grows with the set (``needed``), so that long sets meet by more than one chance. Shingles that a sample of the documents shows to be frequent come last in that order, which
    keeps common passages out of the joins; the order changes the work only, never the result.
-3. Sets that share such a shingle are first paired with the smallest set there (a star, so a group of thousands of
-   near copies costs as many pairs as members), verified, and joined into groups. Then every pair that shares a
+3. Sets that share such a shingle are first paired with one of them, drawn by hash from a few draws by shingle (stars:
+   a group of thousands of near copies costs a few pairs for each member), verified, and joined into groups. Then every pair that shares a
    shingle across two groups is verified too. Pairs within one group need no further proof.
 4. Pairs are verified in tiles of like size: counts of the bits set in one hashed bitmap and not in the other bound
    the overlap from above, and only what the bound lets through has its sorted arrays intersected.
@@ -34,6 +34,8 @@ SAMPLE, SEEN = 16, 3
 FREQUENT = 1 << 20
 #: Ids that are broadcast to filter a scan, at most; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
+#: Sets drawn by hash as centres of the stars over one family of near copies.
+STARS = 8
 
 _R = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -229,9 +231,10 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return near.join(member("b"), "b").join(member("a"), "a").select("a", "b", "members_a", "members_b").mapInArrow(by_sets, "a long, b long")
 
 
-def enough(shared: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) of rows (a, b, n_a, n_b), one for each shared shingle, that share as many as linked sets must."""
-    least = 1 + F.floor(F.least("n_a", "n_b") / 50)
+def enough(shared: DataFrame, part: int = 1) -> DataFrame:
+    """The distinct pairs (a, b) of rows (a, b, n_a, n_b), one for each shared shingle, that share as many as linked sets
+    must. With ``part``, of rows that show only a part of what is shared: that fraction of the number will do."""
+    least = 1 + F.floor(F.least("n_a", "n_b") / (50 * part))
     return shared.groupBy("a", "b", "n_a", "n_b").count().filter(F.col("count") >= least).select("a", "b")
 
 
@@ -262,11 +265,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = sets(docs, frequent_shingles(docs)).filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "n", "bitmap", "prefix")).alias("s"))
     reps = written(reps.select("key", F.col("s.doc_id").alias("rep"), "s.n", "s.bitmap", "s.prefix"))
     entries = reps.select("rep", "n", F.explode("prefix").alias("token"))
-    heads = entries.groupBy("token").agg(F.min(F.struct("n", "rep")).alias("head"), F.count("*").alias("k")).filter("k > 1").select("token", "head")
+    draw = F.xxhash64("rep", F.pmod("token", F.lit(STARS)))
+    heads = entries.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), "n", "rep")).alias("head"), F.count("*").alias("k")).filter("k > 1").select("token", "head")
     shared = written(entries.join(heads, "token"))
     near = lambda x, y: (5 * F.least(x, y) >= 4 * F.greatest(x, y))
     star = shared.filter((F.col("head.rep") != F.col("rep")) & near(F.col("n"), F.col("head.n")))
-    star = written(enough(star.select(F.col("head.rep").alias("a"), F.col("rep").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b"))))
+    star = written(enough(star.select(F.col("head.rep").alias("a"), F.col("rep").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b")), 2 * STARS))
     groups = components(verified(star, reps, docs))
     # Across groups: only shingles that sets of several groups share, and only pairs that weren't tried.
     labelled = shared.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", F.coalesce("root", "rep").alias("group"))
