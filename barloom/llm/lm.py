@@ -1,13 +1,15 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised bigram counts.
 
-Counting is one shuffle. Blocks of documents send the hashes of their words and bigrams, sorted, with counts, to
-buckets of hash ranges; a bucket adds them up, tells each block the training counts of its words, and sets the bits
-of its own range of the filter. A bigram seen c >= 2 times is entered once for each level up to floor(log2(c)), so
-that probing levels until one is missing gives 2^level <= c. The filter has a fixed number of bits
-(``FILTER_BITS``); it is broadcast. Beyond that size more entries mean more false positives, never a larger model.
+Counting is one shuffle. Blocks of documents send the hashes of their words and bigrams, sorted, with training
+counts, to buckets of hash ranges; a bucket adds them up, sets the bits of its own range of the filter, and tells each
+block the training counts of its words and the levels of its bigrams. A bigram seen c >= 1 times is entered once for
+each level from 0 to floor(log2(c)), so that probing levels until one is missing gives 2^level <= c. A range has
+``ENTRY_BITS`` to twice as many bits for each of its entries: the filter grows with the input, and the share of set
+bits, hence of false hits, stays the same. Buckets grow in number with the documents; no range leaves its bucket.
 
-p(w | v) = (1 - MIX) * p1(w) + MIX * 2^level(v, w) / c(v), with p1 the add-0.1 unigram of the base score; each text
-is read as end, words, end. Word counts are exact: they travel with the blocks and are not in the filter.
+p(w | v) = (1 - MIX) * p1(w) + MIX * 2^level(v, w) / c(v), with p1 the add-0.1 unigram of the base score, and 0 for
+the last term if the bigram is at no level; each text is read as end, words, end. Word counts are exact: they travel
+with the blocks and are not in the filter.
 
 Defined results: a null, empty or blank text is one end token; rows with a null id train and are not held out;
 repeated rows count and score like any others; if nothing trains, every count is 0 and the base is the uniform
@@ -24,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._common import ship, written
+from barloom.llm._common import written
 from barloom.llm.jaccard import mixed, word_hashes
 
-#: Bits of the whole filter: 32 MB.
-FILTER_BITS = 1 << 28
+#: Bits of a range for each of its entries, at least; with three hashes at most 17 % of the bits are set.
+ENTRY_BITS = 16
 HASHES = 3
 LEVELS = 24
 MIX = 0.05
@@ -63,18 +65,23 @@ def filled(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
     """The packed bits of one range: each key at the levels up to floor(log2(count))."""
     out = np.zeros(bits, bool)
     levels = np.floor(np.log2(np.maximum(counts, 1))).astype(int)
-    for level in range(1, min(LEVELS, int(levels.max(initial=0))) + 1):
+    for level in range(min(LEVELS, int(levels.max(initial=0))) + 1):
         for at in _places(keys[levels >= level], level, bits):
             out[at] = True
     return np.packbits(out, bitorder="little").tobytes()
 
 
 def probed(filter_bytes: np.ndarray, keys: np.ndarray, shift: int, bits: int) -> np.ndarray:
-    """The level of each key by repeated probes; bucket = key >> shift names its range."""
-    level, active = np.zeros(len(keys), np.uint8), np.arange(len(keys))
+    """The level of each key by repeated probes, 0 also for a key that was never entered; bucket = key >> shift names its range."""
+    return np.maximum(climbed(filter_bytes, keys, shift, bits), 1) - np.uint8(1)
+
+
+def climbed(filter_bytes: np.ndarray, keys: np.ndarray, shift: int, bits: int) -> np.ndarray:
+    """In how many levels, from 0 on, each key is found: 0 for a key that was never entered."""
+    found, active = np.zeros(len(keys), np.uint8), np.arange(len(keys))
     base = (keys >> np.uint64(shift)).astype(np.int64) * bits
     short = keys & np.uint64(0xFFFFFFFF)
-    for step in range(1, LEVELS + 1):
+    for step in range(LEVELS + 1):
         hit = np.ones(len(active), bool)
         for at in _places(short[active], step, bits):
             at += base[active]
@@ -82,8 +89,14 @@ def probed(filter_bytes: np.ndarray, keys: np.ndarray, shift: int, bits: int) ->
         active = active[hit]
         if not len(active):
             break
-        level[active] = step
-    return level
+        found[active] = step + 1
+    return found
+
+
+def range_bits(counts: np.ndarray) -> int:
+    """The bits of a range that holds keys with these counts: a power of two."""
+    entries = int(np.minimum(np.floor(np.log2(np.maximum(counts, 1))), LEVELS).sum()) + len(counts)
+    return 1 << max(3, math.ceil(math.log2(ENTRY_BITS * max(1, entries))))
 
 
 def _blocks(batches):
@@ -97,7 +110,7 @@ def _blocks(batches):
 
 
 def _gather(rows: DataFrame, shift: int) -> DataFrame:
-    """(kind, bucket, block, keys, counts): words (kind 0) and training bigrams (kind 1) of each block by hash range."""
+    """(kind, bucket, block, keys, counts): words (kind 0) and bigrams (kind 1) of each block by hash range, with training counts."""
     buckets = 1 << (64 - shift)
     edges = (np.arange(1, buckets, dtype=np.uint64)) << np.uint64(shift)
 
@@ -107,9 +120,10 @@ def _gather(rows: DataFrame, shift: int) -> DataFrame:
             trains = np.repeat(~held, sizes)
             words, inverse = np.unique(np.concatenate(found), return_inverse=True)
             counts = np.bincount(inverse, trains, len(words)).astype(np.uint32)
-            pairs, times = np.unique(np.concatenate([_EMPTY, *(bigrams(t) for t, h in zip(found, held) if not h)]), return_counts=True)
+            pairs, inverse = np.unique(np.concatenate([bigrams(t) for t in found]), return_inverse=True)
+            times = np.bincount(inverse, trains, len(pairs)).astype(np.uint32)
             out = []
-            for kind, keys, n in ((0, words, counts), (1, pairs, times.astype(np.uint32))):
+            for kind, keys, n in ((0, words, counts), (1, pairs, times)):
                 cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
                 for b in np.flatnonzero(np.diff(cuts)):
                     s = slice(cuts[b], cuts[b + 1])
@@ -123,8 +137,12 @@ def _gather(rows: DataFrame, shift: int) -> DataFrame:
 MERGED = "kind int, bucket int, block long, counts binary, n long, v long"
 
 
-def _merge(shift: int, bits: int):
-    """Adds up one bucket: for words a row of counts for each block and one of totals; for bigrams their range of the filter."""
+def _merge():
+    """Adds up one bucket: a row for each block, of counts for words and of levels for bigrams, and one of totals.
+
+    Totals (n, v) are tokens and distinct words of training for words (kind 2), bits and set bits of the bucket's
+    range of the filter for bigrams (kind 3).
+    """
     fields = [("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64())]
 
     def run(key, rows):
@@ -134,59 +152,70 @@ def _merge(shift: int, bits: int):
         unique, inverse = np.unique(keys, return_inverse=True)
         total = np.bincount(inverse, np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32), len(unique)).astype(np.uint32 if kind == 0 else np.int64)
         if kind == 1:
-            keep = total >= 2
-            out = [(1, bucket, -1, filled(unique[keep].astype(np.uint64), total[keep], bits), None, None)]
+            keep, short = total >= 1, unique.astype(np.uint64)
+            bits = range_bits(total[keep])
+            part = np.frombuffer(filled(short[keep], total[keep], bits), np.uint8)
+            told, sums = climbed(part, short, 32, bits), (bits, int(np.bitwise_count(part).sum(dtype=np.int64)))
         else:
-            ends = np.cumsum([len(p) // 8 for p in packed])
-            out = [(0, bucket, block, total[inverse[e - len(p) // 8 : e]].tobytes(), None, None) for block, p, e in zip(rows.column("block").to_pylist(), packed, ends)]
-            out.append((2, bucket, -1, None, int(total.sum(dtype=np.int64)), int((total > 0).sum())))
+            told, sums = total, (int(total.sum(dtype=np.int64)), int((total > 0).sum()))
+        ends = np.cumsum([len(p) // keys.itemsize for p in packed])
+        out = [(kind, bucket, block, told[inverse[e - len(p) // keys.itemsize : e]].tobytes(), None, None) for block, p, e in zip(rows.column("block").to_pylist(), packed, ends)]
+        out.append((kind + 2, bucket, -1, None, *sums))
         return pa.table({name: pa.array(c, t) for (name, t), c in zip(fields, zip(*out))})
 
     return run
 
 
+def merged_blocks(rows: DataFrame) -> DataFrame:
+    """The table of ``_merge``, written, of rows (doc_id, held, text)."""
+    buckets = max(64, 1 << math.ceil(math.log2(max(1, rows.count() / DOCS_PER_BUCKET))))
+    return written(_gather(rows, 65 - buckets.bit_length()).groupBy("kind", "bucket").applyInArrow(_merge(), MERGED))
+
+
+def set_share(merged: DataFrame) -> tuple[int, float]:
+    """The bits of the whole filter, and the share of them that is set."""
+    n, v = merged.filter("kind = 3").agg(F.sum("n"), F.sum("v")).first()
+    return n or 0, (v or 0) / max(1, n or 0)
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Base and model log10 probabilities of every text; rows where held_out (a boolean Column) holds don't train."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).cast("string").alias("text"))
-    buckets = max(64, 1 << math.ceil(math.log2(max(1, rows.count() / DOCS_PER_BUCKET))))
-    shift, bits = 65 - buckets.bit_length(), max(8, FILTER_BITS // buckets)
-    merged = written(_gather(rows, shift).groupBy("kind", "bucket").applyInArrow(_merge(shift, bits), MERGED))
+    merged = merged_blocks(rows)
     total = merged.filter("kind = 2").agg(F.sum("n"), F.sum("v")).first()
     n, v = total[0] or 0, total[1] or 0
-    model = np.zeros(buckets * bits // 8, np.uint8)
-    for r in merged.filter("kind = 1").select("bucket", "counts").toLocalIterator():  # FILTER_BITS in all
-        model[r.bucket * bits // 8 : (r.bucket + 1) * bits // 8] = np.frombuffer(r.counts, np.uint8)
-    shipped = ship(spark, model)
     below = n + ADD * (v + 1)
 
     def coded(batches):
         for block, ids, held, found in _blocks(batches):
-            _, inverse = np.unique(np.concatenate(found), return_inverse=True)
-            levels = probed(shipped.value, np.concatenate([bigrams(t) for t in found]), shift, bits)
+            words, inverse = np.unique(np.concatenate(found), return_inverse=True)
             ends = np.cumsum([len(t) for t in found])
-            cut = lambda x, kind: [x[e - len(t) : e].astype(kind).tobytes() for t, e in zip(found, ends)]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), ids, pa.array(held), pa.array(cut(inverse, np.uint32), pa.binary()), pa.array(cut(levels, np.uint8), pa.binary())], names=["block", "doc_id", "held", "codes", "levels"])
+            codes = [inverse[e - len(t) : e].astype(np.uint32).tobytes() for t, e in zip(found, ends)]
+            first = [words.tobytes(), *[b""] * (len(found) - 1)]  # the block's words, once
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), ids, pa.array(held), pa.array(codes, pa.binary()), pa.array(first, pa.binary())], names=["block", "doc_id", "held", "codes", "words"])
 
     def scored(left, right):
-        order = np.argsort(right.column("bucket").to_numpy())
-        parts = right.column("counts").to_pylist()
-        count = np.frombuffer(b"".join(parts[i] for i in order), np.uint32).astype(float)
+        parts = sorted(zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "counts"))))
+        count, found = (np.frombuffer(b"".join(p for k, _, p in parts if k == kind), dtype) for kind, dtype in ((0, np.uint32), (1, np.uint8)))
+        count = count.astype(float)
         one = (count + ADD) / below
+        words = np.frombuffer(b"".join(left.column("words").to_pylist()), np.uint64)
+        coded = [np.frombuffer(c, np.uint32) for c in left.column("codes").to_pylist()]
+        _, inverse = np.unique(np.concatenate([_EMPTY, *(bigrams(words[c]) for c in coded)]), return_inverse=True)
+        levels = np.split(found[inverse], np.cumsum([len(c) for c in coded[:-1]]))
         out = []
-        for doc, held, codes, levels in zip(*(left.column(c).to_pylist() for c in ("doc_id", "held", "codes", "levels"))):
-            c, q = np.frombuffer(codes, np.uint32), np.frombuffer(levels, np.uint8)
+        for doc, held, c, q in zip(left.column("doc_id").to_pylist(), left.column("held").to_pylist(), coded, levels):
             before = count[np.concatenate([c[-1:], c[:-1]])]
-            two = np.where(q > 0, np.exp2(q.astype(float)), 0) / np.maximum(before, 1)
+            two = np.where(q > 0, np.exp2(q - 1.0), 0) / np.maximum(before, 1)
             p = (1 - MIX) * one[c] + MIX * np.minimum(two, 1)
             out.append((doc, held, len(c), int((count[c] > 0).sum()), n, float(np.log10(one[c]).sum()), float(np.log10(p).sum())))
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         names = [x.split()[0] for x in SCORES.split(", ")]
         return pa.table({name: pa.array(col, k) for name, k, col in zip(names, kinds, zip(*out) if out else [[]] * 7)})
 
-    codes = rows.mapInArrow(coded, "block long, doc_id long, held boolean, codes binary, levels binary")
-    words = merged.filter("kind = 0").select("block", "bucket", "counts")
-    return codes.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(scored, SCORES)
+    codes = rows.mapInArrow(coded, "block long, doc_id long, held boolean, codes binary, words binary")
+    told = merged.filter("kind < 2").select("kind", "block", "bucket", "counts")
+    return codes.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, SCORES)

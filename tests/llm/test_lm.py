@@ -58,3 +58,40 @@ def test_query(spark):
     got = op9_bloom_lm(spark, d).collect()
     same(got, brute(docs))
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
+
+
+def test_filter_grows_and_single_bigrams_count(spark):
+    r = np.random.default_rng(1)
+    for n in (100, 10_000, 300_000):
+        keys, counts = r.integers(0, 2**32, n, dtype=np.uint64), r.integers(1, 9, n)
+        bits = lm.range_bits(counts)
+        packed = np.frombuffer(lm.filled(keys, counts, bits), np.uint8)
+        assert 0.05 < np.unpackbits(packed).mean() < 0.2
+        assert np.all(lm.climbed(packed, keys, 32, bits) >= np.floor(np.log2(counts)) + 1)
+        assert np.mean(lm.climbed(packed, r.integers(0, 2**32, n, dtype=np.uint64), 32, bits) > 0) < 0.05
+    docs = spark.createDataFrame([(1, False, "a b"), (2, True, "a b"), (3, True, "b a")], "doc_id long, held boolean, text string")
+    p1, q = (1 + 0.1) / (3 + 0.1 * 4), (1 - lm.MIX) * (1 + 0.1) / (3 + 0.1 * 4)
+    got = {x.doc_id: x.score for x in lm.score(docs, F.col("held")).collect()}
+    assert abs(got[1] - 3 * math.log10(q + lm.MIX)) < 1e-9 and got[2] == got[1]
+    assert abs(got[3] - 3 * math.log10(q)) < 1e-9 and p1 > q
+
+
+def test_score_follows_exact_counts(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, i % 5 == 0, " ".join(f"w{k}" for k in r.zipf(1.3, 60) % 400)) for i in range(1500)]
+    pairs, c = Counter(), Counter(w for _, held, t in rows if not held for w in words(t))
+    for _, held, t in rows:
+        w = words(t)
+        if not held:
+            pairs.update(zip([w[-1], *w[:-1]], w))
+    n, v = sum(c.values()), len(c)
+    want = {}
+    for d, _, t in rows:
+        w, s = words(t), 0.0
+        for a, b in zip([w[-1], *w[:-1]], w):
+            k = pairs[a, b]
+            s += math.log10((1 - lm.MIX) * (c[b] + 0.1) / (n + 0.1 * (v + 1)) + (lm.MIX * min(1, 2 ** int(math.log2(k)) / c[a]) if k else 0))
+        want[d] = s
+    got = {x.doc_id: x.score for x in lm.score(spark.createDataFrame(rows, "doc_id long, held boolean, text string"), F.col("held")).collect()}
+    assert all(abs(got[d] - want[d]) < 0.02 * abs(want[d]) for d in want)
+    assert np.mean([abs(got[d] - want[d]) < 1e-6 * abs(want[d]) for d, held, _ in rows if not held]) > 0.8
