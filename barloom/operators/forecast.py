@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -76,16 +79,32 @@ def ols(rows: DataFrame, inputs: list[Column], name: str) -> DataFrame:
     return rows.withColumn(name, sum((F.get("beta", i) * x[i] for i in range(1, k)), F.get("beta", 0))).drop("beta")
 
 
-def boosted(rows: DataFrame, inputs: list[str], rounds: int = 20, **options):
-    """Boosted trees fold by fold (the last tenth of train by time validates); predictions and importances."""
-    preds, gains = None, []
-    for f in sorted(r[0] for r in rows.select("fold_id").distinct().collect()):
+def each_fold(rows: DataFrame, fit) -> list:
+    """fit(fold_id) for every fold of rows, a few folds at a time."""
+    found = sorted(r[0] for r in rows.select("fold_id").distinct().collect())
+    with ThreadPoolExecutor(4) as pool:
+        return list(pool.map(inheritable_thread_target(rows.sparkSession)(fit), found))
+
+
+def boosted_models(rows: DataFrame, inputs: list[str], rounds: int = 20, **options) -> dict:
+    """fold_id -> the model of its boosted trees, on the assembled column ``x``; the last tenth of train by time validates."""
+
+    def fit(f):
         own = VectorAssembler(inputCols=inputs, outputCol="x").transform(rows.filter(F.col("fold_id") == f))
         cut = own.filter("part = 'train'").agg(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), 0.9)).first()[0]
         own = own.withColumn("val", F.unix_micros(F.col("ts").cast("timestamp")) > cut)
         gbt = GBTRegressor(featuresCol="x", labelCol="target", predictionCol="pred_gbt", maxIter=rounds, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=7, validationIndicatorCol="val", **options)
-        model = gbt.fit(own.filter("part = 'train'"))
-        p = model.transform(own.filter("part = 'test'")).select(*PRED, "pred_gbt")
+        return f, gbt.fit(own.filter("part = 'train'"))
+
+    return dict(each_fold(rows, fit))
+
+
+def boosted(rows: DataFrame, inputs: list[str], rounds: int = 20, **options):
+    """Boosted trees fold by fold; predictions and importances."""
+    preds, gains = None, []
+    for f, model in boosted_models(rows, inputs, rounds, **options).items():
+        own = VectorAssembler(inputCols=inputs, outputCol="x").transform(rows.filter((F.col("fold_id") == f) & (F.col("part") == "test")))
+        p = model.transform(own).select(*PRED, "pred_gbt")
         preds = p if preds is None else preds.unionByName(p)
         splits = [0] * len(inputs)
         for line in model.toDebugString.splitlines():
@@ -97,15 +116,15 @@ def boosted(rows: DataFrame, inputs: list[str], rounds: int = 20, **options):
 
 def leaf_quantile(rows: DataFrame, inputs: list[str], tau: float = 0.9, trees: int = 10) -> DataFrame:
     """The tau quantile of the training targets in a test row's leaves, averaged over a forest."""
-    out = None
-    for f in sorted(r[0] for r in rows.select("fold_id").distinct().collect()):
+
+    def fit(f):
         own = VectorAssembler(inputCols=inputs, outputCol="x").transform(rows.filter(F.col("fold_id") == f))
         model = RandomForestRegressor(featuresCol="x", labelCol="target", numTrees=trees, maxDepth=4, minInstancesPerNode=10, seed=7, leafCol="leaf").fit(own.filter("part = 'train'"))
         leaves = model.transform(own).select(*PRED, "part", F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
         q = leaves.filter("part = 'train'").groupBy("tree", "leaf").agg(F.percentile("target", tau).alias("q"))
-        p = leaves.filter("part = 'test'").join(F.broadcast(q), ["tree", "leaf"]).groupBy(*PRED).agg(F.avg("q").alias("pred_q"))
-        out = p if out is None else out.unionByName(p)
-    return out
+        return leaves.filter("part = 'test'").join(F.broadcast(q), ["tree", "leaf"]).groupBy(*PRED).agg(F.avg("q").alias("pred_q"))
+
+    return reduce(DataFrame.unionByName, each_fold(rows, fit))
 
 
 def shapley(model_predict, rows: DataFrame, background: DataFrame, inputs: list[str], permutations: int = 8, seed: int = 7) -> DataFrame:
