@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -245,8 +247,16 @@ def m11(spark, d):
     return rounded(M.coverage(q, "pred_q"))
 
 
+def fold_attributions(rows: DataFrame) -> DataFrame:
+    """Shapley values of each fold's boosted model on the fold's test rows."""
+    out = []
+    for f, model in M.boosted_models(rows, INPUTS).items():
+        predict = lambda df, m=model: m.transform(VectorAssembler(inputCols=INPUTS, outputCol="x").transform(df)).withColumnRenamed("pred_gbt", "prediction")
+        test = rows.filter((F.col("fold_id") == f) & (F.col("part") == "test"))
+        out.append(M.shapley(predict, test, test, INPUTS))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("m12_m26_attributions")
 def m12(spark, d):
-    rows = order_folds(spark, d).filter("part = 'test'")
-    linear = lambda df: df.withColumn("prediction", F.col("ln_s1") * 0.4 + F.col("ln_s2") * 0.3 + F.col("ln_s3") * 0.2 + F.col("vpin"))
-    return rounded(M.attribution_shares(M.shapley(linear, rows, rows, INPUTS, 4)))
+    return rounded(M.attribution_shares(fold_attributions(written_folds(spark, d))))

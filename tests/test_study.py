@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from barloom.operators import forecast as M
 from barloom.plans import study
 
 
@@ -7,3 +10,13 @@ def test_every_fold_is_fitted_and_ranks_are_compared(spark):
     got = study.m20(spark, d).collect()
     assert folds > 10 and len(got) == len(study.INPUTS)
     assert all(r.n_folds == r.folds == folds and r.mean_rank_rho is not None for r in got)
+
+
+def test_attributions_explain_the_boosted_models(spark):
+    rows = study.written_folds(spark, "/root/testdata/sf0.001").filter("fold_id IN (10, 11)").cache()
+    got = study.fold_attributions(rows).groupBy(*M.PRED).agg(F.sum("attribution").alias("total"))
+    preds, _ = M.boosted(rows, study.INPUTS)
+    both = preds.join(got, M.PRED).withColumn("base", F.col("pred_gbt") - F.col("total"))
+    by_fold = both.groupBy("fold_id").agg(F.count("*").alias("n"), F.min("base").alias("a"), F.max("base").alias("z")).collect()
+    assert len(by_fold) == 2 and sum(r.n for r in by_fold) == preds.count()
+    assert all(abs(r.a - r.z) < 1e-9 for r in by_fold)  # prediction less attributions is the fold's base
