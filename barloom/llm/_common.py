@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that all executors share (``spark.checkpoint.dir``)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/barloom-{uuid.uuid4().hex}"
 
 
@@ -46,6 +49,52 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of values (before Spark's own overhead) that may be broadcast; what is larger is shuffled.
+BROADCAST_BYTES = 32 << 20
+#: Parts into which the rows of one key are dealt in a shuffled join.
+SALT = 64
+
+
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if its values, measured first, take at most ``limit`` bytes (BROADCAST_BYTES), else as it is."""
+
+    def width(name: str, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+        if kind.startswith(("array", "map", "struct")):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0)) + 16
+        return F.lit(8)
+
+    size = df.select(sum((width(f"`{c}`", k) for c, k in df.dtypes), F.lit(0)).alias("n")).agg(F.sum("n")).first()[0]
+    return F.broadcast(df) if (size or 0) <= (BROADCAST_BYTES if limit is None else limit) else df
+
+
+def attach(rows: DataFrame, found: DataFrame, key: str, spread: Column) -> DataFrame:
+    """``rows`` left-joined with ``found`` (one row for each key): by broadcast if ``found`` is small, else with the rows of
+    one key dealt over SALT parts by ``spread``, so that a hot key isn't one task. Null keys find nothing."""
+    if (few := small(found)) is not found:
+        return rows.join(few, key, "left")
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALT))
+    copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], "left").drop("_salt")
+
+
 def ship(spark: SparkSession, value):
     """A broadcast of a value whose size the caller has bounded."""
     return spark.sparkContext.broadcast(value)
+
+
+#: Rows and bytes of text that a Python task handles at a time.
+SLICE_ROWS, SLICE_BYTES = 1024, 2 << 20
+
+
+def slices(batches, text: int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES):
+    """The Arrow batches in slices of at most ``rows`` rows and about ``size`` bytes in column ``text`` (longer single texts stay whole)."""
+    for batch in batches:
+        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
+        ends, at = np.cumsum(lengths), 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, stop - at)
+            at = stop

@@ -47,3 +47,21 @@ def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = op4_marginal_unigrams(spark, d).join(spark.read.parquet(f"{d}/documents.parquet"), "doc_id").filter("held_out").toPandas()
     assert (got.lang_pred == got.lang).mean() > 0.97
+
+
+def test_shared_sums_are_those_of_single_words():
+    pieces = {p: i for i, p in enumerate(["a", "b", "ab", "ba", "aba", "▁", "▁a", "bbbb", "ü"])}
+    p = np.random.default_rng(2).dirichlet(np.ones(len(pieces)), 3).T
+    p = np.vstack([p, np.zeros(3), np.full(3, langid.UNKNOWN)])
+    words = ["", "a", "ab", "abab", "abb", "b" * 30, "b" * 31, "b" * 90, "ba", "baac", "c", "ü", "üb", "ab" * 40, "a" * 29 + "c", "☃" * 60]
+    scorer = langid.Scorer(pieces, p)
+    with np.errstate(divide="ignore"):
+        want = [langid.long_forward(langid.long_edges(langid.MARK + w, pieces, scorer.deep), np.log(p))[-1] for w in words]
+    assert np.allclose(scorer.of(words), want)
+    assert np.allclose(scorer.of(words[::-1]), want[::-1])
+    counts, edges = np.array([2.0]), langid.lattice(["▁abab"], pieces)
+    assert np.allclose(langid.expect(edges, p[:, 0], counts), langid.long_expect(langid.long_edges("▁abab", pieces, scorer.deep), p[:, 0], 2.0))
+
+
+def test_letters():
+    assert langid.has_letter("1½ ²a") and langid.has_letter("字") and not any(map(langid.has_letter, ["½ ²", "12 _ !", "", "Ⅷ"]))
