@@ -2,15 +2,16 @@
 
 Words of a text are hashed in runs of ``K``; of every ``SPAN - K + 1`` consecutive run hashes the least is kept.
 Two texts that share ``SPAN`` words in a row share such a stretch of hashes and so a kept one: joining the kept
-hashes of documents and benchmark items finds every shared span. Each hit is then extended word by word along
-its diagonal (document position less item position), which makes the result exact.
+hashes of documents and benchmark items finds every shared span. One scan of the documents counts their words and
+marks the texts that share a kept hash; only those are read again. Each hit is then extended word by word along its
+diagonal (document position less item position), which makes the result exact. Items of fewer than ``SPAN`` words are
+looked for by the hashes of whole word runs of their length, in the same scan.
 
-The benchmark's kept hashes are broadcast only while their number is at most ``BROADCAST_ROWS``; beyond that
-the same join is shuffled. Items of fewer than ``SPAN`` words are joined as whole word runs of their length.
+Whatever is broadcast is measured first (``BROADCAST_BYTES``); beyond that the same join is shuffled.
 
 Defined results: a null text has no words; an item without words or with a null id or text never hits; texts are
-matched by content, so repeated rows and rows with a null id get the results of their text; several rows of one
-item id count as one item; an empty table of either kind gives no hits; only the named columns are read.
+matched by content (their MD5), so repeated rows and rows with a null id get the results of their text; several rows
+of one item id count as one item; an empty table of either kind gives no hits; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -18,18 +19,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm._common import attach, small, written
+
 SPAN = 10
 K = 5
-BROADCAST_ROWS = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words once A-Z are lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column, exact: bool = True) -> Column:
-    """The words of a text. Not exact: other letters are lower-cased too, which is faster, keeps their number, and lets no equal words differ."""
-    lowered = F.translate(text, UPPER, LOWER) if exact else F.lower(text)
-    return F.filter(F.split(F.coalesce(lowered, F.lit("")), SEPARATORS), lambda w: w != "")
+    """The words of a text, A-Z lower-cased; not exact: as they are."""
+    lowered = F.translate(text, UPPER, LOWER) if exact else text
+    return F.array_remove(F.split(F.coalesce(lowered, F.lit("")), SEPARATORS_ANY_CASE if not exact else SEPARATORS), "")
+
+
+#: The same for texts that aren't lower-cased.
+SEPARATORS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def run_hashes(w: Column, k: int = K) -> Column:
@@ -57,66 +63,87 @@ def kept_places(h: Column, window: int = SPAN - K + 1) -> Column:
     )
 
 
-def _runs(w: Column, n: int) -> Column:
-    """Every run of n words with its start and length."""
-    starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("length"), F.array_join(F.slice(w, i + 1, n), " ").alias("run")))
+def marks(w: Column, hs: Column, short: list[int]) -> Column:
+    """The hashes by which a text is found: the kept ones of its runs, and those of all runs of the short lengths."""
+    return F.array_distinct(F.concat(kept_hashes(hs), *[run_hashes(w, n) for n in short])) if short else kept_hashes(hs)
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` to be broadcast if it has at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def scanned(docs: DataFrame, wanted: DataFrame, short: list[int], *ids: str) -> DataFrame:
+    """(ids, text_key, n_words, n_rows, near) of the distinct (ids, text) of docs, written; near: a mark is in wanted (h).
 
+    Letters beyond A-Z are lower-cased word by word on both sides here, which lets no equal words differ.
+    """
+    rows = docs.select(*ids, F.md5("text").alias("text_key"), words(F.col("text"), exact=False).alias("w"))
+    rows = rows.select(*ids, "text_key", F.size("w").cast("long").alias("n_words"), F.transform("w", lambda x: F.lower(x)).alias("w"))
+    rows = rows.select(*ids, "text_key", "n_words", "w", run_hashes(F.col("w")).alias("hs"))
+    rows = rows.select(*ids, "text_key", "n_words", F.posexplode_outer(marks(F.col("w"), F.col("hs"), short)).alias("pos", "h"))
+    rows = rows.join(small(wanted.select("h", F.lit(True).alias("found"))), "h", "left")
+    first = F.when(F.coalesce("pos", F.lit(0)) == 0, 1)
+    return written(rows.groupBy(*ids, "text_key").agg(F.max("n_words").alias("n_words"), F.count(first).alias("n_rows"), F.max(F.coalesce("found", F.lit(False))).alias("near")))
 
-def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(text_key, item_id, start, length): every occurrence of an item's window in a document text.
 
-    docs: (text); items: (item_id, text). text_key is the xxhash64 of the text.
-    """
-    docs = docs.filter("text IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
+def _items(items: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(item_id, iw), and the lengths under SPAN that occur."""
     items = items.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", words(F.col("text")).alias("iw")).filter(F.size("iw") > 0).distinct()
-    lengths = sorted(r[0] for r in items.select(F.least(F.size("iw"), F.lit(SPAN))).distinct().collect())  # at most SPAN values
-    found = []
-    if SPAN in lengths:
-        long = items.filter(F.size("iw") >= SPAN)
-        loose = hashed(long.select(F.transform("iw", lambda w: F.lower(w)).alias("w"))).select(F.explode(kept_hashes(F.col("hs"))).alias("h")).distinct()
-        kept = hashed(docs.select("text_key", words(F.col("text"), exact=False).alias("w")), "text_key").select("text_key", F.explode(kept_hashes(F.col("hs"))).alias("h"))
-        near = kept.join(_small(loose, BROADCAST_ROWS), "h", "left_semi").select("text_key").distinct()
-        near = docs.join(near, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text_key", words(F.col("text")).alias("w"))
-        # Only texts that may hold an item from here on; places as well as hashes.
-        i_at = hashed(long.select("item_id", F.col("iw").alias("w")), "item_id").select("item_id", F.explode(kept_places(F.col("hs"))).alias("p"))
-        d_at = hashed(near, "text_key").select("text_key", F.explode(kept_places(F.col("hs"))).alias("p"))
-        i_at = i_at.select("item_id", F.col("p.h").alias("h"), F.col("p.back").alias("i_back"))
-        hits = d_at.select("text_key", F.col("p.h").alias("h"), F.col("p.back").alias("d_back")).join(_small(i_at, BROADCAST_ROWS), "h")
-        hits = hits.select("text_key", "item_id", (F.col("i_back") - F.col("d_back")).alias("shift")).distinct()
-        both = hits.join(_small(long, BROADCAST_ROWS // SPAN), "item_id").join(near, "text_key")
-        same = F.transform("iw", lambda w, j: (F.col("shift") + j >= 0) & F.coalesce(F.get("w", F.greatest(F.col("shift") + j, F.lit(0))) == w, F.lit(False)))
-        both = both.select("text_key", "item_id", "shift", same.alias("same"))
-        # "same" is named twice so that the optimizer computes it once a row, not once a start.
-        whole = F.filter(F.sequence(F.lit(0), F.size("same") - SPAN), lambda s: F.forall(F.slice("same", s + 1, SPAN), lambda x: x))
-        found.append(both.select("text_key", "item_id", "shift", F.explode(whole).alias("s")).select("text_key", "item_id", (F.col("shift") + F.col("s")).alias("start"), F.lit(SPAN).alias("length")))
-    if short := [n for n in lengths if n < SPAN]:
-        runs = items.filter(F.size("iw") < SPAN).select("item_id", F.array_join("iw", " ").alias("run"), F.size("iw").alias("length"))
-        each = [_runs(F.col("w"), n) for n in short]
-        of_docs = docs.select("text_key", words(F.col("text")).alias("w")).select("text_key", F.explode(F.concat(*each)).alias("r")).select("text_key", "r.*")
-        found.append(of_docs.join(_small(runs, BROADCAST_ROWS), ["run", "length"]).select("text_key", "item_id", "start", "length").distinct())
-    if not found:
-        return docs.select("text_key", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("length")).filter("false")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    items = written(items)
+    return items, sorted(r[0] for r in items.filter(F.size("iw") < SPAN).select(F.size("iw")).distinct().collect())  # under SPAN values
+
+
+def _wanted(items: DataFrame, short: list[int]) -> DataFrame:
+    """(h): the distinct marks of the items; short items have only the run of their own length."""
+    lowered = items.select(F.transform("iw", lambda x: F.lower(x)).alias("w"))
+    of = hashed(lowered.filter(F.size("w") >= SPAN)).select(F.explode(kept_hashes(F.col("hs"))).alias("h"))
+    for n in short:
+        of = of.unionByName(lowered.filter(F.size("w") == n).select(F.explode(run_hashes(F.col("w"), n)).alias("h")))
+    return written(of.distinct())
+
+
+def _occurrences(near: DataFrame, items: DataFrame, short: list[int]) -> DataFrame:
+    """(text_key, item_id, start, length): every occurrence of an item's window in the texts near (text_key, w)."""
+    long = items.filter(F.size("iw") >= SPAN)
+    i_at = hashed(long.select("item_id", F.col("iw").alias("w")), "item_id").select("item_id", F.explode(kept_places(F.col("hs"))).alias("p"))
+    d_at = hashed(near, "text_key").select("text_key", F.explode(kept_places(F.col("hs"))).alias("p"))
+    i_at = i_at.select("item_id", F.col("p.h").alias("h"), F.col("p.back").alias("i_back"))
+    hits = d_at.select("text_key", F.col("p.h").alias("h"), F.col("p.back").alias("d_back")).join(small(i_at), "h")
+    hits = written(hits.select("text_key", "item_id", (F.col("i_back") - F.col("d_back")).alias("shift")).distinct())
+    # Of the document only the words beside the item's are kept, from the item's word "lo" on.
+    both = near.join(small(hits.join(small(long), "item_id")), "text_key")
+    lo = F.greatest(-F.col("shift"), F.lit(0))
+    both = both.select("text_key", "item_id", "shift", "iw", lo.alias("lo"), F.slice("w", F.greatest("shift", F.lit(0)) + 1, F.size("iw") - lo).alias("beside"))
+    same = F.transform("iw", lambda x, j: F.coalesce(F.get("beside", j - F.col("lo")) == x, F.lit(False)))
+    both = both.select("text_key", "item_id", "shift", same.alias("same"))
+    # "same" is named twice so that the optimizer computes it once a row, not once a start.
+    whole = F.filter(F.sequence(F.lit(0), F.size("same") - SPAN), lambda s: F.forall(F.slice("same", s + 1, SPAN), lambda x: x))
+    out = both.select("text_key", "item_id", "shift", F.explode(whole).alias("s")).select("text_key", "item_id", (F.col("shift") + F.col("s")).alias("start"), F.lit(SPAN).alias("length"))
+    for n in short:
+        runs = items.filter(F.size("iw") == n).select("item_id", "iw", F.get(run_hashes(F.col("iw"), n), 0).alias("h"))
+        at = near.select("text_key", "w", F.posexplode(run_hashes(F.col("w"), n)).alias("start", "h")).select("text_key", "h", "start", F.slice("w", F.col("start") + 1, n).alias("run"))
+        out = out.unionByName(at.join(small(runs), "h").filter("run = iw").select("text_key", "item_id", "start", F.lit(n).alias("length")))
     return out
 
 
+def matches(docs: DataFrame, items: DataFrame, *ids: str) -> tuple[DataFrame, DataFrame]:
+    """The scanned rows of docs (ids, text), and (text_key, item_id, start, length): every occurrence of an item's window in their texts.
+
+    items: (item_id, text). Both tables are written.
+    """
+    items, short = _items(items)
+    rows = scanned(docs, _wanted(items, short), short, *ids)
+    keys = rows.filter("near").select("text_key").distinct()
+    texts = docs.select("text", F.md5("text").alias("text_key")).join(small(keys), "text_key", "left_semi").dropDuplicates(["text_key"])
+    near = written(texts.select("text_key", words(F.col("text")).alias("w")))
+    return rows, written(_occurrences(near, items, short).distinct())
+
+
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs (doc_id, text) with n_words, n_hit, n_items, the sorted item ids, and whether anything hits."""
-    found = matches(docs.select("text"), items)
+    rows, found = matches(docs.select("doc_id", "text"), items, "doc_id")
     places = F.explode(F.sequence("start", F.col("start") + F.col("length") - 1))
     n_hit = found.select("text_key", places.alias("at")).distinct().groupBy("text_key").agg(F.count("*").alias("n_hit"))
     named = found.select("text_key", F.col("item_id").cast("string").alias("item")).distinct().groupBy("text_key").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    hits = n_hit.join(named, "text_key")
-    sized = docs.select("doc_id", F.size(words(F.col("text"), exact=False)).cast("long").alias("n_words"), F.xxhash64("text").alias("text_key"))
-    return sized.join(hits, "text_key", "left").select(
+    hits = written(n_hit.join(named, "text_key"))
+    out = attach(rows, hits, "text_key", F.col("doc_id")).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
+    return out.select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -128,5 +155,11 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose text holds no window of an item."""
-    hit = matches(docs.select("text"), items).select("text_key").distinct()
-    return docs.join(hit, F.xxhash64(docs["text"]) == hit["text_key"], "left_anti")
+    _, found = matches(docs.select("text"), items)
+    hit = written(found.select("text_key").distinct())
+    few = small(hit)
+    if few is not hit:
+        return docs.join(few, F.md5(docs["text"]) == few["text_key"], "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.md5("text").alias("text_key"))
+    marked = attach(rows, hit.withColumn("hit", F.lit(True)), "text_key", F.col("row"))
+    return marked.filter("hit IS NULL").select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from barloom.llm import decontam
+from barloom.llm import _common, decontam
 from barloom.llm.queries import op8_winnowing
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -66,7 +66,7 @@ def test_edges(spark):
 
 
 def test_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(_common, "BROADCAST_BYTES", -1)
     test_edges(spark)
 
 
