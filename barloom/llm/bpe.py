@@ -1,9 +1,10 @@
 """BPE encoding and decoding through a minimal acyclic transducer of frequent words.
 
-The corpus is counted once; its most frequent words (at most ``LEXICON_WORDS``) are merged on the driver
-and compiled into a shared-suffix automaton whose arcs carry word numbers, so a walk yields the place of the
-word's token ids. The automaton is one byte string of bounded size; each Python worker memory-maps it.
-Words that it doesn't hold are merged exactly by rank.
+The words of all texts are counted once; the most frequent ones (about ``LEXICON_WORDS``, found by a histogram of
+counts, so that only they reach the driver) are merged there and compiled into a shared-suffix automaton whose arcs
+carry word numbers, so a walk yields the place of the word's token ids. The automaton is one byte string of bounded
+size; each executor keeps it in one file that its Python workers memory-map. Words that it doesn't hold are merged
+exactly by rank. Walks and merges run over all new words of a slice of texts at once, in numpy.
 
 Defined results: a null or empty text has no tokens; repeated rows are encoded alike; only the id and text
 columns are read, so other columns and their names don't matter; an empty table gives no rows.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
+import os
 import re
 import tempfile
 import unicodedata
@@ -27,13 +29,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._common import ship
+from barloom.llm._common import ship, slices, written
 
-#: Words in the transducer, at most. With at most 48 bytes of word each, it stays under about 20 MB.
+#: Words in the transducer, about at most. With at most 48 bytes of word each, it stays under about 20 MB.
 LEXICON_WORDS = 1 << 16
 LEXICON_BYTES = 48
 #: Entries of a worker's word cache and of a counting table before it is emptied.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
+#: Words of more bytes are merged one by one, with a heap.
+LONG_WORD = 96
+#: Words merged at once, few enough for the processor's cache.
+MERGED_AT_ONCE = 4096
 
 _GENERAL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: The same classes written out for texts without characters above U+00FF.
@@ -66,6 +72,59 @@ class Vocabulary:
         self.table = str.maketrans({chr(b): c for b, c in self.letters.items()})
         names = {i: s for s, i in (self.ids | self.special).items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
+        self.size = len(self.names)
+        merges = sorted((self.ids[a] * self.size + self.ids[b], r, self.ids[a + b]) for (a, b), r in self.ranks.items())
+        self.pairs, self.pair_ranks, joined = (np.array([m[i] for m in merges], np.int64) for i in range(3))
+        self.joined = np.zeros(len(self.ranks), np.int64)
+        self.joined[self.pair_ranks] = joined
+        self.inner, self.last = (np.array([self.ids.get(self.letters[b] + end, -1) for b in range(256)], np.int64) for end in ("", self.suffix))
+
+    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids; the number of merges for none."""
+        keys = a * self.size + b
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.pair_ranks[at], len(self.ranks))
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian 32-bit integers. In each round every word has its first pair of the best rank merged."""
+        if not words:
+            return []
+        if not len(self.pairs) or any(len(w) > LONG_WORD for w in words):
+            return [np.array(self.merge(w.decode()), "<i4").tobytes() for w in words]
+        if len(words) > MERGED_AT_ONCE:
+            return [x for i in range(0, len(words), MERGED_AT_ONCE) for x in self.merge_all(words[i : i + MERGED_AT_ONCE])]
+        sizes = np.array([len(w) for w in words], np.int64)
+        flat, of = np.frombuffer(b"".join(words), np.uint8), np.repeat(np.arange(len(words)), sizes)
+        ids, ends = self.inner[flat], np.cumsum(sizes) - 1
+        ids[ends] = self.last[flat[ends]]
+        top, done = len(self.ranks), []
+        rank = np.full(len(ids), top)
+        rank[:-1] = np.where(of[1:] == of[:-1], self._ranks_of(ids[:-1], ids[1:]), top)
+        while len(ids):
+            new = np.concatenate([[True], of[1:] != of[:-1]])
+            best = np.minimum.reduceat(rank, np.flatnonzero(new))
+            word = np.cumsum(new) - 1
+            best = best[word]
+            if (ended := best == top).any():
+                done.append((of[ended], ids[ended]))
+                live = ~ended
+                of, ids, rank, best, word = of[live], ids[live], rank[live], best[live], word[live]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == best)
+            at = at[np.concatenate([[True], word[at][1:] != word[at][:-1]])]
+            ids[at] = self.joined[rank[at]]
+            kept = np.ones(len(ids), bool)
+            kept[at + 1] = False
+            shift = np.cumsum(kept) - 1
+            of, ids, rank, at = of[kept], ids[kept], rank[kept], shift[at]
+            near = np.unique(np.concatenate([at, np.maximum(at - 1, 0)]))
+            right = np.minimum(near + 1, len(ids) - 1)
+            rank[near] = np.where((of[right] == of[near]) & (right > near), self._ranks_of(ids[near], ids[right]), top)
+        of, ids = (np.concatenate(x) for x in zip(*done))
+        ids = ids[np.argsort(of, kind="stable")].astype("<i4").tobytes()
+        cuts = (4 * np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(words)))])).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def merge(self, word: str) -> list[int]:
         parts = list(word.encode().decode("latin-1").translate(self.table))
@@ -168,83 +227,115 @@ class Lexicon:
             else:
                 size[s] = int(states[s][0]) + sum(size[t] for _, t in states[s][1])
                 stack.pop()
-        first, labels, targets, adds, finals = array("i", [0]), bytearray(), array("i"), array("i"), bytearray()
-        for s in order:
+        arcs_at, targets, adds, finals = array("q"), array("i"), array("i"), bytearray()
+        for place, s in enumerate(order):
             final, arcs = states[s]
             passed = int(final)
             for c, t in arcs:
-                labels.append(c)
+                arcs_at.append(place << 8 | c)
                 targets.append(number[t])
                 adds.append(passed)
                 passed += size[t]
-            first.append(len(labels))
             finals.append(final)
         at, ids = array("i", [0]), array("i")
         for word in words:
             ids.extend(entries[word])
             at.append(len(ids))
-        parts = [bytes(labels), bytes(finals), first.tobytes(), targets.tobytes(), adds.tobytes(), at.tobytes(), ids.tobytes()]
+        parts = [arcs_at.tobytes(), bytes(finals), targets.tobytes(), adds.tobytes(), at.tobytes(), ids.tobytes()]
         head = np.array([len(p) for p in parts], np.int64).tobytes()
         pad = lambda p: p + bytes(-len(p) % 8)
         return head + b"".join(map(pad, parts))
 
     def __init__(self, blob: bytes):
-        with tempfile.TemporaryFile() as f:
-            f.write(blob)
-            f.flush()
+        name = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(blob).hexdigest()[:32]}")
+        if not os.path.exists(name):
+            with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
+                f.write(blob)
+            os.replace(f.name, name)
+        with open(name, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        sizes = np.frombuffer(self.map, np.int64, 7)
-        starts = 56 + np.concatenate([[0], np.cumsum((sizes + 7) // 8 * 8)])
-        self.base = int(starts[0])
-        view = memoryview(self.map)
-        part = lambda i, kind: view[int(starts[i]) : int(starts[i] + sizes[i])].cast(kind)
-        self.finals = part(1, "B")
-        self.first, self.targets, self.adds, self.at = (part(i, "i") for i in (2, 3, 4, 5))
-        self.ids = view[int(starts[6]) : int(starts[6] + sizes[6])]
-        self.empty = len(self.finals) == 0
+        sizes = np.frombuffer(self.map, np.int64, 6)
+        starts = 48 + np.concatenate([[0], np.cumsum((sizes + 7) // 8 * 8)])
+        part = lambda i, kind: np.frombuffer(self.map, kind, int(sizes[i]) // np.dtype(kind).itemsize, int(starts[i]))
+        self.arcs, self.finals = part(0, np.int64), part(1, np.uint8)
+        self.targets, self.adds, self.at = (part(i, np.int32) for i in (2, 3, 4))
+        self.ids = memoryview(self.map)[int(starts[5]) : int(starts[5] + sizes[5])]
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, -1 for words that the automaton doesn't hold: all walks advance together, an arc at a time."""
+        out = np.full(len(words), -1)
+        if not len(self.arcs):
+            return out
+        sizes = np.array([len(w) for w in words], np.int64)
+        flat, start = np.frombuffer(b"".join(words) or bytes(1), np.uint8), np.cumsum(sizes) - sizes
+        live, state, number, step = np.flatnonzero(sizes <= LEXICON_BYTES), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
+        while len(live):
+            ended = live[sizes[live] == step]
+            ended = ended[self.finals[state[ended]] == 1]
+            out[ended] = number[ended]
+            live = live[sizes[live] > step]
+            keys = state[live] << 8 | flat[start[live] + step]
+            arc = np.minimum(np.searchsorted(self.arcs, keys), len(self.arcs) - 1)
+            found = self.arcs[arc] == keys
+            live, arc, step = live[found], arc[found], step + 1
+            number[live] += self.adds[arc]
+            state[live] = self.targets[arc]
+        return out
 
     def get(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian 32-bit integers."""
-        state, number, base, find, first = 0, 0, self.base, self.map.find, self.first
-        for i in range(len(word)):
-            arc = find(word[i : i + 1], base + first[state], base + first[state + 1]) - base
-            if arc < 0:
-                return None
-            number += self.adds[arc]
-            state = self.targets[arc]
-        if not self.finals[state]:
-            return None
-        return bytes(self.ids[4 * self.at[number] : 4 * self.at[number + 1]])
+        number = int(self.numbers([word])[0])
+        return None if number < 0 else self.entry(number)
+
+    def entry(self, number: int) -> bytes:
+        return bytes(self.ids[4 * int(self.at[number]) : 4 * int(self.at[number + 1])])
 
 
 class Encoder(dict):
-    """word -> its ids as bytes; filled from the transducer, else by exact merging; emptied when full."""
+    """word -> its ids as bytes; filled from the transducer, else by exact merging; when it is full, merged words go."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         super().__init__()
-        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.vocabulary, self.lexicon, self.listed = vocabulary, lexicon, {}
         self.split = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = self.lexicon.get(word.encode()) if self.lexicon else None
-        if found is None:
-            found = np.array(self.vocabulary.merge(word), "<i4").tobytes()
-        if len(word) <= 64:
-            self[word] = found
-        return found
+    def learn(self, words: list[str]) -> None:
+        raw = [w.encode() for w in words]
+        numbers = self.lexicon.numbers(raw) if self.lexicon else np.full(len(raw), -1)
+        unseen = []
+        for w, r, n in zip(words, raw, numbers.tolist()):
+            if n >= 0:
+                self[w] = self.listed[w] = self.lexicon.entry(n)
+            else:
+                unseen.append((w, r))
+        for some in ([x for x in unseen if len(x[1]) <= LONG_WORD], *([x] for x in unseen if len(x[1]) > LONG_WORD)):
+            if some:
+                self.update(zip((w for w, _ in some), self.vocabulary.merge_all([r for _, r in some])))
 
-    def encode(self, text: str | None) -> bytes:
+    def parts(self, text: str | None) -> list[str]:
+        """The words of a text, and its special tokens as such."""
         if not text:
-            return b""
+            return []
         if self.split is None or "<" not in text or not self.split.search(text):
-            return b"".join(map(self.__getitem__, words_of(text)))
+            return words_of(text)
+        return [w for part in self.split.split(text) for w in ([part] if part in self.vocabulary.special else words_of(part))]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        lists = [self.parts(t) for t in texts]
+        every = set().union(*lists)
+        new = every - self.keys()
+        if len(self) + len(new) > CACHE_WORDS:
+            self.clear()
+            self.update(self.listed)
+            new = every - self.keys()
         special = self.vocabulary.special
-        return b"".join(
-            np.array([special[part]], "<i4").tobytes() if part in special else b"".join(map(self.__getitem__, words_of(part)))
-            for part in self.split.split(text)
-        )
+        self.update((w, np.array([special[w]], "<i4").tobytes()) for w in new & special.keys())
+        self.learn(sorted(new - special.keys()))
+        return [b"".join(map(self.__getitem__, words)) for words in lists]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
 
 _LOADED: dict = {}
@@ -289,17 +380,24 @@ def word_counts(docs: DataFrame, content: bytes, text: str = "text") -> DataFram
 
 
 def compile_lexicon(docs: DataFrame, content: bytes, words: int = LEXICON_WORDS, text: str = "text") -> bytes:
-    """The transducer of the ``words`` most frequent words (a bounded number reaches the driver)."""
-    top = (
-        word_counts(docs, content, text)
-        .filter(F.octet_length("word") <= LEXICON_BYTES)
-        .orderBy(F.desc("n"), "word")
-        .limit(words)
-        .select("word")
-        .collect()
-    )
+    """The transducer of about the ``words`` most frequent words that occur twice or more.
+
+    A histogram of counts on a log scale (under 1000 levels) gives the level at which the number is reached; of that
+    level a share drawn by hash is taken. Only the words taken reach the driver.
+    """
+    counted = word_counts(docs, content, text).filter((F.octet_length("word") <= LEXICON_BYTES) & (F.col("n") > 1))
+    counted = written(counted.select("word", F.floor(F.log2("n") * 16).cast("int").alias("level")))
+    left, least, share = words, 1 << 30, 0.0
+    for r in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
+        least, share, left = r.level, min(1.0, left / r["count"]), left - r["count"]
+        if left <= 0:
+            break
+    drawn = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30))
+    top = counted.filter((F.col("level") > least) | ((F.col("level") == least) & drawn)).select("word").collect()
     vocabulary = Vocabulary(content)
-    return Lexicon.build({r.word.encode(): vocabulary.merge(r.word) for r in top})
+    raw = sorted(r.word.encode() for r in top)
+    ids = vocabulary.merge_all(raw)
+    return Lexicon.build({w: np.frombuffer(i, "<i4").tolist() for w, i in zip(raw, ids)})
 
 
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
@@ -310,13 +408,11 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     def run(batches):
         encoder = _encoder(key, content, blob)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [encoder.encode(t.as_py()) for t in part.column(1)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
+        for part in slices(batches, 1):
+            found = encoder.encode_all(part.column(1).to_pylist())
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])])
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
+            yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, ids array<int>")
@@ -324,10 +420,10 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded): the tokens' strings joined by spaces, as a file without a decoder asks for."""
-    content = ship(encoded.sparkSession, read_vocabulary(path))
+    named = ship(encoded.sparkSession, Vocabulary(read_vocabulary(path)).names)
 
     def run(batches):
-        names = pa.array(Vocabulary(content.value).names, pa.large_string())
+        names = pa.array(named.value, pa.large_string())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
