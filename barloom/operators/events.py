@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.cdf import detectable_effect, wilson, z_against_half
-from barloom.functions.safe import log, ratio
-from barloom.operators.bars import KEYS, order, sessions
+from barloom.functions.safe import log, ratio, seconds
+from barloom.operators.bars import KEYS, order
 
 GATES = ("A", "B", "C")
 TIERS = {"primary": 0.95, "secondary": 0.70}
@@ -19,33 +19,49 @@ def with_gates(df: DataFrame, gap: int, n: int = 20, median_n: int = 50, valid:
 
     Windows count the current row and must be full; a window without spread has no z; a gate is null where any part is.
     """
-    good = sessions(df.filter(valid), gap)
-    rows = Window.partitionBy(*KEYS, "session_id").orderBy("ts")
+    ok = F.coalesce(F.col(valid), F.lit(False))
+    before = F.last(F.when(ok, seconds("ts")), ignorenulls=True).over(order().rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(ok, F.coalesce((seconds("ts") - before > gap).cast("int"), F.lit(1))).otherwise(0)
+    df = df.withColumn("session_id", F.when(ok, F.sum(fresh).over(order().rowsBetween(Window.unboundedPreceding, 0))).otherwise(F.lit(0)).cast("long"))
+    rows = Window.partitionBy(*KEYS, "session_id").orderBy("ts")  # invalid rows have a session of their own
 
     def z(c: Column) -> Column:
         w = rows.rowsBetween(1 - n, 0)
-        return F.when(F.count(c).over(w) == n, ratio(c - F.avg(c).over(w), F.nullif(F.stddev_samp(c).over(w), F.lit(0.0))))
+        return F.when(ok & (F.count(c).over(w) == n), ratio(c - F.avg(c).over(w), F.nullif(F.stddev_samp(c).over(w), F.lit(0.0))))
 
     m = rows.rowsBetween(1 - median_n, 0)
-    good = good.withColumn("z_imb", z(F.abs("imbalance_t"))).withColumn("z_conc", z(F.col("sign_concordance")))
-    good = good.withColumn("der_median", F.when(F.count("der").over(m) == median_n, F.percentile("der", 0.5).over(m)))
+    df = df.withColumn("z_imb", z(F.abs("imbalance_t"))).withColumn("z_conc", z(F.col("sign_concordance")))
+    df = df.withColumn("der_median", F.when(ok & (F.count("der").over(m) == median_n), F.percentile("der", 0.5).over(m)))
     up = lambda c: F.when(c.isNotNull(), F.greatest(c, F.lit(0.0)))
-    good = good.withColumn("d_A", up(F.col("z_imb"))).withColumn("d_B", up(F.col("z_imb") * F.col("z_conc")))
-    good = good.withColumn("d_C", F.col("d_B") * (F.col("der") > F.col("der_median")).cast("double"))
-    rest = df.filter(~F.coalesce(F.col(valid), F.lit(False))).withColumn("session_id", F.lit(0).cast("long"))
-    return good.unionByName(rest, allowMissingColumns=True)
+    df = df.withColumn("d_A", up(F.col("z_imb"))).withColumn("d_B", up(F.col("z_imb") * F.col("z_conc")))
+    return df.withColumn("d_C", F.col("d_B") * (F.col("der") > F.col("der_median")).cast("double"))
+
+
+def with_forward(df: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """Df with ``forward``, structs (horizon, fwd): log return h bars ahead in the same session, else null."""
+    w = order()
+    each = [F.struct(F.lit(h).alias("horizon"), F.when(F.lead("session_id", h).over(w) == F.col("session_id"), log(ratio(F.lead("close", h).over(w), F.col("close")))).alias("fwd")) for h in horizons]
+    return df.withColumn("forward", F.array(*each))
 
 
 def long_gates(df: DataFrame) -> DataFrame:
     """One row per bar and gate."""
-    return df.unpivot(["root", "instrument_id", "ts", "session_id", "close", "imbalance_t"], [f"d_{g}" for g in GATES], "gate", "d").withColumn("gate", F.substring("gate", 3, 1))
+    carried = ["forward"] if "forward" in df.columns else []
+    return df.unpivot(["root", "instrument_id", "ts", "session_id", "close", "imbalance_t", *carried], [f"d_{g}" for g in GATES], "gate", "d").withColumn("gate", F.substring("gate", 3, 1))
 
 
-def thresholds(gated: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Linear percentiles of the positive values in the warm-up period, by root and gate."""
+def thresholds(gated: DataFrame, start: Column, end: Column, least: int | None = None) -> DataFrame:
+    """Linear percentiles of the positive values in the warm-up period, by root and gate.
+
+    With ``least``, any root and gate with fewer positive values there is an error; it is raised when the query runs.
+    """
     p = gated.filter((F.col("ts") >= start) & (F.col("ts") < end) & (F.col("d") > 0))
     tiers = [F.struct(F.lit(t).alias("tier"), F.percentile("d", q).alias("threshold")) for t, q in TIERS.items()]
-    return p.groupBy("root", "gate").agg(F.count("*").alias("n_pos"), F.array(*tiers).alias("t")).select("root", "gate", "n_pos", F.explode("t").alias("t")).select("root", "gate", "n_pos", "t.*")
+    out = p.groupBy("root", "gate").agg(F.count("*").alias("n_pos"), F.array(*tiers).alias("t"))
+    if least is not None:
+        few = F.raise_error(F.concat(F.lit("too few positive values to calibrate: "), "root", F.lit(" "), "gate")).cast("long")
+        out = out.withColumn("n_pos", F.when(F.col("n_pos") < least, few).otherwise(F.col("n_pos")))
+    return out.select("root", "gate", "n_pos", F.explode("t").alias("t")).select("root", "gate", "n_pos", "t.*")
 
 
 def rising(gated: DataFrame, limits: DataFrame, start: Column, first_only: bool = True) -> DataFrame:
@@ -65,15 +81,13 @@ def rising(gated: DataFrame, limits: DataFrame, start: Column, first_only: bool
 
 
 def forward_returns(df: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """(root, instrument_id, ts, horizon, fwd): log return h bars ahead in the same session, else null."""
-    w = order()
-    each = [F.struct(F.lit(h).alias("horizon"), F.when(F.lead("session_id", h).over(w) == F.col("session_id"), log(ratio(F.lead("close", h).over(w), F.col("close")))).alias("fwd")) for h in horizons]
-    return df.select(*KEYS, "ts", F.array(*each).alias("f")).select(*KEYS, "ts", F.explode("f").alias("f")).select(*KEYS, "ts", "f.*")
+    """(root, instrument_id, ts, horizon, fwd), as in with_forward."""
+    return with_forward(df, horizons).select(*KEYS, "ts", F.explode("forward").alias("f")).select(*KEYS, "ts", "f.*")
 
 
-def scored(events: DataFrame, forward: DataFrame) -> DataFrame:
-    """events by horizon with ``hit``: 1 or 0 where both signs are known and not 0, else null."""
-    both = events.join(forward, [*KEYS, "ts"])
+def scored(events: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """events (with ``forward``) by horizon with ``hit``: 1 or 0 where both signs are known and not 0, else null."""
+    both = events.withColumn("f", F.explode(F.filter("forward", lambda f: f["horizon"].isin(*horizons)))).select(*[c for c in events.columns if c != "forward"], "f.*")
     ok = F.col("fwd").isNotNull() & (F.signum("imbalance_t") != 0) & (F.signum("fwd") != 0)
     return both.withColumn("hit", F.when(ok, (F.signum("imbalance_t") == F.signum("fwd")).cast("int")))
 
@@ -117,13 +131,13 @@ def event_counts(events: DataFrame, df: DataFrame, start: Column, strict: bool =
     return per.join(total, "root").join(hit, ["root", "gate", "tier"]).withColumn("frac_sessions", F.col("with_event") / F.col("total_eval_sessions")).drop("with_event")
 
 
-def sanity(df: DataFrame, forward: DataFrame, start: Column, n: int = 20) -> DataFrame:
+def sanity(df: DataFrame, start: Column, n: int = 20) -> DataFrame:
     """The first n evaluation sessions of each root and their ungated accuracy."""
     ev = df.filter((F.col("ts") >= start))
     first = ev.groupBy("root", "instrument_id", "session_id").agg(F.min("ts").alias("t0"))
     kept = first.withColumn("_n", F.row_number().over(Window.partitionBy("root").orderBy("instrument_id", "t0"))).filter(F.col("_n") <= n)
     base = ev.join(kept.select("root", "instrument_id", "session_id"), ["root", "instrument_id", "session_id"], "left_semi")
-    return accuracy(scored(base, forward.filter("horizon = 1")), ["root"])
+    return accuracy(scored(base, (1,)), ["root"])
 
 
 def cross_cutting(cells: DataFrame) -> DataFrame:

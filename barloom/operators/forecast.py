@@ -26,9 +26,10 @@ def folds(df: DataFrame, first_months: int = 12, block_months: int = 2, purge_da
     ``strict_purge`` ends training ``purge_days`` earlier.
     """
     b = df.agg(F.date_trunc("DAY", F.min("ts")).alias("a"), F.max("ts").alias("z"))
-    k = F.explode(F.sequence(F.lit(0), F.lit(600)))
     months = lambda c, n: F.expr(f"cast(add_months({c}, {n}) AS timestamp_ntz)")
-    b = b.withColumn("first", (F.add_months("a", first_months).cast("timestamp_ntz") + F.expr(f"INTERVAL {purge_days} DAY"))).withColumn("fold_id", k)
+    b = b.withColumn("first", (F.add_months("a", first_months).cast("timestamp_ntz") + F.expr(f"INTERVAL {purge_days} DAY")))
+    last = F.greatest(F.floor(F.months_between("z", "first") / block_months), F.lit(0)).cast("int")
+    b = b.withColumn("fold_id", F.explode(F.sequence(F.lit(0), F.coalesce(last, F.lit(0)))))
     b = b.withColumn("test_start", months("first", f"{block_months} * fold_id")).withColumn("test_end", months("first", f"{block_months} * (fold_id + 1)")).filter("test_end <= z")
     stop = F.col("test_start") - F.expr(f"INTERVAL {purge_days} DAY") if strict_purge else F.col("test_start") - F.expr("INTERVAL 1 SECOND")
     return b.select("fold_id", F.col("a").cast("timestamp_ntz").alias("train_start"), stop.alias("train_end"), "test_start", "test_end")
@@ -66,17 +67,19 @@ def persistence(sigma: str = "sigma_lag1", horizon: int = 12) -> Column:
 
 
 def ols(rows: DataFrame, inputs: list[Column], name: str) -> DataFrame:
-    """M8, M9: least squares of all folds in one job: Gram sums by fold, then one small solve for each."""
-    x = [F.lit(1.0), *inputs]
-    k = len(x)
-    sums = [F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(x[i] * F.col("target")).alias(f"y{i}") for i in range(k)]
+    """M8, M9: least squares of all folds in one job: means and covariances by fold, then one small solve for each fold."""
+    k = len(inputs)
+    y = F.col("target")
+    sums = [F.covar_pop(inputs[i], inputs[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
+    sums += [F.covar_pop(inputs[i], y).alias(f"y{i}") for i in range(k)] + [F.avg(inputs[i]).alias(f"m{i}") for i in range(k)] + [F.avg(y).alias("m")]
     table = []
-    for r in rows.filter("part = 'train'").groupBy("fold_id").agg(*sums).collect():
+    for r in rows.filter("part = 'train'").groupBy("fold_id").agg(*sums).collect():  # one row for each fold
         g = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        table.append((r.fold_id, [float(v) for v in np.linalg.lstsq(g, np.array([r[f"y{i}"] for i in range(k)]), rcond=None)[0]]))
+        b = np.linalg.lstsq(g, np.array([r[f"y{i}"] for i in range(k)]), rcond=None)[0]
+        table.append((r.fold_id, [r.m - float(sum(b[i] * r[f"m{i}"] for i in range(k))), *map(float, b)]))
     beta = rows.sparkSession.createDataFrame(table, "fold_id int, beta array<double>")
     rows = rows.join(F.broadcast(beta), "fold_id", "left")
-    return rows.withColumn(name, sum((F.get("beta", i) * x[i] for i in range(1, k)), F.get("beta", 0))).drop("beta")
+    return rows.withColumn(name, sum((F.get("beta", i + 1) * x for i, x in enumerate(inputs)), F.get("beta", 0))).drop("beta")
 
 
 def each_fold(rows: DataFrame, fit) -> list:
@@ -152,7 +155,8 @@ def average_rank(value: str, keys: list[str]) -> Column:
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     r = df.withColumn("_a", average_rank(a, keys)).withColumn("_b", average_rank(b, keys))
-    return r.groupBy(*keys).agg(F.corr("_a", "_b").alias("rho"))
+    spread = F.stddev_pop("_a") * F.stddev_pop("_b")
+    return r.groupBy(*keys).agg(F.try_divide(F.covar_pop("_a", "_b"), spread).alias("rho"))  # null where all are tied
 
 
 def metrics(preds: DataFrame, models: list[str], pivots: DataFrame, least: int = 10) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.safe import rounded
@@ -11,7 +11,7 @@ from barloom.operators import fitting as Q
 from barloom.operators import flow as X
 from barloom.operators import regime as R
 from barloom.operators import validation as V
-from barloom.plans.market import BARS, CUT, FLOW, GAP, MAIN, ROOTS, SIGMA, SPAN, TCDF, WARM, event_ticks, features, main_bars, params, sigma_bars
+from barloom.plans.market import BARS, FEATURES, GAP, MAIN, ROOTS, SIGMA, SPAN, TCDF, WARM, event_ticks, features, main_bars, params, sigma_bars
 from barloom.sources.tables import order_ticks
 
 QUERIES: dict = {}
@@ -59,7 +59,13 @@ def f1(spark, d):
     return rounded(Q.fit_student_t(z_rows(spark, d), ["root"]), 5)
 
 
-@query("f4_shoulder")
+@query(
+    "f4_shoulder",
+    ZQ + f""", rk AS (SELECT root, z, k, n, lead(z) OVER (PARTITION BY root ORDER BY k) AS ahead FROM r), gx AS (SELECT root, side, CASE side WHEN 'right' THEN 1.0 ELSE -3.0 END + i * 2.0 / 499 AS x FROM (SELECT DISTINCT root FROM r), (SELECT unnest(range(0, 500)) AS i), (SELECT unnest(['right', 'left']) AS side)),
+gi AS (SELECT gx.root, side, CASE WHEN k IS NULL THEN 0.0 WHEN ahead IS NULL THEN CASE WHEN x > z THEN 1.0 ELSE k / (n + 1) END ELSE (k + coalesce((x - z) / nullif(ahead - z, 0), 0)) / (n + 1) END AS ec, (x - 0.01) / 0.85 AS u FROM gx ASOF LEFT JOIN rk ON gx.root = rk.root AND gx.x >= rk.z),
+gd AS (SELECT root, max(abs(ec - {TCDF})) FILTER (side = 'right') AS a, max(abs(ec - {TCDF})) FILTER (side = 'left') AS b FROM gi GROUP BY root)
+SELECT root, round(a, 6) AS max_dev_right, round(b, 6) AS max_dev_left, greatest(a, b) < 0.01 AS passes FROM gd""",
+)
 def f4(spark, d):
     return rounded(Q.shoulder(z_rows(spark, d), locked(spark), ["root"]))
 
@@ -226,18 +232,25 @@ def r13(spark, d):
     return rounded(R.refit_triggers(d2, limits).join(Q.yearly_span(fits, ["root"]), "root"), 4)
 
 
-CHECKED = ["der", "sign_concordance", "subbar_imbalance", "body_to_range", "gel_fraction"]
+CHECKED = ["der", "sign_concordance", "subbar_imbalance", "clv_mean", "clv_var", "imbalance_t", "z", "sigma_yz", "body_to_range", "gel_fraction", "wick_asymmetry", "amihud", "ko_W", "polar_order_P"]
+#: (root, feature, value) of the valid bars.
+LONGSQL = FEATURES + ", lg AS (" + " UNION ALL ".join(f"SELECT root, '{c}' AS feature, \"{c}\" AS v FROM fe WHERE ok" for c in CHECKED) + ")"
 
 
-@query("w1_w5_w8_availability")
+@query("w1_w5_w8_availability", LONGSQL + " SELECT root, feature, count(*) AS n, count(v) AS known, round(count(v) / count(*), 6) AS rate, count(v) = 0 AS all_null, count(v) / count(*) < 0.9 AS rare FROM lg GROUP BY ALL")
 def w1(spark, d):
     return rounded(V.availability(features(spark, d), CHECKED))
 
 
-@query("w2_range_check")
+@query(
+    "w2_range_check",
+    LONGSQL + """, st AS (SELECT root, feature, avg(v) AS mean, median(v) AS median, stddev_samp(v) AS std, min(v) AS min, quantile_cont(v, 0.01) AS p01, quantile_cont(v, 0.99) AS p99, max(v) AS max FROM lg GROUP BY ALL)
+SELECT root, feature, round(mean, 4) + 0 AS mean, round(median, 4) + 0 AS median, round(std, 4) AS std, round(min, 4) + 0 AS min, round(p01, 4) + 0 AS p01, round(p99, 4) + 0 AS p99, round(max, 4) + 0 AS max, -1.0::DOUBLE AS low, 1.0::DOUBLE AS high,
+ CASE WHEN min < -1 THEN 'min' WHEN max > 1 THEN 'max' WHEN NOT mean BETWEEN -1 AND 1 THEN 'mean' ELSE 'ok' END AS "check" FROM st""",
+)
 def w2(spark, d):
     e = spark.createDataFrame([(f, -1.0, 1.0) for f in CHECKED], "feature string, low double, high double")
-    return rounded(V.range_check(features(spark, d), e))
+    return rounded(V.range_check(features(spark, d), e), 4)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.safe import rounded, seconds
-from barloom.plans.market import CUT, ROOTS, features
+from barloom.plans.market import FEATURES, CUT, ROOTS, features
 from barloom.sources import ingest as S
 from barloom.sources.tables import read
 
@@ -127,11 +127,11 @@ def q12(spark, d):
     return S.profile(raw(spark, d), ["symbol", "instrument_id"])
 
 
-@query("q13_retention")
+@query("q13_retention", FEATURES + " SELECT root, count(*) AS total, count(*) FILTER (ok) AS valid, count(*) - count(*) FILTER (ok) AS excluded, round(count(*) FILTER (ok) / count(*), 6) AS share FROM fe GROUP BY root")
 def q13(spark, d):
     return rounded(S.retention(features(spark, d), F.col("is_valid_bar")))
 
 
-@query("q14_window_counts")
+@query("q14_window_counts", FEATURES + " SELECT root, count(*) AS n_total, count(*) FILTER (ok) AS n_valid, count(*) FILTER (train) AS n_train, 300::INT AS middle, round((count(*) FILTER (train) - 300) * 100.0 / 300, 6) + 0 AS deviation_pct, abs((count(*) FILTER (train) - 300) * 100.0 / 300) > 20 AS flagged FROM fe GROUP BY root")
 def q14(spark, d):
     return rounded(S.window_counts(features(spark, d), spark.createDataFrame([(r, 300) for r in ROOTS], "root string, middle int")))

@@ -17,6 +17,7 @@ SUB, MAIN, GAP, WARM, SPAN = 10, 60, 7200, 10, 20
 ROOTS = ("click", "error", "purchase", "signup", "view")
 PARAMS = [(r, 4.0, 0.01, 0.85) for r in ROOTS]
 CUT = "2024-01-08 00:00:00"
+REGIME = "2024-01-02 00:00:00"
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,7 +54,7 @@ def gates(spark, name: str, at: str = CUT) -> DataFrame:
 
 
 def features(spark, d) -> DataFrame:
-    return X.feature_table(sub_bars(spark, d), params(spark), gates(spark, "regime_start", "2024-01-02 00:00:00"), gates(spark, "cutoff"), MAIN, SPAN, WARM, GAP)
+    return X.feature_table(sub_bars(spark, d), params(spark), gates(spark, "regime_start", REGIME), gates(spark, "cutoff"), MAIN, SPAN, WARM, GAP)
 
 
 def shown(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -175,12 +176,21 @@ def v9(spark, d):
     return shown(B.with_yang_zhang(main_bars(spark, d)), "sigma_yz")
 
 
-@query("v10_convergence")
+SESSV = BARS + ", " + SESS.format(src="bar") + f""", v0 AS (SELECT root, ts, session_id, lag({GK}) OVER (PARTITION BY root, session_id ORDER BY ts) AS gk FROM s2), v1 AS (SELECT *, row_number() OVER (PARTITION BY root, session_id ORDER BY ts) AS i FROM v0 WHERE gk IS NOT NULL),
+v2 AS (SELECT *, sqrt(pow(19.0 / 21.0, i) * (first_value(gk) OVER p / (19.0 / 21.0) + sum(CASE WHEN i > 1 THEN gk * (2.0 / 21.0) * pow(19.0 / 21.0, -i) ELSE 0 END) OVER (p ROWS UNBOUNDED PRECEDING))) AS sig FROM v1 WINDOW p AS (PARTITION BY root, session_id ORDER BY ts)),
+v3 AS (SELECT *, max(CASE WHEN i = 60 THEN sig END) OVER (PARTITION BY root, session_id) AS late FROM v2),
+v4 AS (SELECT root, i::INT AS bar_no, median(abs(sig / late - 1)) AS m, quantile_cont(abs(sig / late - 1), 0.9) AS q FROM v3 WHERE late IS NOT NULL AND i <= 40 GROUP BY ALL)"""
+
+
+@query(
+    "v10_convergence",
+    SESSV + " SELECT root, bar_no, round(m, 6) AS median_off, round(q, 6) AS p90_off, min(CASE WHEN m < 0.05 THEN bar_no END) OVER (PARTITION BY root) AS first_5pct, min(CASE WHEN m < 0.1 THEN bar_no END) OVER (PARTITION BY root) AS first_10pct FROM v4",
+)
 def v10(spark, d):
     return rounded(B.convergence(main_bars(spark, d), GAP, 60, 40))
 
 
-@query("v11_checkpoints")
+@query("v11_checkpoints", SESSV + " SELECT root, " + ", ".join(f'round(max(CASE WHEN bar_no = {k} THEN m END), 6) AS "{k}"' for k in (1, 10, 20, 40)) + " FROM v4 WHERE bar_no IN (1, 10, 20, 40) GROUP BY root")
 def v11(spark, d):
     return rounded(B.checkpoints(B.convergence(main_bars(spark, d), GAP, 60, 40), (1, 10, 20, 40)))
 
@@ -214,7 +224,27 @@ def x7(spark, d):
     return shown(X.subbar_features(sub_bars(spark, d), params(spark), MAIN, "session", SPAN, WARM, GAP), "der", "sign_concordance", "subbar_imbalance", "z")
 
 
-@query("x8_confidence_weights")
+#: The feature table: flow columns are null before the regime start, geometry on bars that aren't valid.
+FEATURES = SUBFLOW + f""", y0 AS (SELECT *, ln(open / lag(close) OVER ({W})) AS night, ln(close / open) AS day, ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) AS rs, 0.34 / (1.34 + 21.0 / 19.0) AS yk,
+  ln(close / lag(close) OVER ({W})) AS cr, (z - 0.01) / 0.85 AS u FROM z),
+y1 AS (SELECT *, sign(coalesce(cr, 0)) AS sg, pos >= {WARM} AND sigma IS NOT NULL AND ts >= TIMESTAMP '{REGIME}' AS ok, 2 * {TCDF} - 1 AS imb0, {TCDF} AS buy0 FROM y0),
+y2 AS (SELECT *, CASE WHEN count(night) OVER w = 20 AND count(day) OVER w = 20 AND count(rs) OVER w = 20 THEN sqrt(greatest(list_aggregate(list(night) OVER w, 'var_samp') + yk * list_aggregate(list(day) OVER w, 'var_samp') + (1 - yk) * avg(rs) OVER w, 0)) END AS yz,
+  CASE WHEN count(*) OVER w50 = 50 THEN abs(sum(sg) OVER w50) / 50 END AS polar FROM y1 WINDOW w AS ({W} ROWS 19 PRECEDING), w50 AS ({W} ROWS 49 PRECEDING)),
+fe AS (SELECT y.root, y.ts, open, high, low, close, volume, clv_mean, clv_var, sigma, z, ok, ok AND y.ts >= TIMESTAMP '{CUT}' AS train, e.conc AS sign_concordance, CASE WHEN y.ts >= TIMESTAMP '{REGIME}' THEN e.simb END AS subbar_imbalance,
+  least(abs(log_ret) / (sum_abs_ret + greatest(median_abs_ret, 1e-8)), 1) AS der, CASE WHEN y.ts >= TIMESTAMP '{REGIME}' THEN imb0 END AS imbalance_t, CASE WHEN ok THEN yz END AS sigma_yz,
+  CASE WHEN ok THEN CASE WHEN high = low THEN 0 ELSE abs(close - open) / (high - low) END END AS body_to_range, CASE WHEN ok THEN CASE WHEN high = low THEN 0 ELSE abs(close - (high + low) / 2) / (high - low) END END AS gel_fraction,
+  CASE WHEN ok THEN ln(high / greatest(open, close)) - ln(least(open, close) / low) END AS wick_asymmetry, CASE WHEN ok THEN abs(cr) / volume END AS amihud, CASE WHEN ok THEN sigma * close * volume END AS "ko_W", CASE WHEN ok THEN polar END AS "polar_order_P"
+  FROM y2 y LEFT JOIN e ON y.root = e.root AND y.ts = e.ts)"""
+
+#: As SUBFLOW, with the concurrent estimate and without rows that lack one.
+CONCURRENT = SUBS + ", " + _ewma(GK, "root", SPAN, "bar", "g", 10) + """
+, z AS (SELECT *, ln(close / open) AS log_ret, ln(close / open) / nullif(sigma, 0) AS z FROM g),
+q AS (SELECT z.root, z.ts, z.log_ret, ln(s.close / s.open) AS r FROM sub s JOIN z ON s.root = z.root AND time_bucket(INTERVAL '60 minutes', s.ts) = z.ts WHERE z.sigma IS NOT NULL),
+e AS (SELECT root, ts, avg(CASE WHEN log_ret = 0 THEN 0.5 WHEN sign(r) = sign(log_ret) THEN 1.0 ELSE 0.0 END) AS c FROM q GROUP BY ALL),
+x AS (SELECT z.root, z.ts, c, least(abs(log_ret) / (sum_abs_ret + greatest(median_abs_ret, 1e-8)), 1) AS d FROM z LEFT JOIN e USING (root, ts) WHERE z.z IS NOT NULL AND sigma IS NOT NULL)"""
+
+
+@query("x8_confidence_weights", CONCURRENT + f" SELECT {T}, round((0.5 + 0.5 * c) * (0.5 + 0.5 * d), 6) AS conservative, round(c * (0.5 + 0.5 * d), 6) AS moderate, round(c * d, 6) AS aggressive FROM x")
 def x8(spark, d):
     df = X.subbar_features(sub_bars(spark, d), params(spark), MAIN, "concurrent")
     return shown(df.select("root", "ts", *[c.alias(n) for n, c in X.confidence_weights().items()]), "conservative", "moderate", "aggressive")
@@ -240,12 +270,20 @@ def x11(spark, d):
     return shown(df, "body_to_range", "gel_fraction", "wick_asymmetry", "amihud", "ko_W", "polar_order_P")
 
 
-@query("x17_scaled_imbalance")
+@query(
+    "x17_scaled_imbalance",
+    FLOW + f""", dm AS (SELECT root, ts::DATE AS day, avg(abs(imb)) AS m FROM f WHERE imb IS NOT NULL GROUP BY ALL), di AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY day) AS i FROM dm),
+du AS (SELECT root, day, pow(9.0 / 11.0, i) * (first_value(m) OVER (PARTITION BY root ORDER BY day) / (9.0 / 11.0) + sum(CASE WHEN i > 1 THEN m * (2.0 / 11.0) * pow(9.0 / 11.0, -i) ELSE 0 END) OVER (PARTITION BY root ORDER BY day ROWS UNBOUNDED PRECEDING)) AS usual FROM di)
+SELECT f.root, epoch(f.ts)::BIGINT AS t, round(abs(imb) / nullif(usual, 0), 6) AS "v_star_C" FROM f LEFT JOIN du ON f.root = du.root AND f.ts::DATE = du.day""",
+)
 def x17(spark, d):
     return shown(X.scaled_imbalance(X.with_flow(sigma_bars(spark, d), params(spark))), "v_star_C")
 
 
-@query("x18_feature_table")
+_X18 = ", ".join(f'round({c}, 6) + 0 AS {c}' for c in ("sigma_yz", "body_to_range", "gel_fraction", "wick_asymmetry", "amihud", '"ko_W"', '"polar_order_P"', "der", "sign_concordance", "subbar_imbalance", "clv_mean", "clv_var", "imbalance_t", "z"))
+
+
+@query("x18_feature_table", FEATURES + f" SELECT {T}, {_X18}, ok AS is_valid_bar, train AS is_train_valid_bar FROM fe")
 def x18(spark, d):
     return shown(features(spark, d), *X.GEOMETRY, *[c for c in X.FLOW_FEATURES], "is_valid_bar", "is_train_valid_bar")
 
