@@ -106,7 +106,7 @@ def pit(df: DataFrame, fits: DataFrame, keys: list[str], z: str = "z") -> DataFr
     return df.withColumn("u", student_t_cdf(z, F.col("nu"), F.col("loc"), F.col("scale"), F.col("t_c")))
 
 
-def ranked(df: DataFrame, keys: list[str], value: str, unit: Column, buckets: int = 1024) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], value: str, unit: Column, buckets: int = 1024, drop: bool = True) -> DataFrame:
     """df with i (1-based rank in the group) and total. ``unit`` in [0, 1] must rise with value: it deals a group's rows
     over many tasks; the offsets come from the small table of bucket counts."""
     df = df.withColumn("_b", F.least(F.floor(unit * buckets), F.lit(buckets - 1)))
@@ -114,7 +114,8 @@ def ranked(df: DataFrame, keys: list[str], value: str, unit: Column, buckets: in
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_o", F.coalesce(F.sum("count").over(before), F.lit(0))).withColumn("total", F.sum("count").over(Window.partitionBy(*keys))).drop("count")
     df = df.join(counts, [*keys, "_b"])
-    return df.withColumn("i", F.col("_o") + F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(value))).drop("_o", "_b")
+    df = df.withColumn("i", F.col("_o") + F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(value))).drop("_o")
+    return df.drop("_b") if drop else df
 
 
 def ks_p(d: Column, n: Column) -> Column:
@@ -145,9 +146,12 @@ def ecdf_grid(df: DataFrame, fits: DataFrame, keys: list[str], low: float, high:
     Each row fills the grid points up to its neighbour's value, so no range join is needed.
     """
     step = (high - low) / (points - 1)
-    r = ranked(pit(df, fits, keys, z), keys, z, F.col("u"))
-    rows = Window.partitionBy(*keys).orderBy(z, "i")
-    r = r.withColumn("ahead", F.lead(z).over(rows)).withColumn("first", F.col("i") == 1)
+    r = ranked(pit(df, fits, keys, z), keys, z, F.col("u"), drop=False)
+    # The next value is in the same bucket, or the least one of the next bucket that has rows.
+    least = r.groupBy(*keys, "_b").agg(F.min(z).alias("_least"))
+    least = least.withColumn("_next", F.lead("_least").over(Window.partitionBy(*keys).orderBy("_b"))).drop("_least")
+    rows = Window.partitionBy(*keys, "_b").orderBy("i")
+    r = r.join(least, [*keys, "_b"]).withColumn("ahead", F.coalesce(F.lead(z).over(rows), "_next")).withColumn("first", F.col("i") == 1)
     cell = lambda c: F.ceil((c - low) / step)
     span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
     here, end = F.greatest(cell(F.col(z)), F.lit(0)), F.lit(points - 1).cast("long")
@@ -187,11 +191,15 @@ def pit_histogram(df: DataFrame, fits: DataFrame, keys: list[str], bins: int = 5
 
 
 def halves(df: DataFrame, keys: list[str], z: str = "z") -> DataFrame:
-    """clean z with ``half``: full, h1, h2, by place in time order."""
-    rows = Window.partitionBy(*keys).orderBy("ts", "instrument_id")
-    c = clean_z(df, z).withColumn("_i", F.row_number().over(rows)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    part = F.when(F.col("_i") <= F.floor(F.col("_n") / 2), "h1").otherwise("h2")
-    return c.withColumn("half", F.explode(F.array(F.lit("full"), part))).drop("_i", "_n")
+    """clean z with ``half``: full, h1, h2, by place in time order (E15). Places are dealt over days, not over whole groups."""
+    c = clean_z(df, z).withColumn("_d", F.to_date("ts"))
+    days = c.groupBy(*keys, "_d").count()
+    before = Window.partitionBy(*keys).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_o", F.coalesce(F.sum("count").over(before), F.lit(0))).withColumn("_n", F.sum("count").over(Window.partitionBy(*keys))).drop("count")
+    place = F.col("_o") + F.row_number().over(Window.partitionBy(*keys, "_d").orderBy("ts", "instrument_id"))
+    part = F.when(place <= F.floor(F.col("_n") / 2), "h1").otherwise("h2")
+    c = c.join(days, [*keys, "_d"]).withColumn("_h", part)
+    return c.withColumn("half", F.explode(F.array(F.lit("full"), "_h"))).drop("_d", "_o", "_n", "_h")
 
 
 def split_half(df: DataFrame, keys: list[str], z: str = "z", minimum: int = 50) -> DataFrame:
@@ -210,14 +218,70 @@ def skew_buckets(df: DataFrame, keys: list[str], z: str = "z", minimum: int = 30
     return clean_z(df, z).groupBy(*keys, band.alias("band")).agg(F.count("*").alias("n"), F.when(F.count("*") >= minimum, F.skewness(z)).alias("skew"))
 
 
-def compare_variants(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """F8: two z variants on rows where both are known: correlation, ranges and extremes."""
+def compare_variants(df: DataFrame, keys: list[str], a: str, b: str, sigma_a: str | None = None, sigma_b: str | None = None) -> DataFrame:
+    """F8: two z variants on rows where both are known: correlation (of z, and of sigma if given), ranges and extremes."""
     p = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    sigma = [F.corr(sigma_a, sigma_b).alias("corr_sigma")] if sigma_a and sigma_b else []
     return p.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.corr(a, b).alias("corr"), F.min(a).alias("min_a"), F.max(a).alias("max_a"), F.min(b).alias("min_b"), F.max(b).alias("max_b"), F.count_if(F.abs(a) > 5).alias("extreme_a"), F.count_if(F.abs(b) > 5).alias("extreme_b")
+        F.count("*").alias("n"), F.corr(a, b).alias("corr"), *sigma, F.min(a).alias("min_a"), F.max(a).alias("max_a"), F.min(b).alias("min_b"), F.max(b).alias("max_b"), F.count_if(F.abs(a) > 5).alias("extreme_a"), F.count_if(F.abs(b) > 5).alias("extreme_b")
     )
 
 
+def fit_variants(df: DataFrame, keys: list[str], variants: dict[str, str], minimum: int = 50, limits: tuple[float, float, float] = (0.5, 0.03, 0.005)) -> DataFrame:
+    """F8: one batched fit of every variant (name -> z column) on rows where all are known, against the first one.
+
+    d_nu, d_loc and d_scale are absolute differences; ``close`` tells whether all stay within the limits (nu, loc, scale).
+    """
+    names = list(variants)
+    whole = df.dropna(subset=list(variants.values()))
+    long = whole.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.col(c).alias("z")) for n, c in variants.items()])).alias("v")).select(*keys, "v.*")
+    fits = fit_student_t(long, [*keys, "variant"], minimum=minimum)
+    first = fits.filter(F.col("variant") == names[0]).select(*keys, *[F.col(c).alias(f"first_{c}") for c in ("nu", "loc", "scale")])
+    d = {f"d_{c}": F.abs(F.col(c) - F.col(f"first_{c}")) for c in ("nu", "loc", "scale")}
+    out = fits.join(F.broadcast(first), keys, "left").withColumns(d).drop("first_nu", "first_loc", "first_scale")
+    return out.withColumn("close", (F.col("d_nu") <= limits[0]) & (F.col("d_loc") <= limits[1]) & (F.col("d_scale") <= limits[2]))
+
+
+def calibration(df: DataFrame, keys: list[str], variants: dict[str, str], minimum: int = 50) -> DataFrame:
+    """the whole bundle (fit, skew, distances, shape, shoulder, quality) of each sigma variant (name -> z column)."""
+    long = df.select(*keys, "ts", "instrument_id", F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.col(c).alias("z")) for n, c in variants.items()])).alias("v"))
+    return bundle(long.select(*keys, "ts", "instrument_id", "v.*"), [*keys, "variant"], minimum=minimum)
+
+
+def sensitivity_grid(by_gap: dict[int, DataFrame], warmups: list[int]) -> DataFrame:
+    """clean z of every cell (gap, warmup); by_gap: gap -> rows with z and bar_in_session. A gap makes other sessions, a warm-up only masks rows."""
+    out = None
+    for gap, df in by_gap.items():
+        df = df.select("root", "instrument_id", "ts", "z", "bar_in_session", F.lit(gap).alias("gap"))
+        out = df if out is None else out.unionByName(df)
+    return clean_z(out.withColumn("warmup", F.explode(F.array(*map(F.lit, warmups)))).filter("bar_in_session >= warmup"))
+
+
+def grid_cells(grid: DataFrame, keys: list[str], minimum: int = 50) -> DataFrame:
+    """fit, Kolmogorov distance, shoulder and F(2) of each cell, and whether F(2) stands still over the root's cells."""
+    cell = [*keys, "gap", "warmup"]
+    fits = fit_student_t(grid, cell, minimum=minimum)
+    at = with_constants(fits).withColumn("f2", student_t_cdf(F.lit(2.0), F.col("nu"), F.col("loc"), F.col("scale"), F.col("t_c"))).drop("t_c")
+    out = at.join(pit_diagnostics(grid, fits, cell).drop("n"), cell, "left").join(shoulder(grid, fits, cell).drop("passes"), cell, "left")
+    return out.join(plateau(at, keys, "f2"), keys)
+
+
+def grid_pivots(cells: DataFrame, keys: list[str], warmups: list[int], values: tuple[str, ...] = ("nu", "n", "ks")) -> DataFrame:
+    """nu, rows and distance by gap, one column for each warm-up."""
+    return cells.groupBy(*keys, "gap").pivot("warmup", warmups).agg(*[F.first(v).alias(v) for v in values])
+
+
+def reconciled(methods: dict[str, DataFrame], keys: list[str], minimum: int = 50, heavy: float = 5.0) -> DataFrame:
+    """One batched fit of every method's z (name -> rows with z), with its distance, and whether its tails are heavy (nu under ``heavy``)."""
+    tagged = None
+    for name, df in methods.items():
+        df = df.select(*keys, "instrument_id", "ts", "z", F.lit(name).alias("method"))
+        tagged = df if tagged is None else tagged.unionByName(df)
+    fits = fit_student_t(tagged, [*keys, "method"], minimum=minimum)
+    out = fits.join(pit_diagnostics(tagged, fits, [*keys, "method"]).select(*keys, "method", "ks"), [*keys, "method"], "left")
+    return out.withColumn("heavy", F.col("nu") < heavy)
+
+
 def skew_verdict(a: Column, b: Column) -> Column:
     """how the skewness of two variants compares."""
     return F.when(F.signum(a) != F.signum(b), "sign flip").when(F.abs(a - b) > 0.3, "changed").when((F.abs(a) > 0.3) & (F.abs(b) > 0.3), "persistent").otherwise("moderate")

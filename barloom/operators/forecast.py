@@ -210,6 +210,11 @@ def rank_stability(gains: DataFrame, k: int = 10) -> DataFrame:
     return spearman(p, ["fold_id"], "gain", "gain_2")
 
 
+def stability_summary(ranks: DataFrame, level: float = 0.7) -> DataFrame:
+    """Mean and median of the neighbours' rank correlations, and the share above ``level``."""
+    return ranks.agg(F.avg("rho").alias("mean_rank_rho"), F.median("rho").alias("median_rank_rho"), F.avg((F.col("rho") > level).cast("double")).alias("share_stable"))
+
+
 def top_presence(gains: DataFrame, watched: list[str], k: int = 5) -> DataFrame:
     """In how many folds each watched feature is among the top k."""
     return gain_ranks(gains).filter(F.col("feature").isin(*watched)).groupBy("feature").agg(F.count_if(F.col("place") <= k).alias("in_top"), F.count("*").alias("folds"))
@@ -244,6 +249,16 @@ def attribution_shares(attributions: DataFrame) -> DataFrame:
     return a.withColumn("share", F.try_divide("mean_abs", F.sum("mean_abs").over(w))).withColumn("place", F.row_number().over(w.orderBy(F.desc("mean_abs"), "feature")))
 
 
+def family_shares(shares: DataFrame, families: dict[str, str], watched: str, least: float = 0.2, without: tuple[str, ...] = ("root",)) -> DataFrame:
+    """The share of each family of features (feature -> family) in a root, without the features named, and for the
+    watched family whether it reaches ``least``."""
+    name = F.create_map(*[F.lit(x) for kv in families.items() for x in kv])[F.col("feature")]
+    s = shares.filter(~F.col("feature").isin(*without)).withColumn("family", F.coalesce(name, F.lit("other")))
+    s = s.groupBy("root", "family").agg(F.sum("mean_abs").alias("mean_abs"))
+    s = s.withColumn("share", F.try_divide("mean_abs", F.sum("mean_abs").over(Window.partitionBy("root"))))
+    return s.withColumn("supported", F.when(F.col("family") == watched, F.col("share") >= least))
+
+
 def target_stats(df: DataFrame, target: str = "target") -> DataFrame:
     """Count, mean, deviation, minimum, quartiles, P95 and maximum."""
     p = F.percentile(target, [0.25, 0.5, 0.75, 0.95])

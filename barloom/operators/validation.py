@@ -38,13 +38,16 @@ def correlations(df: DataFrame, features: list[str], high: float = 0.85, expecte
     for a, b in expected:
         exempt = exempt | ((F.col("a") == a) & (F.col("b") == b))
     r = F.abs("r")
-    return out.withColumn("high_pair", (r > high) & ~exempt).withColumn("orthogonality", F.when(r < 0.05, "preserved").when(r < 0.1, "marginal").otherwise("BROKEN"))
+    return out.withColumn("high_pair", (r > high) & ~exempt).withColumn("orthogonality", F.when(r < 0.05, "preserved").when(r < 0.1, "marginal").otherwise("BROKEN")).withColumn("secondary_ok", r < 0.4)
 
 
 def stability(df: DataFrame, features: list[str], limit: float = 2.0) -> DataFrame:
-    """The means of both halves (by place in time order), their distance in deviations, and a flag."""
-    rows = Window.partitionBy("root").orderBy("ts", "instrument_id")
-    df = df.withColumn("_i", F.row_number().over(rows)).withColumn("_h", F.col("_i") <= F.floor(F.count("*").over(Window.partitionBy("root")) / 2))
+    """The means of both halves (by place in time order), their distance in deviations, and a flag. Places are dealt over days."""
+    days = df.groupBy("root", F.to_date("ts").alias("_d")).count()
+    before = Window.partitionBy("root").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_o", F.coalesce(F.sum("count").over(before), F.lit(0))).withColumn("_n", F.sum("count").over(Window.partitionBy("root"))).drop("count")
+    place = F.col("_o") + F.row_number().over(Window.partitionBy("root", "_d").orderBy("ts", "instrument_id"))
+    df = df.withColumn("_d", F.to_date("ts")).join(days, ["root", "_d"]).withColumn("_h", place <= F.floor(F.col("_n") / 2))
     l = df.select("root", "_h", *features).unpivot(["root", "_h"], features, "feature", "value").groupBy("root", "feature")  # noqa: E741
     out = l.agg(F.avg(F.when(F.col("_h"), F.col("value"))).alias("mean_1"), F.avg(F.when(~F.col("_h"), F.col("value"))).alias("mean_2"), F.stddev_samp("value").alias("std"))
     shift = F.try_divide(F.col("mean_2") - F.col("mean_1"), F.col("std"))

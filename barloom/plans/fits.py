@@ -87,14 +87,28 @@ def f7(spark, d):
 
 def variants(spark, d) -> DataFrame:
     df = B.sigma_causal(B.sigma_concurrent(main_bars(spark, d), SPAN, name="sigma_a"), SPAN, name="sigma_b")
-    return df.withColumn("z_a", X.z_score("sigma_a")).withColumn("z_b", X.z_score("sigma_b"))
+    df = B.sigma_ewm(df, SPAN, name="sigma_c")
+    return df.withColumn("z_a", X.z_score("sigma_a")).withColumn("z_b", X.z_score("sigma_b")).withColumn("z_c", X.z_score("sigma_c"))
 
 
 @query("f8_f9_variants")
 def f8(spark, d):
     v = variants(spark, d)
     skew = v.groupBy("root").agg(F.skewness("z_a").alias("skew_a"), F.skewness("z_b").alias("skew_b"))
-    return rounded(Q.compare_variants(v, ["root"], "z_a", "z_b").join(skew, "root").withColumn("verdict", Q.skew_verdict(F.col("skew_a"), F.col("skew_b"))))
+    return rounded(Q.compare_variants(v, ["root"], "z_a", "z_b", "sigma_a", "sigma_b").join(skew, "root").withColumn("verdict", Q.skew_verdict(F.col("skew_a"), F.col("skew_b"))))
+
+
+VARIANTS = {"concurrent": "z_a", "causal": "z_b", "baseline": "z_c"}
+
+
+@query("f8_variant_fits")
+def f8_fits(spark, d):
+    return rounded(Q.fit_variants(variants(spark, d), ["root"], VARIANTS), 4)
+
+
+@query("f11_calibration")
+def f11(spark, d):
+    return rounded(Q.calibration(variants(spark, d), ["root"], {"ewma": "z_c", "garman_klass": "z_b"}), 4)
 
 
 @query("f10_f19_parameter_shift")
@@ -107,36 +121,27 @@ def f12(spark, d):
     return rounded(Q.bundle(order_z(spark, d).withColumn("year", F.year("ts")), ["root", "year"]), 4)
 
 
+WARMUPS = [5, 10, 20]
+
+
 def grid(spark, d) -> DataFrame:
-    """warm-up by gap: the gap changes the sessions, the warm-up only masks rows."""
-    out = None
-    for gap in (3600, 7200, 14400):
-        df = B.sigma_session(main_bars(spark, d), SPAN, 5, gap).withColumn("z", X.z_score()).select("root", "instrument_id", "ts", "z", "bar_in_session", F.lit(gap).alias("gap"))
-        out = df if out is None else out.unionByName(df)
-    return X.clean_z(out.withColumn("warmup", F.explode(F.array(*map(F.lit, (5, 10, 20))))).filter("bar_in_session >= warmup"))
+    return Q.sensitivity_grid({gap: B.sigma_session(main_bars(spark, d), SPAN, 5, gap).withColumn("z", X.z_score()) for gap in (3600, 7200, 14400)}, WARMUPS)
 
 
 @query("f13_f14_sensitivity_grid")
 def f13(spark, d):
-    g = grid(spark, d)
-    fits = Q.fit_student_t(g, ["root", "gap", "warmup"])
-    at = Q.with_constants(fits).withColumn("f2", Q.student_t_cdf(F.lit(2.0), F.col("nu"), F.col("loc"), F.col("scale"), F.col("t_c")))
-    out = at.join(Q.pit_diagnostics(g, fits, ["root", "gap", "warmup"]).drop("n"), ["root", "gap", "warmup"], "left")
-    return rounded(out.join(Q.plateau(at, ["root"], "f2"), "root").select("root", "gap", "warmup", "nu", "n", "ks", "f2", "spread", "plateau"), 4)
+    return rounded(Q.grid_cells(grid(spark, d), ["root"]).select("root", "gap", "warmup", "nu", "n", "ks", "max_dev_right", "max_dev_left", "f2", "spread", "plateau"), 4)
 
 
 @query("f15_grid_pivot")
 def f15(spark, d):
-    return rounded(Q.fit_student_t(grid(spark, d), ["root", "gap", "warmup"]).groupBy("root", "gap").pivot("warmup", [5, 10, 20]).agg(F.first("nu")), 4)
+    return rounded(Q.grid_pivots(Q.grid_cells(grid(spark, d), ["root"]), ["root"], WARMUPS), 4)
 
 
 @query("f16_f17_reconciliation")
 def f16(spark, d):
-    old = B.boundary_mask(variants(spark, d), 3600, 12)
-    tagged = old.select("root", "instrument_id", "ts", F.col("z_b").alias("z"), F.lit("unfiltered").alias("method")).unionByName(old.filter("clear").select("root", "instrument_id", "ts", F.col("z_b").alias("z"), F.lit("filtered").alias("method")))
-    tagged = tagged.unionByName(z_rows(spark, d).withColumn("method", F.lit("session")))
-    fits = Q.fit_student_t(tagged, ["root", "method"])
-    return rounded(fits.withColumn("heavy", F.col("nu") < 5), 4)
+    old = B.boundary_mask(variants(spark, d), 3600, 12).withColumn("z", F.col("z_b"))
+    return rounded(Q.reconciled({"unfiltered": old, "filtered": old.filter("clear"), "session": z_rows(spark, d)}, ["root"]), 4)
 
 
 @query("f20_pit_histogram", ZQ + ", h AS (SELECT root, least(floor(pr * 50), 49)::BIGINT AS bin, count(*) AS count FROM p GROUP BY ALL) SELECT root, bin, count, round(count * 50 / sum(count) OVER (PARTITION BY root), 6) AS density FROM h")
@@ -206,8 +211,10 @@ def r9(spark, d):
     c = cutoffs(spark).withColumn("root", F.lit("orders")).withColumn("e", F.lit(None).cast("timestamp_ntz"))
     fits = R.window_fits(z, c, "cutoff", "e", ["root", "cutoff"], 50)
     rows = R.in_intervals(z, c, "cutoff", "e")
-    sweep = fits.join(Q.pit_diagnostics(rows, fits, ["root", "cutoff"]).drop("n"), ["root", "cutoff"]).withColumn("nu_delta", F.lit(0.0))
-    return R.first_acceptable(sweep, R.monthly_ks(z, fits, 20), 0.15, 0.5, 0.5)
+    sweep = fits.join(Q.pit_diagnostics(rows, fits, ["root", "cutoff"]).drop("n"), ["root", "cutoff"])
+    sweep = sweep.join(F.broadcast(Q.fit_student_t(z, ["root"]).select("root", F.col("nu").alias("locked_nu"))), "root")
+    sweep = sweep.withColumn("nu_delta", F.col("nu") - F.col("locked_nu"))
+    return R.first_acceptable(sweep, R.monthly_ks(z, fits, 20), 3.0, 0.5, 0.5)
 
 
 @query("r10_six_month_fit")
@@ -253,12 +260,19 @@ def w2(spark, d):
     return rounded(V.range_check(features(spark, d), e), 4)
 
 
+#: High correlations that are expected, as pairs in order of the features.
+EXPECTED = (("body_to_range", "gel_fraction"),)
+PAIRS = [(a, b) for i, a in enumerate(CHECKED) for b in CHECKED[i + 1 :]]
+
+
 @query(
     "w3_w4_correlations",
-    BARS + ", p AS (SELECT 'close' AS a, 'high' AS b, root, close AS x, high AS y FROM bar UNION ALL SELECT 'close', 'low', root, close, low FROM bar UNION ALL SELECT 'high', 'low', root, high, low FROM bar) SELECT root, a, b, count(*) AS n, round(corr(x, y), 6) AS r, abs(corr(x, y)) > 0.85 AS high_pair, CASE WHEN abs(corr(x, y)) < 0.05 THEN 'preserved' WHEN abs(corr(x, y)) < 0.1 THEN 'marginal' ELSE 'BROKEN' END AS orthogonality FROM p GROUP BY ALL",
+    FEATURES + ", wh AS (SELECT * FROM fe WHERE ok AND " + " AND ".join(f'"{c}" IS NOT NULL' for c in CHECKED) + "), pr AS (" + " UNION ALL ".join(f"SELECT root, '{a}' AS a, '{b}' AS b, \"{a}\" AS x, \"{b}\" AS y FROM wh" for a, b in PAIRS) + """),
+co AS (SELECT root, a, b, count(*) AS n, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS r FROM pr GROUP BY ALL)
+SELECT root, a, b, n, round(r, 6) + 0 AS r, abs(r) > 0.85 AND NOT (a = 'body_to_range' AND b = 'gel_fraction') AS high_pair, CASE WHEN abs(r) < 0.05 THEN 'preserved' WHEN abs(r) < 0.1 THEN 'marginal' ELSE 'BROKEN' END AS orthogonality, abs(r) < 0.4 AS secondary_ok FROM co""",
 )
 def w3(spark, d):
-    return rounded(V.correlations(main_bars(spark, d), ["close", "high", "low"]))
+    return rounded(V.correlations(features(spark, d).filter("is_valid_bar"), CHECKED, expected=EXPECTED))
 
 
 @query(

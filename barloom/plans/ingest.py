@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.safe import rounded, seconds
-from barloom.plans.market import FEATURES, CUT, ROOTS, features
+from barloom.plans.market import FEATURES, ROOTS, features
 from barloom.sources import ingest as S
+from barloom.sources.stage import staged_path
 from barloom.sources.tables import read
 
 QUERIES: dict = {}
@@ -60,9 +63,40 @@ def s15(spark, d):
 
 @query("s10_s11_typed_rows", "SELECT o_orderkey AS k, epoch(o_orderdate)::BIGINT AS t FROM orders WHERE o_orderkey % 7 <> 0")
 def s10(spark, d):
-    o = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, F.lit("x")).otherwise(F.col("o_orderkey").cast("string")).alias("instrument_id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("s"))
+    """Four ways to write a time: with nanoseconds and Z, with Z, without a zone, and with another zone's offset."""
+    k = F.col("o_orderkey")
+    text = lambda ts: F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    at = F.col("o_orderdate").cast("timestamp_ntz")
+    forms = F.when(k % 4 == 0, F.concat(text(at), F.lit(".123456789Z"))).when(k % 4 == 1, F.concat(text(at), F.lit("Z"))).when(k % 4 == 2, text(at)).otherwise(F.concat(text(at + F.expr("INTERVAL 2 HOUR")), F.lit("+02:00")))
+    o = read(spark, d, "orders").select(k, F.when(k % 7 == 0, F.lit("x")).otherwise(k.cast("string")).alias("instrument_id"), forms.alias("s"))
     o = S.typed_ids(o, False)
-    return o.select(F.col("instrument_id").alias("k"), F.unix_seconds(S.utc_timestamp(F.concat("s", F.lit(".123456789Z")))).alias("t"))
+    return o.select(F.col("instrument_id").alias("k"), F.unix_seconds(S.utc_timestamp("s")).alias("t"))
+
+
+@query(
+    "s1_s9_round_trips",
+    RAWSQL + """, ty AS (SELECT o.*, i.contract_root FROM outr o JOIN ins5 i USING (instrument_id)), al AS (SELECT count(*) AS n, round(sum(close), 2) AS total FROM raw), tn AS (SELECT count(*) AS n, round(sum(close), 2) AS total FROM ty), rs AS (SELECT count(*) AS n, round(sum(s), 2) AS total FROM (SELECT contract_root, sum(close) AS s FROM ty GROUP BY contract_root))
+SELECT 'csv scan' AS what, * FROM al UNION ALL SELECT 'csv pruned', * FROM al UNION ALL SELECT 'typed parquet', * FROM tn UNION ALL SELECT 'read through', * FROM tn UNION ALL SELECT 'result csv', * FROM rs UNION ALL SELECT 'result json', * FROM rs UNION ALL SELECT 'result parquet', * FROM rs""",
+)
+def s1(spark, d):
+    """Every source and sink once: what is written is read again and summed."""
+    at = staged_path(spark)
+    wide = raw(spark, d).select(F.date_format("ts_event", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts_event"), F.lit(33).alias("rtype"), F.lit(1).alias("publisher_id"), F.col("instrument_id").cast("string").alias("instrument_id"), *[F.col("close").cast("double").alias(c) for c in ("open", "high", "low", "close")], F.lit(1).alias("volume"), "symbol")
+    S.write_results(wide, f"{at}/csv", "csv")
+    whole = S.scan_csv(spark, f"{at}/csv/*.csv")
+    rows = S.typed_ids(whole).withColumn("ts_event", S.utc_timestamp("ts_event")).filter(S.is_outright())
+    S.write_typed(S.resolved(rows), f"{at}/typed")
+    typed = S.scan_parquet(spark, f"{at}/typed", "symbol", "close", "contract_root")
+    kept = S.read_through(spark, f"{at}/kept", lambda: typed)
+    kept = S.read_through(spark, f"{at}/kept", lambda: typed.limit(0))  # the second call reads what the first wrote
+    per = typed.groupBy("contract_root").agg(F.sum("close").alias("close"))
+    out = {"csv scan": whole, "csv pruned": S.scan_csv(spark, f"{at}/csv/*.csv", "close"), "typed parquet": typed, "read through": kept}
+    for form in ("csv", "json", "parquet"):
+        S.write_results(per, f"{at}/{form}-result", form)
+        back = spark.read.option("header", True).format(form).load(f"{at}/{form}-result")
+        out[f"result {form}"] = back.withColumn("close", F.col("close").cast("double"))
+    each = [df.agg(F.lit(name).alias("what"), F.count("*").alias("n"), F.round(F.sum("close"), 2).alias("total")) for name, df in out.items()]
+    return reduce(DataFrame.unionByName, each)
 
 
 @query("s17_resolved", RAWSQL + " SELECT i.symbol, i.contract_root, count(*) AS n, round(sum(close), 2) AS total FROM outr o JOIN ins5 i USING (instrument_id) GROUP BY ALL")
@@ -80,11 +114,16 @@ def q2(spark, d):
     return S.top_rejected(raw(spark, d))
 
 
-@query("q3_q4_expiry_flags", RAWSQL + ", n AS (SELECT instrument_id, max(ts_event) AS l, count(*) AS n, count(DISTINCT symbol) AS n_symbols FROM outr GROUP BY ALL) SELECT instrument_id, symbol, n, n_symbols, l::DATE > expiry::DATE + 7 AS late, n <= 10 AS few, n_symbols > 1 AS many_symbols FROM n JOIN ins5 USING (instrument_id)")
+@query("q3_q4_expiry_flags", RAWSQL + ", n AS (SELECT instrument_id, max(ts_event) AS l, count(*) AS n, count(DISTINCT symbol) AS n_symbols FROM outr GROUP BY ALL) SELECT instrument_id, symbol, n, n_symbols, l::DATE > expiry::DATE + 7 AS late, n <= 10 AS few, l::DATE > expiry::DATE + 2 AND n > 1000 AS busy_after, n_symbols > 1 AS many_symbols FROM n JOIN ins5 USING (instrument_id)")
 def q3(spark, d):
     return S.expiry_flags(outrights(spark, d))
 
 
+@query("q4_ids_per_root", RAWSQL + " SELECT left(symbol, len(symbol) - 2) AS contract_root, count(DISTINCT instrument_id) AS n_ids, count(DISTINCT symbol) AS n_symbols FROM outr GROUP BY ALL")
+def q4(spark, d):
+    return S.ids_per_root(outrights(spark, d))
+
+
 @query("q5_drill_down", RAWSQL + " SELECT instrument_id, epoch(min(ts_event))::BIGINT AS first_t, epoch(max(ts_event))::BIGINT AS last_t, count(*) AS n FROM outr WHERE symbol = 'ESH0' GROUP BY instrument_id")
 def q5(spark, d):
     return S.drill_down(outrights(spark, d), "ESH0").select("instrument_id", seconds("first_ts").alias("first_t"), seconds("last_ts").alias("last_t"), "n")
@@ -122,9 +161,13 @@ def q11(spark, d):
     return S.counts(raw(spark, d), "instrument_id")
 
 
-@query("q12_profile", RAWSQL + " SELECT 'symbol' AS name, count(symbol) AS known, count(DISTINCT symbol) AS \"unique\", min(symbol) AS least, max(symbol) AS greatest FROM raw UNION ALL SELECT 'instrument_id', count(instrument_id), count(DISTINCT instrument_id), min(instrument_id)::VARCHAR, max(instrument_id)::VARCHAR FROM raw")
+def _profile(c: str, kind: str) -> str:
+    return f"SELECT '{c}' AS name, '{kind}' AS type, count({c}) AS known, count(DISTINCT {c}) AS \"unique\", min({c})::VARCHAR AS least, max({c})::VARCHAR AS greatest, arg_min({c}, file_row)::VARCHAR AS head, arg_max({c}, file_row)::VARCHAR AS tail FROM raw"
+
+
+@query("q12_profile", RAWSQL + " " + _profile("symbol", "string") + " UNION ALL " + _profile("instrument_id", "bigint"))
 def q12(spark, d):
-    return S.profile(raw(spark, d), ["symbol", "instrument_id"])
+    return S.profile(raw(spark, d).withColumn("instrument_id", F.col("instrument_id").cast("long")), ["symbol", "instrument_id"], "file_row")
 
 
 @query("q13_retention", FEATURES + " SELECT root, count(*) AS total, count(*) FILTER (ok) AS valid, count(*) - count(*) FILTER (ok) AS excluded, round(count(*) FILTER (ok) / count(*), 6) AS share FROM fe GROUP BY root")

@@ -341,7 +341,7 @@ def m10(spark, d):
 @query("m20_m22_importance")
 def m20(spark, d):
     _, gains = M.boosted(written_folds(spark, d), INPUTS)
-    return rounded(M.top_features(gains).join(M.top_presence(gains, INPUTS, 2), "feature").crossJoin(M.rank_stability(gains, 3).agg(F.avg("rho").alias("mean_rank_rho"))))
+    return rounded(M.top_features(gains).join(M.top_presence(gains, INPUTS, 2), "feature").crossJoin(M.stability_summary(M.rank_stability(gains, 3))))
 
 
 @query("m11_leaf_quantile")
@@ -363,3 +363,9 @@ def fold_attributions(rows: DataFrame) -> DataFrame:
 @query("m12_m26_attributions")
 def m12(spark, d):
     return rounded(M.attribution_shares(fold_attributions(written_folds(spark, d))))
+
+
+@query("m26_family_shares")
+def m26(spark, d):
+    shares = M.attribution_shares(fold_attributions(written_folds(spark, d)))
+    return rounded(M.family_shares(shares, {"ln_s1": "volatility", "ln_s2": "volatility", "ln_s3": "volatility", "vpin": "flow"}, "flow"))

@@ -110,7 +110,7 @@ def instruments(df: DataFrame, window_first: bool = False) -> DataFrame:
 
 def resolved(df: DataFrame) -> DataFrame:
     """Rows with the symbols of the instrument table."""
-    return df.withColumnRenamed("symbol", "raw_symbol").join(F.broadcast(instruments(df).drop("raw_symbol")), "instrument_id")
+    return df.withColumnRenamed("symbol", "raw_symbol").join(instruments(df).drop("raw_symbol"), "instrument_id")
 
 
 def symbol_inventory(df: DataFrame) -> DataFrame:
@@ -123,11 +123,19 @@ def top_rejected(df: DataFrame, k: int = 20) -> DataFrame:
     return df.filter(~is_outright()).groupBy("symbol").count().orderBy(F.desc("count"), "symbol").limit(k)
 
 
-def expiry_flags(df: DataFrame, late_days: int = 7, few: int = 10) -> DataFrame:
-    """Q3, Q4: instruments traded after expiry, with few rows, or under several symbols."""
+def expiry_flags(df: DataFrame, late_days: int = 7, few: int = 10, busy_days: int = 2, busy: int = 1000) -> DataFrame:
+    """Q3, Q4: instruments traded after expiry, with few rows, traded much after expiry, or under several symbols."""
     n = df.groupBy("instrument_id").agg(F.max("ts_event").alias("last_ts"), F.count("*").alias("n"), F.count_distinct("symbol").alias("n_symbols"))
-    j = n.join(F.broadcast(instruments(df)), "instrument_id")
-    return j.select("instrument_id", "symbol", "n", "n_symbols", (F.to_date("last_ts") > F.date_add("expiry_date", late_days)).alias("late"), (F.col("n") <= few).alias("few"), (F.col("n_symbols") > 1).alias("many_symbols"))
+    j = n.join(instruments(df), "instrument_id")
+    return j.select(
+        "instrument_id", "symbol", "n", "n_symbols", (F.to_date("last_ts") > F.date_add("expiry_date", late_days)).alias("late"), (F.col("n") <= few).alias("few"),
+        ((F.to_date("last_ts") > F.date_add("expiry_date", busy_days)) & (F.col("n") > busy)).alias("busy_after"), (F.col("n_symbols") > 1).alias("many_symbols"),
+    )
+
+
+def ids_per_root(df: DataFrame) -> DataFrame:
+    """Q4: distinct instruments and symbols of each root."""
+    return df.groupBy(root_of().alias("contract_root")).agg(F.count_distinct("instrument_id").alias("n_ids"), F.count_distinct("symbol").alias("n_symbols"))
 
 
 def drill_down(df: DataFrame, symbol: str) -> DataFrame:
@@ -136,9 +144,16 @@ def drill_down(df: DataFrame, symbol: str) -> DataFrame:
 
 
 def schema_check(df: DataFrame, expected: T.StructType = TYPED) -> DataFrame:
-    """Q6: each expected column with its place and type, and whether the table agrees."""
-    rows = [(i, f.name, f.dataType.simpleString(), i < len(df.schema) and df.schema[i].name == f.name and df.schema[i].dataType == f.dataType) for i, f in enumerate(expected)]
-    return df.sparkSession.createDataFrame(rows, "place int, name string, type string, agrees boolean")
+    """Q6: each expected column with its place and type, whether the table agrees, and how many rows hold a value.
+
+    One pass over the table; a column that the table lacks holds none.
+    """
+    at = {f.name: (i, f.dataType) for i, f in enumerate(df.schema)}
+    cells = [
+        F.struct(F.lit(i).alias("place"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(at.get(f.name) == (i, f.dataType)).alias("agrees"), (F.count(f.name) if f.name in at else F.lit(0).cast("long")).alias("known"), F.count("*").alias("n"))
+        for i, f in enumerate(expected)
+    ]
+    return df.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
@@ -171,9 +186,16 @@ def counts(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.count_distinct(key).alias("ids"))
 
 
-def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Q12: known and distinct values, and least and greatest as text, of each column."""
-    cells = [F.struct(F.lit(c).alias("name"), F.count(c).alias("known"), F.count_distinct(c).alias("unique"), F.min(F.col(c)).cast("string").alias("least"), F.max(F.col(c)).cast("string").alias("greatest")) for c in columns]
+def profile(df: DataFrame, columns: list[str], order: str | None = None) -> DataFrame:
+    """Q12: type, known and distinct values, least and greatest, and with ``order`` first and last value, as text, of each column."""
+    text = lambda c: c.cast("string")
+    cells = [
+        F.struct(
+            F.lit(c).alias("name"), F.lit(df.schema[c].dataType.simpleString()).alias("type"), F.count(c).alias("known"), F.count_distinct(c).alias("unique"), text(F.min(c)).alias("least"), text(F.max(c)).alias("greatest"),
+            *([text(F.min_by(c, order)).alias("head"), text(F.max_by(c, order)).alias("tail")] if order else []),
+        )
+        for c in columns
+    ]
     return df.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 

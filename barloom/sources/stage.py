@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, *partition_by: str) -> DataFrame:
-    """``df`` as a Parquet table in the folder that all executors share (``spark.checkpoint.dir``): its plan runs once, and
-    what reads it survives lost executors. A local master may fall back to a folder in /tmp."""
-    spark = df.sparkSession
+def staged_path(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``); a local master may fall back to /tmp."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file:///tmp/checkpoints"
-    path = f"{root.rstrip('/')}/barloom-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/barloom-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, *partition_by: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its plan runs once, and what reads it survives lost executors."""
+    path = staged_path(df.sparkSession)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
