@@ -5,10 +5,13 @@
    any fixed order; m grows with the set (``needed``), so that long sets meet by more than one chance. Shingles that a sample of the documents shows to be frequent come last in that order, which
    keeps common passages out of the joins; the order changes the work only, never the result.
 3. Sets that share such a shingle are first paired with one of them, drawn by hash from a few draws by shingle (stars:
-   a group of thousands of near copies costs a few pairs for each member), verified, and joined into groups. Then every pair that shares a
-   shingle across two groups is verified too. Pairs within one group need no further proof.
-4. Pairs are verified in tiles of like size: counts of the bits set in one hashed bitmap and not in the other bound
-   the overlap from above, and only what the bound lets through has its sorted arrays intersected.
+   a group of thousands of near copies costs a few pairs for each member), verified, and joined into groups.
+4. Then pairs that share a shingle across two groups are looked at; pairs within one group need no further proof. The
+   sets that share a frequent shingle (over ``HOT`` of them) are dealt into blocks of one size band, and blocks of the
+   same or neighbouring bands meet in tiles. In a tile, counts of the bits set in one hashed bitmap and not in the other
+   bound every overlap from above; only pairs that the bound lets through become rows, so that a family of thousands of
+   sets that don't link makes no quadratic number of rows. Blocks of one and the same group don't meet.
+5. Whatever pairs remain are bounded by the bitmaps in the same way and have their sorted arrays intersected.
 
 Defined results: a null, empty or blank text has no shingles and links with nothing; fewer words than five are one
 shingle; repeated rows and ids are linked like other copies; rows with a null id get the smallest id of their group
@@ -21,10 +24,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._common import ship, written
+from barloom.llm._common import ship, slices, small, written
 
 WIDTH = 5
 BITMAP_BITS = 1024
@@ -32,10 +35,12 @@ BITMAP_BITS = 1024
 SAMPLE, SEEN = 16, 3
 #: Frequent shingles that are broadcast, at most (8 bytes each): the most frequent ones.
 FREQUENT = 1 << 20
-#: Ids that are broadcast to filter a scan, at most; more are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
 #: Sets drawn by hash as centres of the stars over one family of near copies.
 STARS = 8
+#: Sets that share a shingle up to which their pairs are joined; more meet in tiles of blocks of about TILE sets.
+HOT, TILE = 64, 1024
+#: Of a set's shared shingles, the smallest ones that it carries into a tile, so that a pair is told once, not at each shingle.
+LOW = 8
 
 _R = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -128,11 +133,10 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Sorted hashes of shingles that many documents share, judged by a sample; at most FREQUENT of them."""
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                found = [shingles(t.as_py()) for t in batch.slice(at, 256).column(0)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
+        for part in slices(batches, 0):
+            found = [shingles(t.as_py()) for t in part.column(0)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
 
     sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(SAMPLE)) == 0).select("text")
     counted = written(sample.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= SEEN))
@@ -155,22 +159,20 @@ def sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def run(batches):
         late = shipped.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [shingles(t.as_py()) for t in part.column(1)]
-                first = [prefix(s, late).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in found]
-                offsets = np.concatenate([[0], np.cumsum([len(p) for p in first])])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(s) for s in found], pa.int32()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found], pa.binary()),
-                        pa.array([bitmap(s) for s in found], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64))),
-                    ],
-                    names=["doc_id", "n", "key", "bitmap", "prefix"],
-                )
+        for part in slices(batches, 1):
+            found = [shingles(t.as_py()) for t in part.column(1)]
+            first = [prefix(s, late).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in found]
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in first])])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array([len(s) for s in found], pa.int32()),
+                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found], pa.binary()),
+                    pa.array([bitmap(s) for s in found], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64))),
+                ],
+                names=["doc_id", "n", "key", "bitmap", "prefix"],
+            )
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return source.mapInArrow(run, "doc_id long, n int, key binary, bitmap binary, prefix array<long>")
@@ -180,7 +182,7 @@ def keys(docs: DataFrame) -> DataFrame:
     """(doc_id, n, key) as in sets()."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None) for s in (shingles(t.as_py()) for t in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int32()), pa.array([k for _, k in found], pa.binary())], names=["doc_id", "n", "key"])
 
@@ -191,14 +193,11 @@ def _arrays(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(rep, members): the sorted shingles of the documents named in ids (rep)."""
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], names=["rep", "members"])
+        for part in slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], names=["rep", "members"])
 
-    few = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
     source = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    return source.join(few, "rep", "left_semi").mapInArrow(run, "rep long, members binary").dropDuplicates(["rep"])
+    return source.join(small(written(ids)), "rep", "left_semi").mapInArrow(run, "rep long, members binary").dropDuplicates(["rep"])
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -223,7 +222,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
     # The second of a pair is joined first: a star's head is the first, and its set then needs no copy for each pair.
     side = lambda k: reps.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("bitmap").alias(f"bits_{k}"))
-    tile = F.floor(F.log("n_a") / F.log(F.lit(1.25))).cast("int")
+    tile = _band(F.col("n_a"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
     near = written(near.repartition(tile, F.pmod("b", F.lit(1024))).mapInArrow(by_bits, "a long, b long"))
     held = written(_arrays(docs, near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()))
@@ -231,11 +230,61 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return near.join(member("b"), "b").join(member("a"), "a").select("a", "b", "members_a", "members_b").mapInArrow(by_sets, "a long, b long")
 
 
-def enough(shared: DataFrame, part: int = 1) -> DataFrame:
+def enough(shared: DataFrame, part: int = 1, beside: Column | None = None) -> DataFrame:
     """The distinct pairs (a, b) of rows (a, b, n_a, n_b), one for each shared shingle, that share as many as linked sets
-    must. With ``part``, of rows that show only a part of what is shared: that fraction of the number will do."""
+    must. With ``part``, of rows that show only a part of what is shared: that fraction of the number will do. ``beside``:
+    how many more shingles the two may share that have no rows here, which the number is lowered by."""
     least = 1 + F.floor(F.least("n_a", "n_b") / (50 * part))
-    return shared.groupBy("a", "b", "n_a", "n_b").count().filter(F.col("count") >= least).select("a", "b")
+    keys = ["a", "b", "n_a", "n_b"]
+    counted = shared.groupBy(*keys).agg(F.count("*").alias("count"), F.first(F.lit(0) if beside is None else beside).alias("beside"))
+    return counted.filter(F.col("count") >= least - F.col("beside")).select("a", "b")
+
+
+def _band(n: Column) -> Column:
+    """Linked sets are in the same or in neighbouring bands: their sizes differ by a factor of at most 1.25."""
+    return F.floor(F.log(n) / F.log(F.lit(1.25))).cast("int")
+
+
+def tiled(hot: DataFrame, reps: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) across groups that the bitmaps let through, of rows hot (token, rep, n, group)."""
+    hot = hot.select("token", "rep", "n", "group", _band(F.col("n")).alias("band"))
+    big = written(hot.groupBy("token", "band", "group").agg(F.count("*").alias("k")).filter(F.col("k") > TILE // 2).withColumnRenamed("k", "own"))
+    hot = hot.join(small(big), ["token", "band", "group"], "left")
+    rest = written(hot.groupBy("token", "band").agg(F.count_if(F.col("own").isNull()).alias("rest")))
+    hot = hot.join(small(rest), ["token", "band"])
+    parts = F.ceil(F.coalesce("own", "rest") / TILE)
+    lone = F.when(F.col("own").isNotNull(), F.col("group"))
+    dealt = F.pmod(F.xxhash64(F.when(lone.isNotNull(), F.col("rep")).otherwise(F.col("group"))), parts)
+    low = hot.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("token")), 1, LOW).alias("low"))
+    held = hot.select("token", "band", "rep", "n", "group", lone.alias("lone"), dealt.alias("part")).join(low, "rep").join(reps.select("rep", "bitmap"), "rep")
+    held = written(held.withColumn("block", F.concat_ws(":", "band", F.coalesce(F.col("lone").cast("string"), F.lit("-")), "part")))
+    blocks = held.select("token", "band", "block", "lone").distinct()
+    x, y = (blocks.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("band", "block", "lone")]) for k in "xy")
+    meet = x.join(y, "token").filter(
+        (F.col("block_x") <= F.col("block_y")) & (F.abs(F.col("band_x") - F.col("band_y")) <= 1) & ~F.coalesce(F.col("lone_x") == F.col("lone_y"), F.lit(False))
+    )
+    tiles = meet.select("token", F.concat_ws("|", "block_x", "block_y").alias("tile"), F.explode(F.array_distinct(F.array("block_x", "block_y"))).alias("block"), (F.col("block_x") == F.col("block_y")).alias("alone"))
+    rows = held.join(tiles, ["token", "block"]).select("token", "tile", "alone", "block", "rep", "n", "group", "low", "bitmap")
+
+    def compared(key, table):
+        token, order = key[0].as_py(), np.argsort(np.asarray(table.column("block").to_pylist()), kind="stable")
+        rep, n, group = (np.asarray(table.column(c), np.int64)[order] for c in ("rep", "n", "group"))
+        bits = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(len(rep), -1)[order]
+        names, low = np.asarray(table.column("block").to_pylist())[order], table.column("low").to_pylist()
+        cut = 0 if table.column("alone")[0].as_py() else int(np.searchsorted(names, names[0], "right"))
+        found: list[tuple[int, int]] = []
+        for at in range(0, cut or len(rep), 64):
+            i = np.arange(at, min(at + 64, cut or len(rep)))
+            j = np.arange(cut or at + 1, len(rep))
+            both = np.minimum(n[i, None] - np.bitwise_count(bits[i, None] & ~bits[None, j]).sum(axis=2, dtype=np.int64), n[None, j] - np.bitwise_count(bits[None, j] & ~bits[i, None]).sum(axis=2, dtype=np.int64))
+            ok = linked(both, n[i, None], n[None, j]) & (group[i, None] != group[None, j]) & (j[None] > i[:, None])
+            for u, v in zip(*np.nonzero(ok)):
+                a, b = int(i[u]), int(j[v])
+                if not any(t < token for t in set(low[order[a]]) & set(low[order[b]])):
+                    found.append((min(rep[a], rep[b]), max(rep[a], rep[b])))
+        return pa.table({c: pa.array([int(f[k]) for f in found], pa.int64()) for k, c in enumerate("ab")})
+
+    return rows.groupBy("token", "tile").applyInArrow(compared, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -274,11 +323,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = components(verified(star, reps, docs))
     # Across groups: only shingles that sets of several groups share, and only pairs that weren't tried.
     labelled = shared.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", F.coalesce("root", "rep").alias("group"))
-    mixed_up = labelled.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("token")
-    labelled = written(labelled.join(mixed_up, "token", "left_semi"))
-    x, y = labelled.alias("x"), labelled.alias("y")
+    mixed_up = labelled.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("token", "k")
+    labelled = written(labelled.join(mixed_up, "token"))
+    hot = labelled.filter(F.col("k") > HOT)
+    often = hot.groupBy("rep").agg(F.count("*").alias("often"))
+    cool = labelled.filter(F.col("k") <= HOT).join(often, "rep", "left").select("token", "rep", "n", "group", F.coalesce("often", F.lit(0)).alias("often"))
+    x, y = cool.alias("x"), cool.alias("y")
     across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.group") < F.col("y.group")) & near(F.col("x.n"), F.col("y.n")))
-    across = enough(across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.least("x.n", "y.n").alias("n_a"), F.greatest("x.n", "y.n").alias("n_b")))
+    across = across.select(
+        F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.least("x.n", "y.n").alias("n_a"), F.greatest("x.n", "y.n").alias("n_b"), F.least("x.often", "y.often").alias("often")
+    )
+    across = enough(across, beside=F.col("often")).unionByName(tiled(hot, reps)).distinct()
     across = written(across.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not across.isEmpty():
         more = verified(across, reps, docs)

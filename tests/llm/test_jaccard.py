@@ -89,3 +89,25 @@ def test_empty_and_null_ids(spark):
 def test_query_against_brute_force(spark, d):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in op5_jaccard_components(spark, d).collect()) == brute(docs)
+
+
+def family(n=120, words=60, seed=5):
+    """Near copies of one text that differ from each other by several edits: few of them link, all share frequent shingles."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    docs = [" ".join(base)]
+    for _ in range(n):
+        t = list(base)
+        for _ in range(r.randrange(1, 4)):
+            t[r.randrange(words)] = f"e{r.randrange(10**6)}"
+        docs.append(" ".join(t))
+    return list(enumerate(docs))
+
+
+@pytest.mark.parametrize("with_base", [True, False])
+def test_tiles_of_a_family_against_brute_force(spark, monkeypatch, with_base):
+    monkeypatch.setattr(jaccard, "HOT", 6)
+    monkeypatch.setattr(jaccard, "TILE", 16)
+    docs = family()[0 if with_base else 1 :]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.near_duplicates(df).collect()) == brute(docs)
