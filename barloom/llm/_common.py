@@ -5,12 +5,25 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch: texts are long, and executors hold several batches outside their heap.
+BATCH_ROWS = 1024
+
+
+def light_batches(spark: SparkSession) -> None:
+    """Lets Spark hand texts to Python in batches of BATCH_ROWS rows, unless the session asks for fewer already."""
+    if int(spark.conf.get(BATCH, "10000")) > BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    light_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -81,15 +94,19 @@ def attach(rows: DataFrame, found: DataFrame, key: str, spread: Column) -> DataF
 
 def ship(spark: SparkSession, value):
     """A broadcast of a value whose size the caller has bounded."""
+    light_batches(spark)
     return spark.sparkContext.broadcast(value)
 
 
 #: Rows and bytes of text that a Python task handles at a time.
-SLICE_ROWS, SLICE_BYTES = 1024, 2 << 20
+SLICE_ROWS, SLICE_BYTES = 1024, 1 << 20
 
 
 def slices(batches, text: int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES):
-    """The Arrow batches in slices of at most ``rows`` rows and about ``size`` bytes in column ``text`` (longer single texts stay whole)."""
+    """The Arrow batches in slices of at most ``rows`` rows and about ``size`` bytes in column ``text`` (longer single texts stay whole).
+
+    Memory that Arrow holds but no longer uses goes back to the machine after each batch: workers live on between stages.
+    """
     for batch in batches:
         lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
         ends, at = np.cumsum(lengths), 0
@@ -98,3 +115,5 @@ def slices(batches, text: int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES):
             stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
             yield batch.slice(at, stop - at)
             at = stop
+        del batch
+        pa.default_memory_pool().release_unused()
