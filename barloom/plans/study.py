@@ -362,10 +362,8 @@ def fold_attributions(rows: DataFrame) -> DataFrame:
 
 @query("m12_m26_attributions")
 def m12(spark, d):
-    return rounded(M.attribution_shares(fold_attributions(written_folds(spark, d))))
-
-
-@query("m26_family_shares")
-def m26(spark, d):
-    shares = M.attribution_shares(fold_attributions(written_folds(spark, d)))
-    return rounded(M.family_shares(shares, {"ln_s1": "volatility", "ln_s2": "volatility", "ln_s3": "volatility", "vpin": "flow"}, "flow"))
+    shares = staged(M.attribution_shares(fold_attributions(written_folds(spark, d))))
+    families = {"ln_s1": "volatility", "ln_s2": "volatility", "ln_s3": "volatility", "vpin": "flow"}
+    own = F.create_map(*[F.lit(x) for kv in families.items() for x in kv])[F.col("feature")]
+    whole = M.family_shares(shares, families, "flow").select("root", "family", F.col("share").alias("family_share"), "supported")
+    return rounded(shares.withColumn("family", own).join(whole, ["root", "family"]))

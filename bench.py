@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from barloom.plans import registry
 
-HEADLINE = ["b1_bars", "v6_sigma_session", "c3_c5_student_flow", "x1_x7_subbar_features", "x11_x16_geometry", "x18_feature_table", "f1_student_t_fit", "f2_f3_f5_pit", "d6_thresholds", "d10_d12_cells", "m5_m9_baselines", "q1_symbol_inventory"]
+HEADLINE = ["b1_bars", "v6_sigma_session", "c3_c5_student_flow", "x1_x7_subbar_features", "x11_x16_geometry", "x18_feature_table", "f1_student_t_fit", "f2_f3_f5_pit", "d6_thresholds", "d10_d12_cells", "d10_d16_d20_cells", "m5_m9_baselines", "q1_symbol_inventory"]
 
 
 def main() -> None:
