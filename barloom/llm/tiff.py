@@ -1,7 +1,7 @@
 """TIFF media columns: writing 8-bit pages, and reading any of the common encodings, one row per page.
 
 The reader walks the chain of image directories in either byte order, decodes uncompressed, PackBits, LZW and
-deflate strips or tiles, undoes horizontal differencing, and returns each page's samples row by row. The writer
+deflate strips or tiles, undoes horizontal differencing and the floating-point predictor, and returns each page's samples row by row. The writer
 uses the same four encodings; ``store`` picks one by the payload's checksum, so that equal payloads give equal
 files and every decoder works on a share of the table.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 # Fixed values of the format: tag numbers and compression codes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR = 273, 277, 278, 279, 284
-PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 324, 325
+PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 317, 322, 323, 324, 325, 339
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
@@ -226,13 +226,22 @@ def directories(data: bytes):
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * count)[0]
 
 
+def unplaned(raw: bytes, rows: int, width: int, depth: int, size: int) -> bytes:
+    """Undoes the floating-point predictor: each row holds its samples' first bytes, then their second ones and so on,
+    most significant first, as differences of bytes ``depth`` apart. Gives big-endian samples."""
+    x = np.frombuffer(raw, np.uint8, rows * width * depth * size).reshape(rows, size * width, depth)
+    x = np.cumsum(x, axis=1, dtype=np.uint8).reshape(rows, size, width * depth)
+    return np.ascontiguousarray(x.transpose(0, 2, 1)).tobytes()
+
+
 def read_page(data: bytes, order: str, tags: dict[int, list]) -> np.ndarray:
     """Samples of shape (height, width, samples per pixel)."""
     one = lambda tag, default: tags.get(tag, [default])[0]
     w, h, s, bits = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1)
-    if bits not in (8, 16):
+    floats = one(SAMPLE_FORMAT, 1) == 3
+    if bits not in ((16, 32, 64) if floats else (8, 16, 32)):
         raise ValueError(f"{bits} bits")
-    kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
+    kind = np.dtype(f"{order}{'f' if floats else 'u'}{bits // 8}")
     tiled = TILE_OFFSETS in tags
     th, tw = (one(TILE_HEIGHT, h), one(TILE_WIDTH, w)) if tiled else (min(one(ROWS_PER_STRIP, h), h), w)
     offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
@@ -245,9 +254,13 @@ def read_page(data: bytes, order: str, tags: dict[int, list]) -> np.ndarray:
         y, x = rest // across * th, rest % across * tw
         rows = th if tiled else min(th, h - y)
         raw = _unpack(data[offsets[k] : offsets[k] + sizes[k]], one(COMPRESSION, 1))
+        if one(PREDICTOR, 1) == 3:
+            raw, kind = unplaned(raw, rows, tw, depth, bits // 8), kind.newbyteorder(">")
         part = np.frombuffer(raw, kind, rows * tw * depth).reshape(rows, tw, depth).astype(out.dtype)
-        if one(PREDICTOR, 1) == 2:
+        if one(PREDICTOR, 1) == 2 and not floats:
             part = np.cumsum(part, axis=1, dtype=out.dtype)
+        elif one(PREDICTOR, 1) == 3 and floats:
+            pass
         elif one(PREDICTOR, 1) != 1:
             raise ValueError(f"predictor {one(PREDICTOR, 1)}")
         part = part[: h - y, : w - x]
@@ -257,8 +270,13 @@ def read_page(data: bytes, order: str, tags: dict[int, list]) -> np.ndarray:
 
 
 def features(page: np.ndarray) -> str:
-    """Size, mean, deviation, entropy and a 64-bit block-mean hash of a page's samples."""
-    flat = page.reshape(-1).astype(np.uint8)
+    """Size, mean, deviation, entropy and a 64-bit block-mean hash of a page's samples; floats are first scaled to bytes."""
+    flat = page.reshape(-1)
+    if flat.dtype.kind == "f":
+        flat = np.nan_to_num(flat.astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
+        flat = (flat - flat.min(initial=0)) / max(np.ptp(flat) if len(flat) else 0.0, 1e-300) * 255
+        flat = np.clip(flat, 0, 255)
+    flat = flat.astype(np.uint8)
     if not len(flat):
         return "0x0"
     counts = np.bincount(flat, minlength=256)

@@ -65,3 +65,21 @@ def test_query(spark):
         n, media = tiff.store(docs[r.doc_id])
         assert r.media_sha256 == hashlib.sha256(media).hexdigest() and r.media_bytes == len(media)
     assert tiff.store(None)[0] == 0
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("kind", ["f2", "f4", "f8"])
+@pytest.mark.parametrize("depth", [1, 3])
+def test_floating_point_predictor(order, kind, depth):
+    """Rows built by hand: bytes of the samples in planes, most significant first, then differences ``depth`` bytes apart."""
+    rng, (h, w) = np.random.default_rng(1), (5, 7)
+    page = rng.normal(size=(h, w, depth)).astype(kind)
+    size, raw = page.dtype.itemsize, b""
+    for row in page:
+        big = row.reshape(-1).astype(">" + kind).tobytes()
+        planes = b"".join(big[k::size] for k in range(size))
+        raw += bytes((planes[i] - (planes[i - depth] if i >= depth else 0)) % 256 for i in range(len(planes)))
+    tags = {tiff.WIDTH: [w], tiff.HEIGHT: [h], tiff.BITS: [8 * size] * depth, tiff.SAMPLES: [depth], tiff.COMPRESSION: [8], tiff.PREDICTOR: [3], tiff.SAMPLE_FORMAT: [3] * depth, tiff.STRIP_OFFSETS: [0], tiff.ROWS_PER_STRIP: [h]}
+    data = zlib.compress(raw)
+    got = tiff.read_page(data, order, tags | {tiff.STRIP_BYTES: [len(data)]})
+    assert np.array_equal(got, page) and tiff.features(got).startswith(f"{w}x{h};mean=")
