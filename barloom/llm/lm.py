@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._common import written
+from barloom.llm._common import slices, written
 from barloom.llm.jaccard import mixed, word_hashes
 
 #: Bits of a range for each of its entries, at least; with three hashes at most 17 % of the bits are set.
@@ -35,7 +35,8 @@ HASHES = 3
 LEVELS = 24
 MIX = 0.05
 ADD = 0.1
-BLOCK = 512
+#: Documents and bytes of text of a block, at most.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Documents for each bucket, about; the number of buckets is a power of two, 64 at least.
 DOCS_PER_BUCKET = 20_000
 END = np.uint64(0x656E64)
@@ -56,7 +57,7 @@ def bigrams(t: np.ndarray) -> np.ndarray:
 
 def _places(keys: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
     """The bits of each key at a level, inside a range of ``bits`` (a power of two)."""
-    x = mixed(keys + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
+    x = mixed(keys + np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
     y = mixed(x) | np.uint64(1)
     return [((x + np.uint64(j) * y) & np.uint64(bits - 1)).astype(np.int64) for j in range(HASHES)]
 
@@ -100,13 +101,16 @@ def range_bits(counts: np.ndarray) -> int:
 
 
 def _blocks(batches):
-    """(block id, doc ids, held, tokens of each document) of consecutive documents."""
+    """(block id, doc ids, held, tokens of each document) of consecutive documents.
+
+    The id holds a digest of the block's tokens beside its place, so that two scans that differ can't be mistaken for each other.
+    """
     part, k = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK):
-            piece = batch.slice(at, BLOCK)
-            yield part << 32 | k, piece.column(0), np.asarray(piece.column(1).to_pylist(), bool), [tokens(t.as_py()) for t in piece.column(2)]
-            k += 1
+    for piece in slices(batches, 2, BLOCK, BLOCK_BYTES):
+        found = [tokens(t.as_py()) for t in piece.column(2)]
+        digest = sum(int(t.sum(dtype=np.uint64)) * (2 * i + 1) for i, t in enumerate(found)) & 0xFFFFFFFF
+        yield part << 48 | k << 32 | digest, piece.column(0), np.asarray(piece.column(1).to_pylist(), bool), found
+        k += 1
 
 
 def _gather(rows: DataFrame, shift: int) -> DataFrame:
@@ -198,6 +202,8 @@ def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), ids, pa.array(held), pa.array(codes, pa.binary()), pa.array(first, pa.binary())], names=["block", "doc_id", "held", "codes", "words"])
 
     def scored(left, right):
+        if left.num_rows and not right.num_rows:
+            raise RuntimeError("two scans of the documents gave different rows: write them as a table first")
         parts = sorted(zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "counts"))))
         count, found = (np.frombuffer(b"".join(p for k, _, p in parts if k == kind), dtype) for kind, dtype in ((0, np.uint32), (1, np.uint8)))
         count = count.astype(float)

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm._common import written
+from barloom.llm._common import attach, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
@@ -61,7 +61,7 @@ def proposals(docs: DataFrame) -> DataFrame:
         found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
         gaps = F.transform(F.split(text, PATTERNS[kind], -1), cut)
         each.append(F.when(has, F.struct(F.lit(kind).alias("kind"), found.alias("found"), gaps.alias("gaps"))))
-    kinds = docs.filter("text IS NOT NULL").select(F.xxhash64("text").alias("text_key"), F.explode(F.array_compact(F.array(*each))).alias("k"))
+    kinds = docs.filter("text IS NOT NULL").select(F.md5("text").alias("text_key"), F.explode(F.array_compact(F.array(*each))).alias("k"))
     kinds = kinds.select("text_key", "k.*").filter(F.size("found") > 0)
     rows = kinds.select("text_key", "kind", F.posexplode(F.arrays_zip("found", "gaps", F.slice("gaps", 2, F.size("gaps")).alias("next"))))
     rows = rows.select("text_key", "kind", "pos", F.col("col.found").alias("value"), F.col("col.gaps").alias("gap"), F.col("col.next.l").alias("after"))
@@ -193,10 +193,10 @@ def rank(kind: Column) -> Column:
 def examine(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with ``spans``: all spans in order as structs (start, rank, kind, stop, base)."""
     found = spans(docs.select("text")).select("text_key", F.struct("start", rank(F.col("kind")).alias("rank"), "kind", "stop", "base").alias("s"))
-    found = found.groupBy("text_key").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+    found = written(found.groupBy("text_key").agg(F.array_sort(F.collect_list("s")).alias("spans")))
     kind = dict(found.dtypes)["spans"]
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"))
-    return keyed.join(found, "text_key", "left").select("doc_id", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
+    keyed = docs.select("doc_id", F.md5("text").alias("text_key"))
+    return attach(keyed, found, "text_key", F.col("doc_id")).select("doc_id", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -204,11 +204,12 @@ def redact(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("text_key").orderBy("start", rank(F.col("kind")))
     past = F.coalesce(F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cuts = spans(docs.select("text")).withColumn("past", past)
-    cuts = cuts.groupBy("text_key").agg(
+    cuts = written(cuts.groupBy("text_key").agg(
         F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("past"), F.struct("start", "past", "kind")))).alias("cuts"), F.max("stop").alias("last")
-    )
+    ))
     text, last = F.col("row.text"), F.col("last").cast("int")
     piece = lambda c: F.concat(F.substring(text, c["past"].cast("int") + 1, (c["start"] - c["past"]).cast("int")), F.lit("<"), F.upper(c["kind"]), F.lit(">"))
     cut = F.concat(F.array_join(F.transform("cuts", piece), ""), F.substring(text, last + 1, F.length(text)))
-    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("text_key")).join(cuts, "text_key", "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.md5("text").alias("text_key"))
+    joined = attach(rows, cuts, "text_key", F.struct(F.lit(0), *[F.col(f"row.`{c}`") for c in docs.columns if c != "text"]))
     return joined.select(*[F.when(F.col("cuts").isNull(), text).otherwise(cut).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
