@@ -31,3 +31,23 @@ def test_held_out_accuracy(spark):
     got = op1_nnpu_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out").toPandas()
     agree = (got.predicted == got.toxic).mean()
     assert agree > 0.97, agree
+
+
+def test_all_unlabelled_rows_train_in_shards(spark):
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(900):
+        bad = i % 9 == 0
+        rows.append((i, " ".join([f"w{j}" for j in rng.integers(0, 200, 30)] + ["vile"] * bad), "clash"))
+        if i % 2 == 0:
+            labels.append((i, int(bad)))
+    docs = spark.createDataFrame([*rows, (None, "a row without an id", "x"), (5, rows[5][1], "a repeated row"), (901, "long " * 50_000, "x")], "doc_id long, text string, score string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    weights, bias = toxicity.fit(docs, known, shard=150)
+    assert set(weights) == {"vile"} and len(bias) == 1
+    got = toxicity.score(docs, (weights, bias)).collect()
+    assert len(got) == 903
+    assert all((r.score >= 0.7) == (r.doc_id is not None and r.doc_id < 900 and r.doc_id % 9 == 0) for r in got)
+    assert toxicity.accepted(docs, (weights, bias)).columns == docs.columns
+    patterns = {r.doc_id: list(r.pattern) for r in toxicity._patterns(docs, ["vile", "w1"]).collect() if r.doc_id == 9}
+    assert patterns[9][0] == 0
