@@ -1,8 +1,12 @@
 """A corpus pipeline: toxicity filter, near-duplicate removal, decontamination, redaction, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the last return the
-columns of ``documents``; the last returns one row of token ids per document. Documents need ids: rows with a null
-id go at the near-duplicate stage, where one row of each group (its smallest id) stays.
+columns of ``documents``; the last returns one row of token ids per document.
+
+Defined results: a null or empty text passes every stage (it has no shingles, windows, spans or tokens) unless the
+classifier's bias alone rejects it; rows with a null id take part in every stage and come after the others where one
+row of a group is chosen; rows that repeat both id and text become one, rows that share an id but not a text are
+judged by text and stay apart; an empty table gives no rows; further columns are carried along untouched.
 """
 
 from __future__ import annotations
@@ -21,11 +25,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.accepted(docs, toxicity.fit(learn, table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
+#: Stand-in ids of rows without one lie above all real ids; equal texts share one.
+NO_ID = 1 << 62
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one of the smallest id stays."""
-    groups = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group of linked documents, the one of the smallest id stays; rows without an id come last."""
+    node = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(NO_ID)))
+    groups = jaccard.near_duplicates(docs.select(node.alias("doc_id"), "text"))
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_node")).distinct()
+    rows = docs.withColumn("_node", node).join(kept, "_node", "left_semi")
+    return rows.dropDuplicates(["_node", "text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
