@@ -147,16 +147,31 @@ def shapley(model_predict, rows: DataFrame, background: DataFrame, inputs: list[
     return y.withColumn("step", step).filter("feature IS NOT NULL").groupBy(*PRED, "feature").agg((F.sum("step") / permutations).alias("attribution"))
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Ranks with ties at their mean."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2.0
+def average_ranks(df: DataFrame, keys: list[str], values: dict[str, str], buckets: int = 256) -> DataFrame:
+    """df with the rank of each value (new name -> column) in its group, ties at their mean (E10), nulls first.
+
+    A group's rows are dealt over buckets of its range, so that a large group isn't one task; the offsets come from the
+    small tables of bucket counts.
+    """
+    ends = df.groupBy(*keys).agg(*[f(c).alias(f"_{n}_{f.__name__}") for n, c in values.items() for f in (F.min, F.max)])
+    df = df.join(ends, keys)
+    for name, c in values.items():
+        low, high = F.col(f"_{name}_min"), F.col(f"_{name}_max")
+        at = F.least(F.floor(F.coalesce(F.try_divide((F.col(c) - low).cast("double"), (high - low).cast("double")), F.lit(0.0)) * buckets), F.lit(buckets - 1))
+        df = df.withColumn("_b", F.when(F.col(c).isNull(), -1).otherwise(at)).drop(f"_{name}_min", f"_{name}_max")
+        counts = df.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+        before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+        own = Window.partitionBy(*keys, "_b")
+        rank = F.col("_o") + F.rank().over(own.orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, "_b", c)) - 1) / 2.0
+        df = df.join(counts, [*keys, "_b"]).withColumn(name, rank).drop("_b", "_o")
+    return df
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    r = df.withColumn("_a", average_rank(a, keys)).withColumn("_b", average_rank(b, keys))
-    spread = F.stddev_pop("_a") * F.stddev_pop("_b")
-    return r.groupBy(*keys).agg(F.try_divide(F.covar_pop("_a", "_b"), spread).alias("rho"))  # null where all are tied
+    r = average_ranks(df.select(*keys, a, b), keys, {"_a": a, "_r": b})
+    spread = F.stddev_pop("_a") * F.stddev_pop("_r")
+    return r.groupBy(*keys).agg(F.try_divide(F.covar_pop("_a", "_r"), spread).alias("rho"))  # null where all are tied
 
 
 def metrics(preds: DataFrame, models: list[str], pivots: DataFrame, least: int = 10) -> DataFrame:
