@@ -36,6 +36,8 @@ LEXICON_WORDS = 1 << 16
 LEXICON_BYTES = 48
 #: Entries of a worker's word cache and of a counting table before it is emptied.
 CACHE_WORDS = 100_000
+#: Bytes of text that are encoded at a time.
+SLICE = 1 << 20
 #: Words of more bytes are merged one by one, with a heap.
 LONG_WORD = 96
 #: Words merged at once, few enough for the processor's cache.
@@ -400,26 +402,35 @@ def compile_lexicon(docs: DataFrame, content: bytes, words: int = LEXICON_WORDS,
     return Lexicon.build({w: np.frombuffer(i, "<i4").tolist() for w, i in zip(raw, ids)})
 
 
-def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
-    """(doc_id, ids): the token ids of each whole text."""
+def _texts(ids: pa.ListArray, names: pa.Array) -> pa.Array:
+    """The tokens' strings joined by spaces, as a file without a decoder asks for."""
+    ends = np.asarray(ids.offsets, np.int64)
+    tokens = pa.LargeListArray.from_arrays(pa.array(ends - ends[0], pa.int64()), names.take(ids.flatten()))
+    return pc.binary_join(tokens, pa.scalar(" ", pa.large_string())).cast(pa.string())
+
+
+def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", words: int = LEXICON_WORDS, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids): the token ids of each whole text; with ``decoded``, also what decode() gives for them, in one pass."""
     spark, raw = docs.sparkSession, read_vocabulary(path)
     compiled = compile_lexicon(docs, raw, words, text)
     content, blob, key = ship(spark, raw), ship(spark, compiled), hashlib.sha256(raw + compiled).hexdigest()
 
     def run(batches):
         encoder = _encoder(key, content, blob)
-        for part in slices(batches, 1):
+        names = pa.array(encoder.vocabulary.names, pa.large_string())
+        for part in slices(batches, 1, size=SLICE):
             found = encoder.encode_all(part.column(1).to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])])
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
-            yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
+            out = {"doc_id": part.column(0), "ids": ids} | ({"decoded": _texts(ids, names)} if decoded else {})
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, ids array<int>")
+    return source.mapInArrow(run, "doc_id long, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, decoded): the tokens' strings joined by spaces, as a file without a decoder asks for."""
+    """(doc_id, ids, decoded): the tokens' strings joined by spaces."""
     named = ship(encoded.sparkSession, Vocabulary(read_vocabulary(path)).names)
 
     def run(batches):
@@ -427,11 +438,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = part.column(1)
-                tokens = pa.LargeListArray.from_arrays(
-                    pa.array(np.asarray(ids.offsets, np.int64) - ids.offsets[0].as_py(), pa.int64()), names.take(ids.flatten())
-                )
-                text = pc.binary_join(tokens, pa.scalar(" ", pa.large_string())).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, text], names=["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _texts(part.column(1), names)], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -63,7 +63,7 @@ def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return bpe.decode(bpe.encode(docs, path), path).select(
+    return bpe.encode(docs, path, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

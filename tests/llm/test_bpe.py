@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -62,3 +63,18 @@ def test_lexicon_numbers():
     for w, ids in words.items():
         assert list(np.frombuffer(lex.get(w), "<i4")) == ids
     assert lex.get(b"ta") is None and lex.get(b"tapz") is None and lex.get(b"") is None
+
+
+def test_merges_and_walks_of_many_words_at_once(spark):
+    vocabulary = bpe.Vocabulary(bpe.read_vocabulary(PATH))
+    words = sorted({w for t in ODD if t for w in bpe.words_of(t)} | {"a", "aaaa", "aaaaaaa", "ababab", "ñandú", "é" * 40, "x" * 300})
+    want = [np.array(vocabulary.merge(w), "<i4").tobytes() for w in words]
+    raw = [w.encode() for w in words]
+    assert vocabulary.merge_all(raw) == want and vocabulary.merge_all([r for r in raw if len(r) <= bpe.LONG_WORD]) == [x for x, r in zip(want, raw) if len(r) <= bpe.LONG_WORD]
+    assert vocabulary.merge_all([]) == []
+    held = {r: np.frombuffer(x, "<i4").tolist() for r, x in list(zip(raw, want))[::2] if len(r) <= bpe.LEXICON_BYTES}
+    lexicon = bpe.Lexicon(bpe.Lexicon.build(held))
+    assert [None if n < 0 else np.frombuffer(lexicon.entry(n), "<i4").tolist() for n in lexicon.numbers(raw).tolist()] == [held.get(r) for r in raw]
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    one, two = bpe.encode(docs, PATH, words=9, decoded=True), bpe.decode(bpe.encode(docs, PATH, words=9), PATH)
+    assert sorted(map(tuple, one.collect()), key=lambda r: r[0]) == sorted(map(tuple, two.collect()), key=lambda r: r[0])
