@@ -321,7 +321,7 @@ def predict(docs: DataFrame, pieces: dict[str, int], model) -> DataFrame:
             _LOADED.clear()
             _LOADED[key] = Scorer(pieces, p)
         scorer = _LOADED[key]
-        for part in slices(batches, 1, 4096):
+        for part in slices(batches, 1, 4096, 2 << 20):
             texts = part.column(1).to_pylist()
             lists = word_lists(part.column(1))
             words = lists.flatten().dictionary_encode()

@@ -65,3 +65,17 @@ def test_shared_sums_are_those_of_single_words():
 
 def test_letters():
     assert langid.has_letter("1½ ²a") and langid.has_letter("字") and not any(map(langid.has_letter, ["½ ²", "12 _ !", "", "Ⅷ"]))
+
+
+def test_clashing_columns_ties_repeats_and_long_texts(spark):
+    pieces = {p: i for i, p in enumerate(["▁", "a", "b", "▁a", "▁b", "ab"])}
+    rows = [(1, "a ab a", "xx", 0.5, "q"), (1, "a ab a", "xx", 0.5, "q"), (2, "b b ba", "yy", 0.1, None), (3, "ab " * 40_000, None, None, None), (4, "a" * 50_000, None, None, None), (5, "c", None, None, None), (None, "a ab", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    model = langid.fit(docs, pieces)
+    got = langid.predict(docs, pieces, model).collect()
+    assert len(got) == 7 and langid.predict(docs, pieces, model).columns == ["doc_id", "lang_pred", "score"]
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id == 1}) == 1
+    assert all(0 <= r.score <= 1 and r.lang_pred in ("xx", "yy") for r in got)
+    same = spark.createDataFrame([(1, "a b", "yy"), (2, "a b", "xx")], "doc_id long, text string, lang string")
+    tied = langid.predict(same, pieces, langid.fit(same, pieces)).collect()
+    assert {r.lang_pred for r in tied} == {"xx"} and all(abs(r.score - 0.5) < 1e-9 for r in tied)
