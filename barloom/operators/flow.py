@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.cdf import normal_cdf, signed_imbalance, student_t_cdf, t_constant
-from barloom.functions.safe import col, finite, log, ratio, seconds
+from barloom.functions.safe import col, finite, log, ratio
 from barloom.functions.smoothing import ewma
 from barloom.operators.bars import (
-    GAP, KEYS, SPAN, WARMUP, bar_return, close_return, full, order, parent_bars, sessions, sigma_concurrent, sigma_session, trailing, warmed, with_parent, with_yang_zhang,
+    GAP, KEYS, SPAN, WARMUP, bar_return, close_return, full, order, parent_bars, sigma_concurrent, sigma_session, trailing, with_parent, with_yang_zhang,
 )
 
 Z_LIMIT = 50.0

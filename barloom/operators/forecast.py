@@ -14,8 +14,6 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.safe import log
-
 PRED = ["fold_id", "root", "instrument_id", "ts", "target"]
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.cdf import student_t_cdf
-from barloom.operators.fitting import clean_z, fit_student_t, pit_diagnostics, ranked, with_constants
+from barloom.operators.fitting import clean_z, fit_student_t, pit_diagnostics
 
 
 def month_spine(spark, start: str, end: str) -> DataFrame:

@@ -11,7 +11,7 @@ from barloom.operators import fitting as Q
 from barloom.operators import flow as X
 from barloom.operators import regime as R
 from barloom.operators import validation as V
-from barloom.plans.market import BARS, FEATURES, GAP, MAIN, ROOTS, SIGMA, SPAN, TCDF, WARM, event_ticks, features, main_bars, params, sigma_bars
+from barloom.plans.market import BARS, FEATURES, ROOTS, SIGMA, SPAN, TCDF, features, main_bars, sigma_bars
 from barloom.sources.tables import order_ticks
 
 QUERIES: dict = {}

@@ -15,20 +15,6 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_type").alias("root"), F.col("event_type").alias("instrument_id"), "ts", F.col("value").alias("price"), F.lit(1).cast("long").alias("volume"), F.col("event_id").alias("tie"))
 
 
-def user_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sparse variant: one instrument per user, many short sessions."""
-    e = read(spark, sf_dir, "events")
-    return e.select(F.col("event_type").alias("root"), F.col("user_id").alias("instrument_id"), "ts", F.col("value").alias("price"), F.lit(1).cast("long").alias("volume"), F.col("event_id").alias("tie"))
-
-
 def order_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     return o.select(F.lit("orders").alias("root"), F.col("o_orderpriority").alias("instrument_id"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("price"), F.lit(1).cast("long").alias("volume"), F.col("o_orderkey").alias("tie"))
-
-
-def item_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = read(spark, sf_dir, "lineitem")
-    return i.select(
-        F.col("l_returnflag").alias("root"), F.concat("l_returnflag", "l_linestatus").alias("instrument_id"), F.col("l_shipdate").alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").cast("long").alias("volume"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("tie"),
-    )
