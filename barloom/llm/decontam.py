@@ -102,10 +102,10 @@ def _occurrences(near: DataFrame, items: DataFrame, short: list[int]) -> DataFra
     """(text_key, item_id, start, length): every occurrence of an item's window in the texts near (text_key, w)."""
     long = items.filter(F.size("iw") >= SPAN)
     i_at = hashed(long.select("item_id", F.col("iw").alias("w")), "item_id").select("item_id", F.explode(kept_places(F.col("hs"))).alias("p"))
-    d_at = hashed(near, "text_key").select("text_key", F.explode(kept_places(F.col("hs"))).alias("p"))
     i_at = i_at.select("item_id", F.col("p.h").alias("h"), F.col("p.back").alias("i_back"))
-    hits = d_at.select("text_key", F.col("p.h").alias("h"), F.col("p.back").alias("d_back")).join(small(i_at), "h")
-    hits = written(hits.select("text_key", "item_id", (F.col("i_back") - F.col("d_back")).alias("shift")).distinct())
+    # Every run of these few texts meets the items' kept hashes: cheaper than choosing the kept ones again, with their places.
+    hits = hashed(near, "text_key").select("text_key", F.posexplode("hs").alias("d_at", "h")).join(small(i_at), "h")
+    hits = written(hits.select("text_key", "item_id", (F.col("i_back") + F.col("d_at")).alias("shift")).distinct())
     # Of the document only the words beside the item's are kept, from the item's word "lo" on.
     both = near.join(small(hits.join(small(long), "item_id")), "text_key")
     lo = F.greatest(-F.col("shift"), F.lit(0))
