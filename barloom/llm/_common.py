@@ -117,3 +117,21 @@ def slices(batches, text: int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES):
             at = stop
         del batch
         pa.default_memory_pool().release_unused()
+
+
+def whole_runs(batches, column: str):
+    """Arrow tables of rows sorted by ``column``, cut so that all rows of a value are in one table: a batch and the longest run at most."""
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(column)
+        other = np.flatnonzero(pc.not_equal(keys, keys[-1]).to_numpy(zero_copy_only=False))
+        start = int(other[-1]) + 1 if len(other) else 0
+        if start or held and held[-1].column(column)[0] != keys[0]:
+            held.append(batch.slice(0, start))
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)

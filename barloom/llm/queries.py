@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import attribution, bpe, decontam, jaccard, langid, licenses, lm, pii, tiff, toxicity
+from barloom.llm import attribution, bpe, decontam, jaccard, langid, licenses, lm, pii, tiff, toxicity, variants
 from barloom.llm._common import fold, table
 
 
@@ -88,6 +88,10 @@ def op10_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_hits", F.array_join("families", ",").alias("families"), F.array_join(shown, ",").alias("hits"))
 
 
+def op13_edit_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op2_tiff_pages": op2_tiff_pages,
@@ -99,7 +103,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_winnowing": op8_winnowing,
     "op9_bloom_lm": op9_bloom_lm,
     "op10_license_paragraphs": op10_license_paragraphs,
+    "op13_edit_composition": op13_edit_composition,
 }
+#: CRC-32 by bytes: the table of a byte's steps, and the checksum of a list ``bytes``.
+_CRC_TABLE = "k AS (SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce([i] || range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)))"
+
+
+def _crc(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text, with k's column crc at hand."""
+    codes = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {codes}, lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op5_jaccard_components": r"""
@@ -125,4 +140,17 @@ i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op13_edit_composition": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents),
+h AS (SELECT w, {_crc("doc_id || ':' || w")} AS h FROM r, k),
+v AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word FROM h),
+n AS (SELECT word, count(*) AS n FROM v GROUP BY word HAVING length(word) >= 5 AND count(*) >= 3),
+d AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM n)),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM d a JOIN n b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM d a JOIN n b ON a.rest = b.word),
+f AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, arg_min(near_n, (-near_n, near)) AS near_n FROM p GROUP BY word),
+c AS (SELECT n.word, n.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n.n THEN near END AS form, CASE WHEN near_n >= 2 * n.n THEN near_n END AS form_n FROM n LEFT JOIN f USING (word)),
+t(word, form) AS (SELECT word, word FROM c UNION ALL SELECT t.word, c.form FROM t JOIN c ON c.word = t.form WHERE c.form IS NOT NULL)
+SELECT c.word, c.form, t.form AS root, c.n, c.n_near, c.form_n FROM c JOIN t ON t.word = c.word JOIN c e ON e.word = t.form AND e.form IS NULL""",
 }
