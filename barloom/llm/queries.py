@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import attribution, bpe, decontam, jaccard, langid, licenses, lm, pii, tiff, toxicity, variants
+from barloom.llm import attribution, bpe, decontam, jaccard, langid, licenses, lm, pii, simhash, tiff, toxicity, variants
 from barloom.llm._common import fold, table
 
 
@@ -88,6 +88,10 @@ def op10_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_hits", F.array_join("families", ",").alias("families"), F.array_join(shown, ",").alias("hits"))
 
 
+def op11_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op13_edit_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_winnowing": op8_winnowing,
     "op9_bloom_lm": op9_bloom_lm,
     "op10_license_paragraphs": op10_license_paragraphs,
+    "op11_anchor_simhash": op11_anchor_simhash,
     "op13_edit_composition": op13_edit_composition,
 }
 #: CRC-32 by bytes: the table of a byte's steps, and the checksum of a list ``bytes``.
