@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import attribution, bpe, decontam, jaccard, langid, licenses, lm, pii, simhash, tiff, toxicity, variants
+from barloom.llm import attribution, bpe, decontam, jaccard, langid, licenses, lm, merkle, pii, simhash, tiff, toxicity, variants
 from barloom.llm._common import fold, table
 
 
@@ -92,6 +92,14 @@ def op11_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_butterfly_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row (by the checksum of its id) is checked as if its n_chars had been raised by one."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    fields = lambda n: merkle.digest(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))
+    raised = fields(F.col("n_chars").cast("decimal(20, 0)") + 1)
+    return merkle.manifest(docs, fields(F.col("n_chars")), F.when(fold("doc_id", 7) == 0, raised))
+
+
 def op13_edit_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -108,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bloom_lm": op9_bloom_lm,
     "op10_license_paragraphs": op10_license_paragraphs,
     "op11_anchor_simhash": op11_anchor_simhash,
+    "op12_butterfly_manifest": op12_butterfly_manifest,
     "op13_edit_composition": op13_edit_composition,
 }
 #: CRC-32 by bytes: the table of a byte's steps, and the checksum of a list ``bytes``.
@@ -120,6 +129,11 @@ def _crc(text: str) -> str:
     return f"xor(list_reduce([4294967295::BIGINT] || {codes}, lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
 
 
+def _field(c: str) -> str:
+    """SQL for a field of a leaf."""
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c} END"
+
+
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op5_jaccard_components": r"""
@@ -145,6 +159,26 @@ i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op12_butterfly_manifest": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+f AS (SELECT doc_id, lang, n_chars, {_crc("doc_id::VARCHAR")} % 7 = 0 AS hit, concat({_field("doc_id")}, {_field("source")}, {_field("lang")}) AS a, {_field("text")} AS z FROM documents, k),
+l AS (SELECT doc_id, lang, sha256(a || {_field("n_chars")} || z) AS leaf, CASE WHEN hit AND n_chars IS NOT NULL THEN sha256(a || {_field("(n_chars + 1)")} || z) END AS changed FROM f),
+o AS (SELECT *, coalesce('=' || lang, '') AS key, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+t(key, lv, i, h, n) AS (SELECT key, 0, i, leaf, count(*) OVER (PARTITION BY key) FROM o
+  UNION ALL SELECT key, lv + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY key, lv, i // 2, n),
+r AS (SELECT key, h AS subroot, row_number() OVER (ORDER BY key) - 1 AS kp FROM t WHERE n = 1),
+u(lv, i, h, n) AS (SELECT 0, kp, subroot, count(*) OVER () FROM r UNION ALL SELECT lv + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY lv, i // 2, n),
+p AS (SELECT o.key, o.i, t.lv, t.h FROM o JOIN t ON t.key = o.key AND t.i = xor(o.i >> t.lv, 1) AND t.n > 1),
+q AS (SELECT r.key, u.lv, u.h FROM r JOIN u ON u.i = xor(r.kp >> u.lv, 1) AND u.n > 1),
+w AS (SELECT o.*, r.subroot, r.kp, coalesce((SELECT string_agg(h, '' ORDER BY lv) FROM p WHERE p.key = o.key AND p.i = o.i), '') AS low, coalesce((SELECT string_agg(h, '' ORDER BY lv) FROM q WHERE q.key = o.key), '') AS top FROM o JOIN r USING (key)),
+x AS (SELECT w.doc_id, w.key, w.i, w.kp, 0 AS lv, coalesce(changed, leaf) AS h FROM w
+  UNION ALL SELECT x.doc_id, x.key, x.i, x.kp, x.lv + 1, sha256(CASE WHEN s.h IS NULL THEN x.h WHEN (x.i >> x.lv) & 1 = 1 THEN s.h || x.h ELSE x.h || s.h END)
+  FROM x JOIN (SELECT DISTINCT key, lv FROM t WHERE n > 1) e ON e.key = x.key AND e.lv = x.lv LEFT JOIN t s ON s.key = x.key AND s.lv = x.lv AND s.i = xor(x.i >> x.lv, 1)),
+y AS (SELECT x.doc_id, x.key, x.i, x.kp, 0 AS lv, x.h FROM x JOIN (SELECT key, max(lv) AS lv FROM t GROUP BY key) m ON m.key = x.key AND m.lv = x.lv
+  UNION ALL SELECT y.doc_id, y.key, y.i, y.kp, y.lv + 1, sha256(CASE WHEN s.h IS NULL THEN y.h WHEN (y.kp >> y.lv) & 1 = 1 THEN s.h || y.h ELSE y.h || s.h END)
+  FROM y JOIN (SELECT DISTINCT lv FROM u WHERE n > 1) e ON e.lv = y.lv LEFT JOIN u s ON s.lv = y.lv AND s.i = xor(y.kp >> y.lv, 1))
+SELECT w.doc_id, w.leaf, w.subroot, g.root, sha256(w.low || w.top) AS proof_sha256, y.h AS folded_root, y.h = g.root AS verified
+FROM w JOIN (SELECT h AS root, lv FROM u WHERE n = 1) g ON true JOIN y ON y.key = w.key AND y.i = w.i AND y.lv = g.lv""",
     "op13_edit_composition": rf"""
 WITH RECURSIVE {_CRC_TABLE},
 r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents),
