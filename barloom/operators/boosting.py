@@ -22,7 +22,7 @@ from barloom.sources.stage import staged
 #: Bin 0 holds missing values and categories that weren't seen.
 BINS = 64
 #: Rounds after which the forecasts of the rows are written, so that jobs apply at most as many trees to them.
-WRITE_EVERY = 8
+WRITE_EVERY = 5
 
 
 @dataclass
@@ -121,7 +121,8 @@ def quantised(df: DataFrame, inputs: list[str], category: str | None = None, fir
 
     df = df.withColumns({"t": micros("ts"), "y": F.col("target").cast("double"), "h": F.xxhash64(*[F.col(c) for c in ("root", "instrument_id", "ts")])})
     form = ", ".join(f"`{n}` {k}" for n, k in df.dtypes) + ", x binary"
-    return staged(df.mapInArrow(run, form))
+    # Later rows are in fewer folds: dealt by hash, every task has the same work.
+    return staged(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h").mapInArrow(run, form))
 
 
 def starts(rows: DataFrame, table: DataFrame, least_train: int, least_test: int, validate: float, tau: float | None) -> list[Fold]:
@@ -235,30 +236,38 @@ def _level(state: DataFrame, folds: dict[int, Fold], frontier: dict[int, list[in
             names=["fold", "node", "part", "sums"],
         )
 
-    def chosen(key, table):
-        i, node = (k.as_py() for k in key)
-        parts = [s for _, s in sorted(zip(table.column("part").to_pylist(), table.column("sums").to_pylist()))]  # always in one order
-        whole = sum(np.frombuffer(s, float) for s in parts)
-        if node < 0:
-            row = (i, node, 0, float(whole[0] / whole[1]), None, int(whole[1]), None, None, None, None, None)
-        else:
-            used = shipped.value[3][i]
-            s = whole.reshape(2, -1, BINS)
+    def chosen(batches):
+        parts: dict = {}
+        for batch in batches:
+            for i, node, part, own in zip(*(batch.column(c).to_pylist() for c in ("fold", "node", "part", "sums"))):
+                parts.setdefault((i, node), []).append((part, own))
+        out = []
+        for (i, node), found in parts.items():
+            whole = sum(np.frombuffer(own, float) for _, own in sorted(found))  # always in one order
+            if node < 0:
+                out.append((i, node, 0, float(whole[0] / whole[1]), None, int(whole[1]), *[None] * 5))
+                continue
+            used, s = shipped.value[3][i], whole.reshape(2, -1, BINS)
             g, n = float(s[0, used[0]].sum()), int(s[1, used[0]].sum())
-            found = best_split(s[:, used], least, categorical and used[-1] == s.shape[1] - 1)
-            if found is None:
-                row = (i, node, 1, None, g, n, None, None, None, None, None)
+            if (best := best_split(s[:, used], least, categorical and used[-1] == s.shape[1] - 1)) is None:
+                out.append((i, node, 1, None, g, n, *[None] * 5))
             else:
-                gain, k, mask = found
-                row = (i, node, 2, None, g, n, gain, int(used[k]), mask.tobytes(), float(s[0, used[k]][mask].sum()), int(s[1, used[k]][mask].sum()))
+                gain, k, mask = best
+                out.append((i, node, 2, None, g, n, gain, int(used[k]), mask.tobytes(), float(s[0, used[k]][mask].sum()), int(s[1, used[k]][mask].sum())))
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.int32(), pa.binary(), pa.float64(), pa.int64()]
-        return pa.table({c.split()[0]: pa.array([v], k) for c, v, k in zip(SPLITS.split(", "), row, kinds)})
+        columns = zip(*out) if out else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in SPLITS.split(", ")])
 
-    got = state.mapInArrow(sums, "fold int, node int, part int, sums binary").groupBy("fold", "node").applyInArrow(chosen, SPLITS).collect()
+    got = _met(state.mapInArrow(sums, "fold int, node int, part int, sums binary"), "fold", "node").mapInArrow(chosen, SPLITS).collect()
     shipped.destroy()
     return got
 
 
+def _met(parts: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a key in one task; each has as many as there are tasks before."""
+    return parts.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _residual_quantiles(state: DataFrame, folds: dict[int, Fold], growing: dict[int, Tree], draw: int, sample: float, tau: float, steps: int = 1024):
     """(fold, leaf) -> the tau quantile of the residuals there, by counts in ``steps`` steps of the leaf's range: two jobs."""
     shipped = state.sparkSession.sparkContext.broadcast((folds, growing))
@@ -294,15 +303,18 @@ def _residual_quantiles(state: DataFrame, folds: dict[int, Fold], growing: dict[
         keys = list(total)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k].astype(np.int64).tobytes() for k in keys], pa.binary())], names=["fold", "leaf", "counts"])
 
-    def inverted(key, table):
-        i, q = (k.as_py() for k in key)
-        lo, hi = ends[i, q]
-        n = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist())
-        ahead = np.concatenate([[0], np.cumsum(n)])
-        value = lo + (hi - lo) / steps * np.interp(tau * ahead[-1], ahead, np.arange(steps + 1))
-        return pa.table({"fold": pa.array([i], pa.int32()), "leaf": pa.array([q], pa.int32()), "value": pa.array([float(value)])})
-
-    got = state.mapInArrow(counts, "fold int, leaf int, counts binary").groupBy("fold", "leaf").applyInArrow(inverted, "fold int, leaf int, value double").collect()
+    def inverted(batches):
+        total: dict = {}
+        for batch in batches:
+            for i, q, own in zip(*(batch.column(c).to_pylist() for c in ("fold", "leaf", "counts"))):
+                total[i, q] = total.get((i, q), 0) + np.frombuffer(own, np.int64)
+        out = []
+        for (i, q), n in total.items():
+            (lo, hi), ahead = ends[i, q], np.concatenate([[0], np.cumsum(n)])
+            out.append((i, q, float(lo + (hi - lo) / steps * np.interp(tau * ahead[-1], ahead, np.arange(steps + 1)))))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.int32(), pa.int32(), pa.float64()))], names=["fold", "leaf", "value"])
+
+    got = _met(state.mapInArrow(counts, "fold int, leaf int, counts binary"), "fold", "leaf").mapInArrow(inverted, "fold int, leaf int, value double").collect()
     shipped.destroy()
     return {(r.fold, r.leaf): r.value for r in got}
 

@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from bisect import bisect_right
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +29,6 @@ def folds(df: DataFrame, first_months: int = 12, block_months: int = 2, purge_da
     return b.select("fold_id", F.col("a").cast("timestamp_ntz").alias("train_start"), stop.alias("train_end"), "test_start", "test_end")
 
 
-def sliced(df: DataFrame, table: DataFrame, least_train: int = 1000, least_test: int = 100) -> DataFrame:
-    """M5, M6: rows of each fold with ``part`` train or test; folds that are too small go."""
-    part = F.when((F.col("ts") >= F.col("train_start")) & (F.col("ts") <= F.col("train_end")), "train").when((F.col("ts") >= F.col("test_start")) & (F.col("ts") < F.col("test_end")), "test")
-    rows = df.join(F.broadcast(table), (F.col("ts") >= F.col("train_start")) & (F.col("ts") < F.col("test_end"))).withColumn("part", part).filter("part IS NOT NULL").drop("train_start", "train_end", "test_start", "test_end")
-    size = rows.groupBy("fold_id").agg(F.count_if(F.col("part") == "train").alias("a"), F.count_if(F.col("part") == "test").alias("b")).filter((F.col("a") >= least_train) & (F.col("b") >= least_test))
-    return rows.join(F.broadcast(size.select("fold_id")), "fold_id", "left_semi")
-
-
 def training_rows(df: DataFrame, inputs: list[str], positive: list[str], target: str = "target", valid: str | None = None) -> DataFrame:
     """M2: valid rows with every input and the target, and positive HAR inputs."""
     out = df.filter(valid) if valid else df
@@ -64,85 +52,130 @@ def persistence(sigma: str = "sigma_lag1", horizon: int = 12) -> Column:
     return F.ln(F.greatest(F.col(sigma), F.lit(1e-10))) + 0.5 * math.log(horizon)
 
 
-def ols(rows: DataFrame, inputs: list[Column], name: str) -> DataFrame:
-    """M8, M9: least squares of all folds in one job: means and covariances by fold, then one small solve for each fold."""
-    k = len(inputs)
-    y = F.col("target")
-    sums = [F.covar_pop(inputs[i], inputs[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    sums += [F.covar_pop(inputs[i], y).alias(f"y{i}") for i in range(k)] + [F.avg(inputs[i]).alias(f"m{i}") for i in range(k)] + [F.avg(y).alias("m")]
-    table = []
-    for r in rows.filter("part = 'train'").groupBy("fold_id").agg(*sums).collect():  # one row for each fold
-        g = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        b = np.linalg.lstsq(g, np.array([r[f"y{i}"] for i in range(k)]), rcond=None)[0]
-        table.append((r.fold_id, [r.m - float(sum(b[i] * r[f"m{i}"] for i in range(k))), *map(float, b)]))
-    beta = rows.sparkSession.createDataFrame(table, "fold_id int, beta array<double>")
-    rows = rows.join(F.broadcast(beta), "fold_id", "left")
-    return rows.withColumn(name, sum((F.get("beta", i + 1) * x for i, x in enumerate(inputs)), F.get("beta", 0))).drop("beta")
+@dataclass(frozen=True)
+class Schedule:
+    """Folds by the blocks between their bounds: training rows of a fold are a run of blocks, its test rows another.
+
+    folds: (fold_id, train_start, train_end, test_start, test_end) in microseconds; train_end belongs to the training rows.
+    """
+
+    folds: tuple[tuple[int, int, int, int, int], ...]
 
+    @property
+    def points(self) -> list[int]:
+        return sorted({p for _, a, b, c, d in self.folds for p in (a, b + 1, c, d)})
 
-def each_fold(rows: DataFrame, fit) -> list:
-    """fit(fold_id) for every fold of rows, a few folds at a time."""
-    found = sorted(r[0] for r in rows.select("fold_id").distinct().collect())
-    with ThreadPoolExecutor(4) as pool:
-        return list(pool.map(inheritable_thread_target(rows.sparkSession)(fit), found))
+    def block(self, t: Column) -> Column:
+        """How many bounds are at or before t (microseconds), by halving."""
 
+        def within(lo: int, hi: int) -> Column:
+            if lo == hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            return F.when(t < points[mid], within(lo, mid)).otherwise(within(mid + 1, hi))
 
-def boosted_models(rows: DataFrame, inputs: list[str], rounds: int = 20, **options) -> dict:
-    """fold_id -> the model of its boosted trees, on the assembled column ``x``; the last tenth of train by time validates."""
+        points = self.points
+        return within(0, len(points))
 
-    def fit(f):
-        own = VectorAssembler(inputCols=inputs, outputCol="x").transform(rows.filter(F.col("fold_id") == f))
-        cut = own.filter("part = 'train'").agg(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), 0.9)).first()[0]
-        own = own.withColumn("val", F.unix_micros(F.col("ts").cast("timestamp")) > cut)
-        gbt = GBTRegressor(featuresCol="x", labelCol="target", predictionCol="pred_gbt", maxIter=rounds, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=7, validationIndicatorCol="val", **options)
-        return f, gbt.fit(own.filter("part = 'train'"))
+    def run(self, start: int, stop: int) -> range:
+        """The blocks of the times from start to before stop."""
+        return range(bisect_right(self.points, start), bisect_right(self.points, stop - 1) + 1)
 
-    return dict(each_fold(rows, fit))
+    def parts(self) -> dict[int, tuple[range, range]]:
+        """fold_id -> its blocks of training and of test rows."""
+        return {f: (self.run(a, b + 1), self.run(c, d)) for f, a, b, c, d in self.folds}
 
+    def kept(self, ids) -> Schedule:
+        return Schedule(tuple(f for f in self.folds if f[0] in ids))
 
-def boosted(rows: DataFrame, inputs: list[str], rounds: int = 20, **options):
-    """Boosted trees fold by fold; predictions and importances."""
-    preds, gains = None, []
-    for f, model in boosted_models(rows, inputs, rounds, **options).items():
-        own = VectorAssembler(inputCols=inputs, outputCol="x").transform(rows.filter((F.col("fold_id") == f) & (F.col("part") == "test")))
-        p = model.transform(own).select(*PRED, "pred_gbt")
-        preds = p if preds is None else preds.unionByName(p)
-        splits = [0] * len(inputs)
-        for line in model.toDebugString.splitlines():
-            if line.strip().startswith("If (feature"):
-                splits[int(line.split("feature ")[1].split()[0])] += 1
-        gains += [(int(f), inputs[i], float(g), splits[i]) for i, g in enumerate(model.featureImportances.toArray())]
-    return preds, rows.sparkSession.createDataFrame(gains, "fold_id int, feature string, gain double, split_count int")
 
+def micros(c: str | Column) -> Column:
+    return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
 
-def leaf_quantile(rows: DataFrame, inputs: list[str], tau: float = 0.9, trees: int = 10) -> DataFrame:
-    """The tau quantile of the training targets in a test row's leaves, averaged over a forest."""
 
-    def fit(f):
-        own = VectorAssembler(inputCols=inputs, outputCol="x").transform(rows.filter(F.col("fold_id") == f))
-        model = RandomForestRegressor(featuresCol="x", labelCol="target", numTrees=trees, maxDepth=4, minInstancesPerNode=10, seed=7, leafCol="leaf").fit(own.filter("part = 'train'"))
-        leaves = model.transform(own).select(*PRED, "part", F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
-        q = leaves.filter("part = 'train'").groupBy("tree", "leaf").agg(F.percentile("target", tau).alias("q"))
-        return leaves.filter("part = 'test'").join(F.broadcast(q), ["tree", "leaf"]).groupBy(*PRED).agg(F.avg("q").alias("pred_q"))
+def schedule(table: DataFrame) -> Schedule:
+    """M4 as a Schedule: one row of the table for each fold comes to the driver."""
+    rows = table.select("fold_id", *[micros(c) for c in ("train_start", "train_end", "test_start", "test_end")]).orderBy("fold_id").collect()
+    return Schedule(tuple(tuple(r) for r in rows))
 
-    return reduce(DataFrame.unionByName, each_fold(rows, fit))
+
+def _merged(parts: list[tuple[float, np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Running (count, means, co-moments) over blocks: sums about their own means are put together without cancelling."""
+    out = [(0.0, np.zeros_like(parts[0][1]), np.zeros_like(parts[0][2]))]
+    for n, m, c in parts:
+        k, mean, co = out[-1]
+        d, total = m - mean, k + n
+        share = n / total if total else 0.0
+        out.append((total, mean + d * share, co + c + np.outer(d, d) * k * share))
+    return out
 
 
-def shapley(model_predict, rows: DataFrame, background: DataFrame, inputs: list[str], permutations: int = 8, seed: int = 7) -> DataFrame:
-    """Sampled-permutation Shapley values as one scoring job: (keys, feature, attribution).
+def walk_forward(rows: DataFrame, plan: Schedule, models: dict[str, list[str]], least_train: int = 1000, least_test: int = 100) -> DataFrame:
+    """M5, M6, M8, M9: the test rows with their fold_id and the least-squares forecast of each model (name -> inputs).
 
-    background: a few rows (n bounded by the caller) whose means replace absent inputs; model_predict adds ``prediction``.
+    One scan adds up counts, means and co-moments of all inputs by block. Folds expand, so that a fold's training sums are
+    sums of its run of blocks, taken from running sums; no row is copied into folds. Folds that are too small go.
+    """
+    spark, columns = rows.sparkSession, [*dict.fromkeys(c for inputs in models.values() for c in inputs), "target"]
+    k, blocks = len(columns), len(plan.points) + 1
+    rows = rows.withColumn("_block", plan.block(micros("ts")))
+    sums = [F.covar_pop(columns[i], columns[j]) for i in range(k) for j in range(i, k)]
+    got = {r[0]: r[1:] for r in rows.groupBy("_block").agg(F.count("*"), *[F.avg(c) for c in columns], *sums).collect()}  # a row for each block
+    parts = []
+    for b in range(blocks):
+        n, *rest = got.get(b, (0, *[0.0] * (k + k * (k + 1) // 2)))
+        co = np.zeros((k, k))
+        co[np.triu_indices(k)] = rest[k:]
+        parts.append((float(n), np.array(rest[:k]), n * (co + np.triu(co, 1).T)))
+    table = []
+    running: dict[int, list] = {}  # from each first block on: one, as all folds start together
+    for f, (train, test) in plan.parts().items():
+        n, mean, co = running.setdefault(train.start, _merged(parts[train.start :]))[len(train)]
+        if n < least_train or sum(parts[b][0] for b in test) < least_test:
+            continue
+        betas = []
+        for inputs in models.values():
+            at = [columns.index(c) for c in inputs]
+            beta = np.linalg.lstsq(co[np.ix_(at, at)] / n, co[at, k - 1] / n, rcond=None)[0]
+            betas.append([float(mean[-1] - beta @ mean[at]), *map(float, beta)])
+        table += [(b, f, betas) for b in test]
+    found = F.broadcast(spark.createDataFrame(table, "_block int, fold_id int, _beta array<array<double>>"))
+    out = rows.join(found, "_block")
+    for i, (name, inputs) in enumerate(models.items()):
+        beta = F.get("_beta", F.lit(i))
+        out = out.withColumn(name, sum((F.get(beta, F.lit(j + 1)) * F.col(c) for j, c in enumerate(inputs)), F.get(beta, F.lit(0))))
+    return out.drop("_block", "_beta")
+
+
+def expanding_medians(rows: DataFrame, plan: Schedule, value: str = "target", steps: int = 4096) -> DataFrame:
+    """(fold_id, pivot), the median of each fold's training rows, exact.
+
+    Counts by block and step of the value's range give, for each fold, the steps that hold its two middle ranks; only the rows
+    of these steps are ranked.
     """
-    means = background.agg(*[F.avg(c).alias(c) for c in inputs]).first()
-    rng, plans = np.random.default_rng(seed), []
-    for p in range(permutations):
-        at = list(rng.permutation(len(inputs)))
-        plans += [(p, s, [bool(at.index(i) < s) for i in range(len(inputs))], inputs[at[s - 1]] if s else None) for s in range(len(inputs) + 1)]
-    table = F.broadcast(rows.sparkSession.createDataFrame(plans, "p int, s int, present array<boolean>, feature string"))
-    wide = rows.crossJoin(table).select(*PRED, "p", "s", "feature", *[F.when(F.get("present", i), F.col(c)).otherwise(means[c]).alias(c) for i, c in enumerate(inputs)])
-    y = model_predict(wide)
-    step = F.col("prediction") - F.lag("prediction").over(Window.partitionBy(*PRED, "p").orderBy("s"))
-    return y.withColumn("step", step).filter("feature IS NOT NULL").groupBy(*PRED, "feature").agg((F.sum("step") / permutations).alias("attribution"))
+    spark = rows.sparkSession
+    lo, hi = rows.agg(F.min(value), F.max(value)).first()
+    empty = spark.createDataFrame([], "fold_id int, pivot double")
+    if lo is None:
+        return empty
+    step = F.least(F.floor((F.col(value) - lo) / max(hi - lo, 1e-300) * steps), F.lit(steps - 1)).cast("int") if hi > lo else F.lit(0)
+    rows = rows.filter(F.col(value).isNotNull()).select(plan.block(micros("ts")).alias("_block"), step.alias("_step"), F.col(value).alias("_v"))
+    counts = np.zeros((len(plan.points) + 1, steps), np.int64)
+    for r in rows.groupBy("_block", "_step").count().collect():  # blocks x steps at most
+        counts[r[0], r[1]] = r[2]
+    wanted = []
+    for f, (train, _) in plan.parts().items():
+        ahead = counts[train.start : train.stop].sum(axis=0).cumsum()
+        n = int(ahead[-1])
+        for rank in ((n - 1) // 2, n // 2) if n else ():
+            s = int(np.searchsorted(ahead, rank, "right"))
+            wanted.append((f, train.start, train.stop, s, rank - int(ahead[s - 1] if s else 0) + 1))
+    if not wanted:
+        return empty
+    table = spark.createDataFrame(wanted, "fold_id int, _from int, _to int, _step int, _rank int")
+    held = rows.join(F.broadcast(table.select("fold_id", "_from", "_to", "_step").distinct()), "_step").filter((F.col("_block") >= F.col("_from")) & (F.col("_block") < F.col("_to")))
+    held = held.withColumn("_rank", F.row_number().over(Window.partitionBy("fold_id", "_step").orderBy("_v")))
+    return table.join(held.select("fold_id", "_step", "_rank", "_v"), ["fold_id", "_step", "_rank"]).groupBy("fold_id").agg(F.avg("_v").alias("pivot"))
 
 
 def average_ranks(df: DataFrame, keys: list[str], values: dict[str, str], buckets: int = 256) -> DataFrame:
@@ -188,11 +221,6 @@ def metrics(preds: DataFrame, models: list[str], pivots: DataFrame, least: int =
     return out.select(*keys, "n", *[F.when(few, F.col(c)).alias(c) for c in ("rho", "rmse", "mae", "hit_rate")])
 
 
-def train_pivots(rows: DataFrame) -> DataFrame:
-    """The median training target of each fold."""
-    return rows.filter("part = 'train'").groupBy("fold_id").agg(F.median("target").alias("pivot"))
-
-
 def fold_deltas(m: DataFrame, a: str, b: str) -> DataFrame:
     """Rho of model a less model b by fold."""
     return m.filter("slice = 'pooled'").groupBy("fold_id").pivot("model", [a, b]).agg(F.first("rho")).select("fold_id", (F.col(a) - F.col(b)).alias("delta"))

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.safe import rounded, seconds
 from barloom.operators import bars as B
+from barloom.operators import boosting as G
 from barloom.operators import events as E
 from barloom.operators import flow as X
 from barloom.operators import forecast as M
 from barloom.plans.market import FEATURES, FLOW, GAP, GK, SPAN, T, W, WARM, _ewma, _full, features, main_bars, params, shown
 from barloom.sources.stage import staged
-from barloom.sources.tables import order_ticks
+from barloom.sources.tables import line_ticks, order_ticks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -187,14 +185,10 @@ def order_rows(spark, d) -> DataFrame:
     return M.training_rows(df, INPUTS, ["sigma_lag1", "sigma_short", "sigma_long"])
 
 
-def order_folds(spark, d) -> DataFrame:
-    rows = order_rows(spark, d)
-    return M.sliced(rows, M.folds(rows, 12, 2), 50, 10)
-
-
-def written_folds(spark, d) -> DataFrame:
-    """The rows of all folds as a table, for fits that read them fold by fold."""
-    return staged(order_folds(spark, d), "fold_id")
+def planned(spark, d) -> tuple[DataFrame, M.Schedule]:
+    """The rows of the forecasts, staged, and their folds."""
+    rows = staged(order_rows(spark, d))
+    return rows, M.schedule(M.folds(rows, 12, 2))
 
 
 @query(
@@ -248,22 +242,22 @@ rk AS (SELECT *, rank() OVER (k ORDER BY target) + (count(*) OVER (PARTITION BY
 me AS (SELECT fold_id, model, slice, count(*) AS n, CASE WHEN count(*) >= 2 THEN covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) END AS rho, sqrt(avg((target - pred) ** 2)) AS rmse, avg(abs(target - pred)) AS mae, avg((sign(pred - mid) = sign(target - mid))::INT) AS hit_rate FROM rk JOIN pv USING (fold_id) GROUP BY ALL HAVING slice = 'pooled' OR count(*) >= 10)"""
 
 
-def baselines(spark, d) -> DataFrame:
-    """Forecasts are rounded, so that the last bits of a sigma that stands still don't decide ranks."""
-    rows = written_folds(spark, d).withColumn("b1", M.persistence("sigma_lag1", 5))
-    rows = M.ols(rows, [F.col("vpin"), F.col("ln_s1")], "b2")
-    rows = M.ols(rows, [F.col(f"ln_s{i}") for i in (1, 2, 3)], "b3")
+def baselines(rows: DataFrame, plan: M.Schedule) -> DataFrame:
+    """The test rows with three forecasts, rounded, so that the last bits of a sigma that stands still don't decide ranks."""
+    rows = M.walk_forward(rows.withColumn("b1", M.persistence("sigma_lag1", 5)), plan, {"b2": ["vpin", "ln_s1"], "b3": ["ln_s1", "ln_s2", "ln_s3"]}, 50, 10)
     return rows.withColumns({b: F.round(b, 9) for b in ("b1", "b2", "b3")})
 
 
 @query("m5_m9_baselines", MODELS + " SELECT fold_id, root, epoch(ts)::BIGINT AS t, round(target, 4) + 0 AS target, round(b1, 4) + 0 AS b1, round(b2, 4) + 0 AS b2, round(b3, 4) + 0 AS b3 FROM pt")
 def m9(spark, d):
-    return rounded(baselines(spark, d).filter("part = 'test'").select("fold_id", "root", seconds("ts").alias("t"), "target", "b1", "b2", "b3"), 4)
+    return rounded(baselines(*planned(spark, d)).select("fold_id", "root", seconds("ts").alias("t"), "target", "b1", "b2", "b3"), 4)
 
 
 def measured(spark, d) -> DataFrame:
-    rows = baselines(spark, d)
-    return M.metrics(rows.filter("part = 'test'"), ["b1", "b2", "b3"], M.train_pivots(rows))
+    """Forecasts and metrics from one staged table of test rows."""
+    rows, plan = planned(spark, d)
+    tested = staged(baselines(rows, plan).select("fold_id", "root", "target", "b1", "b2", "b3"))
+    return M.metrics(tested, ["b1", "b2", "b3"], staged(M.expanding_medians(rows, plan)))
 
 
 @query("m14_m16_m18_metrics", METRICS + " SELECT fold_id, model, slice, n, round(rho, 6) + 0 AS rho, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(hit_rate, 6) AS hit_rate FROM me")
@@ -299,7 +293,7 @@ SELECT slice, count(*) AS n, round(avg(e), 6) + 0 AS bias, round(stddev_samp(e),
 )
 def m23(spark, d):
     cal = spark.createDataFrame([("1998-03-02",), ("1999-06-01",)], "day string").select(F.col("day").cast("date"))
-    return rounded(M.residual_report(baselines(spark, d).filter("part = 'test'"), "b3", cal))
+    return rounded(M.residual_report(baselines(*planned(spark, d)), "b3", cal))
 
 
 @query(
@@ -309,7 +303,7 @@ dc AS (SELECT *, len(list_filter(list_distinct(edges), lambda e: target > e AND
 SELECT decile, count(*) AS n, round(avg(b1 - target), 6) + 0 AS bias_b1, round(stddev_samp(b1 - target), 6) AS std_b1, round(avg(b3 - target), 6) + 0 AS bias_b3, round(stddev_samp(b3 - target), 6) AS std_b3 FROM dc GROUP BY decile""",
 )
 def m24(spark, d):
-    return rounded(M.deciles(baselines(spark, d).filter("part = 'test'"), ["b1", "b3"]))
+    return rounded(M.deciles(baselines(*planned(spark, d)), ["b1", "b3"]))
 
 
 @query(
@@ -332,38 +326,69 @@ def m25(spark, d):
     return rounded(M.coverage(o, "q"))
 
 
+@query(
+    "m27_forecast_target",
+    MODELS + " SELECT count(target) AS n, round(avg(target), 4) + 0 AS mean, round(stddev_samp(target), 4) AS std, round(min(target), 4) + 0 AS min, round(quantile_cont(target, 0.25), 4) + 0 AS p25, round(quantile_cont(target, 0.5), 4) + 0 AS p50, round(quantile_cont(target, 0.75), 4) + 0 AS p75, round(quantile_cont(target, 0.95), 4) + 0 AS p95, round(max(target), 4) + 0 AS max FROM tr",
+)
+def m27_target(spark, d):
+    return rounded(M.target_stats(order_rows(spark, d)), 4)
+
+
+#: The 17 inputs of the boosted models; the root is a category beside them.
+BOOSTED = [*X.FLOW_FEATURES, *X.GEOMETRY, "sigma_lag1", "sigma_short", "sigma_long"]
+#: Fewer rounds and smaller leaves than ``boosting.fit`` has by default: the test tables have a few thousand bars.
+GROWN = dict(rounds=30, patience=6, rate=0.15, leaves=16, depth=4, least=20, least_train=50, least_test=10)
+
+
+def pooled_rows(spark, d) -> DataFrame:
+    """M1, M2: four-day bars of line items (root: line number, instrument: return flag) with all inputs and a five-bar target.
+
+    The roots are pooled; each row belongs to its folds by time, and ties of a time are told apart by (ts, instrument_id, root).
+    """
+    ticks = line_ticks(spark, d)
+    roots = [r[0] for r in ticks.select("root").distinct().orderBy("root").limit(256).collect()]
+    laws = X.parameter_table(spark, [(r, 4.0 + 0.25 * i, 0.0, 0.9) for i, r in enumerate(roots)])  # C6: a law for each root
+    at = lambda name: spark.createDataFrame([(r, "1992-01-01") for r in roots], f"root string, {name} string").withColumn(name, F.col(name).cast("timestamp_ntz"))
+    df = X.feature_table(B.bars(ticks, 1440), laws, at("regime_start"), at("cutoff"), 5760, SPAN, WARM, 40 * 86400)
+    df = X.forward_target(X.har_lags(df, "sigma_gk", 5, 10), 5, "target")
+    return M.training_rows(df, BOOSTED, ["sigma_lag1", "sigma_short", "sigma_long"], valid="is_train_valid_bar").select("root", "instrument_id", "ts", "target", *BOOSTED)
+
+
+def grown(spark, d, tau: float | None = None):
+    """The quantised rows and the boosted models of all folds."""
+    rows = staged(pooled_rows(spark, d))
+    table = staged(M.folds(rows, 12, 2))
+    first = table.agg(F.min("test_start")).first()[0]
+    rows = G.quantised(rows, BOOSTED, "root", F.col("ts") < F.lit(first))
+    return rows, G.fit(rows, table, categorical=True, tau=tau, **GROWN)
+
+
 @query("m10_m13_boosted")
 def m10(spark, d):
-    preds, _ = M.boosted(written_folds(spark, d), INPUTS)
-    return rounded(preds.select("fold_id", "root", seconds("ts").alias("t"), "target", "pred_gbt"))
+    rows, folds = grown(spark, d)
+    return rounded(G.forecast(rows, folds).select("fold_id", "root", "instrument_id", seconds("ts").alias("t"), "target", "pred_gbt"))
 
 
 @query("m20_m22_importance")
 def m20(spark, d):
-    _, gains = M.boosted(written_folds(spark, d), INPUTS)
-    return rounded(M.top_features(gains).join(M.top_presence(gains, INPUTS, 2), "feature").crossJoin(M.stability_summary(M.rank_stability(gains, 3))))
+    _, folds = grown(spark, d)
+    gains = staged(G.gains(spark, folds, [*BOOSTED, "root"]))
+    watched = ["sigma_lag1", "sigma_short", "sigma_long", "imbalance_t", "root"]
+    top = M.top_features(gains, 18).join(M.top_presence(gains, watched, 5), "feature", "left")
+    return rounded(top.crossJoin(M.stability_summary(M.rank_stability(gains, 10))))
 
 
 @query("m11_leaf_quantile")
 def m11(spark, d):
-    q = M.leaf_quantile(written_folds(spark, d), INPUTS)
-    return rounded(M.coverage(q, "pred_q"))
-
-
-def fold_attributions(rows: DataFrame) -> DataFrame:
-    """Shapley values of each fold's boosted model on the fold's test rows."""
-    out = []
-    for f, model in M.boosted_models(rows, INPUTS).items():
-        predict = lambda df, m=model: m.transform(VectorAssembler(inputCols=INPUTS, outputCol="x").transform(df)).withColumnRenamed("pred_gbt", "prediction")
-        test = rows.filter((F.col("fold_id") == f) & (F.col("part") == "test"))
-        out.append(M.shapley(predict, test, test, INPUTS))
-    return reduce(DataFrame.unionByName, out)
+    rows, folds = grown(spark, d, 0.9)
+    return rounded(M.coverage(G.forecast(rows, folds, "pred_q"), "pred_q"))
 
 
 @query("m12_m26_attributions")
 def m12(spark, d):
-    shares = staged(M.attribution_shares(fold_attributions(written_folds(spark, d))))
-    families = {"ln_s1": "volatility", "ln_s2": "volatility", "ln_s3": "volatility", "vpin": "flow"}
+    rows, folds = grown(spark, d)
+    shares = staged(M.attribution_shares(G.attributions(rows, folds, [*BOOSTED, "root"])))
+    families = {**dict.fromkeys(X.FLOW_FEATURES, "flow"), **dict.fromkeys(X.GEOMETRY, "geometry"), **dict.fromkeys(("sigma_lag1", "sigma_short", "sigma_long"), "volatility"), "root": "root"}
     own = F.create_map(*[F.lit(x) for kv in families.items() for x in kv])[F.col("feature")]
-    whole = M.family_shares(shares, families, "flow").select("root", "family", F.col("share").alias("family_share"), "supported")
-    return rounded(shares.withColumn("family", own).join(whole, ["root", "family"]))
+    whole = M.family_shares(shares, families, "geometry").select("root", "family", F.col("share").alias("family_share"), "supported")
+    return rounded(shares.withColumn("family", own).join(whole, ["root", "family"], "left"))

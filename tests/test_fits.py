@@ -1,3 +1,5 @@
+from datetime import datetime, timedelta
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -66,16 +68,31 @@ def test_halves_and_stability_by_days(spark, drawn):
     assert abs(got.mean_1 - np.mean(z[:2000])) < 1e-12 and abs(got.mean_2 - np.mean(z[2000:])) < 1e-12
 
 
-def test_least_squares_against_numpy(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(300, 3))
-    y = 2 + x @ [1.0, -0.5, 0.25] + rng.normal(size=300) * 0.1
-    rows = [(f, "train" if i % 5 else "test", *map(float, x[i]), float(y[i] + f)) for f in (0, 1) for i in range(300)]
-    df = spark.createDataFrame(rows, "fold_id int, part string, a double, b double, c double, target double")
-    got = M.ols(df, [F.col(c) for c in "abc"], "p").filter("fold_id = 1").select("a", "b", "c", "p").collect()
-    train = [i for i in range(300) if i % 5]
-    beta = np.linalg.lstsq(np.c_[np.ones(len(train)), x[train]], y[train] + 1, rcond=None)[0]
-    assert max(abs(r.p - beta @ [1, r.a, r.b, r.c]) for r in got) < 1e-9
+def test_folds_from_running_sums_against_numpy(spark):
+    """Least squares and medians of every expanding fold; a purge leaves rows in no part, and small folds go."""
+    rng, n = np.random.default_rng(1), 2000
+    x, day = rng.normal(size=(n, 3)), np.sort(rng.integers(0, 900, n))
+    y = 1e6 + x @ [1.0, -0.5, 0.25] + rng.normal(size=n) * 0.1 + day * 0.01
+    at = [datetime(2020, 1, 1) + timedelta(days=int(k), seconds=i) for i, k in enumerate(day)]
+    df = spark.createDataFrame([(at[i], *map(float, x[i]), float(y[i])) for i in range(n)], "ts timestamp, a double, b double, c double, target double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for strict in (False, True):
+        plan = M.schedule(M.folds(df, 12, 2, strict_purge=strict))
+        got = M.walk_forward(df, plan, {"p": ["a", "b", "c"], "q": ["b"]}, 100, 95).toPandas()
+        mid = {r.fold_id: r.pivot for r in M.expanding_medians(df, plan).collect()}
+        t = df.select(M.micros("ts")).toPandas().iloc[:, 0].to_numpy()
+        kept = set()
+        for f, a, b, c, d in plan.folds:
+            train, test = (t >= a) & (t <= b), (t >= c) & (t < d)
+            assert abs(mid[f] - np.median(y[train])) < 1e-9
+            if train.sum() < 100 or test.sum() < 95:
+                continue
+            kept.add(f)
+            own = got[got.fold_id == f].sort_values("ts")
+            for name, columns in (("p", [0, 1, 2]), ("q", [1])):
+                beta = np.linalg.lstsq(np.c_[np.ones(train.sum()), x[train][:, columns]], y[train] - 1e6, rcond=None)[0]
+                want = 1e6 + np.c_[np.ones(test.sum()), x[test][:, columns]] @ beta
+                assert np.abs(own[name].to_numpy() - want[np.argsort(t[test], kind="stable")]).max() < 1e-6
+        assert set(got.fold_id) == kept and 0 < len(kept) <= len(plan.folds)
 
 
 def test_rank_correlation_with_ties_and_without_spread(spark):
