@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,15 +56,17 @@ def long_gates(df: DataFrame) -> DataFrame:
 def thresholds(gated: DataFrame, start: Column, end: Column, least: int | None = None) -> DataFrame:
     """Linear percentiles of the positive values in the warm-up period, by root and gate.
 
-    With ``least``, any root and gate with fewer positive values there is an error; it is raised when the query runs.
+    With ``least``, any root and gate with fewer positive values there is an error. It is part of the threshold itself, so that
+    it is raised whenever thresholds are read.
     """
     p = gated.filter((F.col("ts") >= start) & (F.col("ts") < end) & (F.col("d") > 0))
     tiers = [F.struct(F.lit(t).alias("tier"), F.percentile("d", q).alias("threshold")) for t, q in TIERS.items()]
-    out = p.groupBy("root", "gate").agg(F.count("*").alias("n_pos"), F.array(*tiers).alias("t"))
+    out = p.groupBy("root", "gate").agg(F.count("*").alias("n_pos"), F.array(*tiers).alias("t")).select("root", "gate", "n_pos", F.explode("t").alias("t"))
+    threshold = F.col("t.threshold")
     if least is not None:
-        few = F.raise_error(F.concat(F.lit("too few positive values to calibrate: "), "root", F.lit(" "), "gate")).cast("long")
-        out = out.withColumn("n_pos", F.when(F.col("n_pos") < least, few).otherwise(F.col("n_pos")))
-    return out.select("root", "gate", "n_pos", F.explode("t").alias("t")).select("root", "gate", "n_pos", "t.*")
+        few = F.raise_error(F.concat(F.lit("too few positive values to calibrate: "), "root", F.lit(" "), "gate")).cast("double")
+        threshold = F.when(F.col("n_pos") < least, few).otherwise(threshold)
+    return out.select("root", "gate", "n_pos", "t.tier", threshold.alias("threshold"))
 
 
 def rising(gated: DataFrame, limits: DataFrame, start: Column, first_only: bool = True) -> DataFrame:
@@ -100,17 +105,37 @@ def accuracy(hits: DataFrame, keys: list[str]) -> DataFrame:
     return c.withColumns({"accuracy": F.try_divide(k, n), "wilson_lo": lo, "wilson_hi": hi, "z_vs_half": z_against_half(k, n), "mde_80pct": detectable_effect(n), "wilson_half": (hi - lo) / 2})
 
 
+def binomial_draws(n: int, k: int, uniform: np.ndarray) -> np.ndarray:
+    """Counts of ones in resamples of k ones among n: binomials by the inverse of their distribution."""
+    if not 0 < k < n:
+        return np.full(len(uniform), k)
+    p = k / n
+    reach = int(12 * math.sqrt(n * p * (1 - p)) + 12)  # what lies beyond is under 1e-15
+    lo, hi = max(0, k - reach), min(n, k + reach)
+    j = np.arange(lo, hi)
+    steps = np.log((n - j) / (j + 1)) + math.log(p / (1 - p))  # from each count to the next
+    mass = np.concatenate([[0.0], np.cumsum(steps)])
+    mass = np.exp(mass - mass.max())
+    return lo + np.searchsorted(np.cumsum(mass) / mass.sum(), uniform)
+
+
 def bootstrap(hits: DataFrame, keys: list[str], replicates: int = 1000, seed: int = 7) -> DataFrame:
-    """A Poisson bootstrap by event: hash-seeded weights, one aggregation over events and replicates."""
-    u = F.pmod(F.xxhash64("instrument_id", "ts", "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    weight, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        total, term = total + term, term / k
-        weight = weight + (u >= total).cast("int")
-    reps = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
-    r = hits.filter("hit IS NOT NULL").withColumn("rep", reps).withColumn("w", weight)
-    r = r.groupBy(*keys, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col("hit")), F.sum("w")).alias("m"))
-    return r.groupBy(*keys).agg(F.avg("m").alias("boot_mean"), F.percentile("m", 0.025).alias("boot_lo"), F.percentile("m", 0.975).alias("boot_hi"))
+    """Mean and 95 % interval of resampled hit rates of each cell.
+
+    Resampling n zeros and ones depends on their counts only, so that events are counted once and no event is copied; a cell
+    draws its replicates where its counts are, from a seed of its own.
+    """
+    hit = F.col("hit").isNotNull()
+    cells = hits.filter(hit).groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("hit").alias("_k"), F.xxhash64(*keys, F.lit(seed)).alias("_s"))
+
+    def draw(frames):
+        for frame in frames:
+            means = [binomial_draws(n, k, np.random.default_rng(s & (1 << 63) - 1).random(replicates)) / n for n, k, s in zip(frame.pop("_n"), frame.pop("_k"), frame.pop("_s"))]
+            ends = np.array([[m.mean(), *np.quantile(m, [0.025, 0.975])] for m in means]).reshape(-1, 3)
+            yield frame.assign(boot_mean=ends[:, 0], boot_lo=ends[:, 1], boot_hi=ends[:, 2])
+
+    kinds = dict(cells.dtypes)
+    return cells.mapInPandas(draw, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", boot_mean double, boot_lo double, boot_hi double")
 
 
 def event_counts(events: DataFrame, df: DataFrame, start: Column, strict: bool = False) -> DataFrame:

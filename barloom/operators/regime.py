@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.cdf import student_t_cdf
+from barloom.functions.cdf import two_sided_t
 from barloom.operators.fitting import clean_z, fit_student_t, pit_diagnostics
 
 
@@ -68,12 +68,8 @@ def trend(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Slope, intercept, r and two-sided p of a line through three points at least."""
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r")).filter("n >= 3")
     t = F.abs(F.col("r")) * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0)))
-    # One constant for each number of points up to a thousand.
-    out = None
-    for n in range(1, 31):
-        p = 2 * (1 - student_t_cdf(t, float(n)))
-        out = F.when(F.col("n") == n + 2, p) if out is None else out.when(F.col("n") == n + 2, p)
-    return d.withColumn("p", out.otherwise(2 * (1 - student_t_cdf(t, 1e6))))
+    straight = F.abs(F.col("r")) >= 1
+    return d.withColumn("p", F.when(straight, 0.0).otherwise(two_sided_t(t, F.col("n") - 2)))
 
 
 def monthly_ks(df: DataFrame, fits: DataFrame, minimum: int = 500) -> DataFrame:

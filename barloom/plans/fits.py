@@ -189,11 +189,14 @@ def r5(spark, d):
 
 @query(
     "r6_trend",
-    "WITH y AS (SELECT o_orderpriority AS root, year(o_orderdate) AS x, avg(o_totalprice) AS y FROM orders GROUP BY ALL) SELECT root, count(*) AS n, round(regr_slope(y, x), 4) AS slope, round(regr_intercept(y, x), 2) AS intercept, round(corr(x, y), 6) AS r FROM y GROUP BY root HAVING count(*) >= 3",
+    # The probability has a closed form for the five degrees of freedom of seven years.
+    """WITH y AS (SELECT o_orderpriority AS root, year(o_orderdate) AS x, avg(o_totalprice) AS y FROM orders GROUP BY ALL),
+l AS (SELECT root, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, corr(x, y) AS r FROM y GROUP BY root HAVING count(*) >= 3), t AS (SELECT *, atan(abs(r) * sqrt((n - 2) / (1 - r * r)) / sqrt(5)) AS a FROM l)
+SELECT root, n, round(slope, 4) AS slope, round(intercept, 2) AS intercept, round(r, 6) AS r, CASE WHEN n = 7 THEN round(1 - 2 / pi() * (a + sin(a) * (cos(a) + 2 / 3.0 * cos(a) ** 3)), 6) END AS p FROM t""",
 )
 def r6(spark, d):
     o = order_ticks(spark, d).groupBy(F.col("instrument_id").alias("root"), F.year("ts").cast("double").alias("x")).agg(F.avg("price").alias("y"))
-    return rounded(R.trend(o, ["root"], "x", "y").drop("p"), 6, slope=4, intercept=2)
+    return rounded(R.trend(o, ["root"], "x", "y"), 6, slope=4, intercept=2)
 
 
 @query("r7_r12_monthly_sweep")

@@ -125,7 +125,7 @@ def d16(spark, d):
 @query("d13_d16_pooled")
 def d13(spark, d):
     h = staged(E.scored(events(gated(spark, d)), (1,)))
-    return rounded(E.accuracy(h, ["gate", "tier"]).join(E.bootstrap(h, ["gate", "tier"], 200), ["gate", "tier"], "left"))
+    return rounded(E.accuracy(h, ["gate", "tier"]).join(E.bootstrap(h, ["gate", "tier"]), ["gate", "tier"], "left"))
 
 
 @query(
