@@ -5,7 +5,10 @@ counts, to buckets of hash ranges; a bucket adds them up, sets the bits of its o
 block the training counts of its words and the levels of its bigrams. A bigram seen c >= 1 times is entered once for
 each level from 0 to floor(log2(c)), so that probing levels until one is missing gives 2^level <= c. A range has
 ``ENTRY_BITS`` to twice as many bits for each of its entries: the filter grows with the input, and the share of set
-bits, hence of false hits, stays the same. Buckets grow in number with the documents; no range leaves its bucket.
+bits, hence of false hits, stays the same. A filter of at most ``FILTER_BYTES`` is broadcast to the workers that score, and
+probed there, text by text. A larger one stays dealt over the buckets, whose number grows with the documents; each range is
+probed in its bucket for the blocks that ask. Both give the same levels. Counts are kept in 64 bits, and a filter has as
+many levels as its largest count needs.
 
 p(w | v) = (1 - MIX) * p1(w) + MIX * 2^level(v, w) / c(v), with p1 the add-0.1 unigram of the base score, and 0 for
 the last term if the bigram is at no level; each text is read as end, words, end. Word counts are exact: they travel
@@ -26,13 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._common import slices, written
+from barloom.llm._common import ship, slices, written
 from barloom.llm.jaccard import mixed, word_hashes
 
 #: Bits of a range for each of its entries, at least; with three hashes at most 17 % of the bits are set.
 ENTRY_BITS = 16
 HASHES = 3
-LEVELS = 24
+#: Bytes of the whole filter up to which it is broadcast.
+FILTER_BYTES = 64 << 20
 MIX = 0.05
 ADD = 0.1
 #: Documents and bytes of text of a block, at most.
@@ -55,23 +59,29 @@ def bigrams(t: np.ndarray) -> np.ndarray:
     return mixed(before * np.uint64(0xD6E8FEB86659FD93) + mixed(t ^ np.uint64(0x5851F42D4C957F2D)))
 
 
-def _places(keys: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
-    """The bits of each key at a level, inside a range of ``bits`` (a power of two)."""
+def _places(keys: np.ndarray, level: int, bits: int | np.ndarray) -> list[np.ndarray]:
+    """The bits of each key at a level, inside a range of ``bits`` (a power of two, for all keys or for each)."""
+    mask = np.asarray(bits).astype(np.uint64) - np.uint64(1)
     x = mixed(keys + np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
     y = mixed(x) | np.uint64(1)
-    return [((x + np.uint64(j) * y) & np.uint64(bits - 1)).astype(np.int64) for j in range(HASHES)]
+    return [((x + np.uint64(j) * y) & mask).astype(np.int64) for j in range(HASHES)]
 
 
 def filled(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
     """The packed bits of one range: each key at the levels up to floor(log2(count))."""
     out = np.zeros(bits, bool)
-    levels = np.floor(np.log2(np.maximum(counts, 1))).astype(int)
-    for level in range(min(LEVELS, int(levels.max(initial=0))) + 1):
+    levels = _level(counts)
+    for level in range(int(levels.max(initial=0)) + 1):
         for at in _places(keys[levels >= level], level, bits):
             out[at] = True
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def _level(counts: np.ndarray) -> np.ndarray:
+    """floor(log2(count)), exact for whole numbers below 2**53; 0 for a count of 0."""
+    return np.frexp(np.maximum(counts, 1).astype(float))[1].astype(np.int64) - 1
+
+
 def probed(filter_bytes: np.ndarray, keys: np.ndarray, shift: int, bits: int) -> np.ndarray:
     """The level of each key by repeated probes, 0 also for a key that was never entered; bucket = key >> shift names its range."""
     return np.maximum(climbed(filter_bytes, keys, shift, bits), 1) - np.uint8(1)
@@ -79,12 +89,16 @@ def probed(filter_bytes: np.ndarray, keys: np.ndarray, shift: int, bits: int) ->
 
 def climbed(filter_bytes: np.ndarray, keys: np.ndarray, shift: int, bits: int) -> np.ndarray:
     """In how many levels, from 0 on, each key is found: 0 for a key that was never entered."""
+    return _climbed(filter_bytes, keys, (keys >> np.uint64(shift)).astype(np.int64) * bits, np.full(len(keys), bits))
+
+
+def _climbed(filter_bytes: np.ndarray, keys: np.ndarray, base: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """As climbed, with the first bit and the number of bits of each key's range."""
     found, active = np.zeros(len(keys), np.uint8), np.arange(len(keys))
-    base = (keys >> np.uint64(shift)).astype(np.int64) * bits
     short = keys & np.uint64(0xFFFFFFFF)
-    for step in range(LEVELS + 1):
+    for step in range(64):
         hit = np.ones(len(active), bool)
-        for at in _places(short[active], step, bits):
+        for at in _places(short[active], step, bits[active]):
             at += base[active]
             hit &= (filter_bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         active = active[hit]
@@ -94,9 +108,26 @@ def climbed(filter_bytes: np.ndarray, keys: np.ndarray, shift: int, bits: int) -
     return found
 
 
+class Filter:
+    """The whole filter: the ranges of all buckets one after the other."""
+
+    def __init__(self, shift: int, parts: dict[int, bytes]):
+        self.shift, n = shift, 1 << (64 - shift)
+        self.bits = np.array([8 * len(parts.get(b, b"")) for b in range(n)], np.int64)
+        self.base = np.concatenate([[0], np.cumsum(self.bits)[:-1]])
+        self.bytes = np.frombuffer(b"".join(parts.get(b, b"") for b in range(n)), np.uint8)
+
+    def climbed(self, keys: np.ndarray) -> np.ndarray:
+        """As the function, for full hashes; a bucket without a range holds none."""
+        bucket, out = (keys >> np.uint64(self.shift)).astype(np.int64), np.zeros(len(keys), np.uint8)
+        known = self.bits[bucket] > 0
+        out[known] = _climbed(self.bytes, keys[known], self.base[bucket[known]], self.bits[bucket[known]])
+        return out
+
+
 def range_bits(counts: np.ndarray) -> int:
     """The bits of a range that holds keys with these counts: a power of two."""
-    entries = int(np.minimum(np.floor(np.log2(np.maximum(counts, 1))), LEVELS).sum()) + len(counts)
+    entries = int(_level(counts).sum()) + len(counts)
     return 1 << max(3, math.ceil(math.log2(ENTRY_BITS * max(1, entries))))
 
 
@@ -145,7 +176,7 @@ def _merge():
     """Adds up one bucket: a row for each block, of counts for words and of levels for bigrams, and one of totals.
 
     Totals (n, v) are tokens and distinct words of training for words (kind 2), bits and set bits of the bucket's
-    range of the filter for bigrams (kind 3).
+    range of the filter for bigrams (kind 3), with the range itself as ``counts``.
     """
     fields = [("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64())]
 
@@ -154,26 +185,31 @@ def _merge():
         packed = rows.column("keys").to_pylist()
         keys = np.frombuffer(b"".join(packed), np.uint64 if kind == 0 else np.uint32)
         unique, inverse = np.unique(keys, return_inverse=True)
-        total = np.bincount(inverse, np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32), len(unique)).astype(np.uint32 if kind == 0 else np.int64)
+        total = np.bincount(inverse, np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32), len(unique)).astype(np.int64)  # whole up to 2**53
         if kind == 1:
             keep, short = total >= 1, unique.astype(np.uint64)
             bits = range_bits(total[keep])
             part = np.frombuffer(filled(short[keep], total[keep], bits), np.uint8)
-            told, sums = climbed(part, short, 32, bits), (bits, int(np.bitwise_count(part).sum(dtype=np.int64)))
+            told, sums = climbed(part, short, 32, bits), (part.tobytes(), bits, int(np.bitwise_count(part).sum(dtype=np.int64)))
         else:
-            told, sums = total, (int(total.sum(dtype=np.int64)), int((total > 0).sum()))
+            told, sums = total, (None, int(total.sum(dtype=np.int64)), int((total > 0).sum()))
         ends = np.cumsum([len(p) // keys.itemsize for p in packed])
         out = [(kind, bucket, block, told[inverse[e - len(p) // keys.itemsize : e]].tobytes(), None, None) for block, p, e in zip(rows.column("block").to_pylist(), packed, ends)]
-        out.append((kind + 2, bucket, -1, None, *sums))
+        out.append((kind + 2, bucket, -1, *sums))
         return pa.table({name: pa.array(c, t) for (name, t), c in zip(fields, zip(*out))})
 
     return run
 
 
-def merged_blocks(rows: DataFrame) -> DataFrame:
-    """The table of ``_merge``, written, of rows (doc_id, held, text)."""
+def hash_shift(rows: DataFrame) -> int:
+    """The bits of a hash below those that name its bucket."""
     buckets = max(64, 1 << math.ceil(math.log2(max(1, rows.count() / DOCS_PER_BUCKET))))
-    return written(_gather(rows, 65 - buckets.bit_length()).groupBy("kind", "bucket").applyInArrow(_merge(), MERGED))
+    return 65 - buckets.bit_length()
+
+
+def merged_blocks(rows: DataFrame, shift: int | None = None) -> DataFrame:
+    """The table of ``_merge``, written, of rows (doc_id, held, text)."""
+    return written(_gather(rows, hash_shift(rows) if shift is None else shift).groupBy("kind", "bucket").applyInArrow(_merge(), MERGED))
 
 
 def set_share(merged: DataFrame) -> tuple[int, float]:
@@ -185,13 +221,18 @@ def set_share(merged: DataFrame) -> tuple[int, float]:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """Base and model log10 probabilities of every text; rows where held_out (a boolean Column) holds don't train."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).cast("string").alias("text"))
-    merged = merged_blocks(rows)
+    shift = hash_shift(rows)
+    merged = merged_blocks(rows, shift)
     total = merged.filter("kind = 2").agg(F.sum("n"), F.sum("v")).first()
     n, v = total[0] or 0, total[1] or 0
     below = n + ADD * (v + 1)
+    shipped = None
+    if set_share(merged)[0] <= 8 * filter_bytes:
+        parts = merged.filter("kind = 3").select("bucket", "counts").toLocalIterator()  # one range at a time
+        shipped = ship(docs.sparkSession, Filter(shift, {r.bucket: bytes(r.counts) for r in parts}))
 
     def coded(batches):
         for block, ids, held, found in _blocks(batches):
@@ -205,12 +246,13 @@ def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text")
         if left.num_rows and not right.num_rows:
             raise RuntimeError("two scans of the documents gave different rows: write them as a table first")
         parts = sorted(zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "counts"))))
-        count, found = (np.frombuffer(b"".join(p for k, _, p in parts if k == kind), dtype) for kind, dtype in ((0, np.uint32), (1, np.uint8)))
+        count, told = (np.frombuffer(b"".join(p for k, _, p in parts if k == kind), dtype) for kind, dtype in ((0, np.int64), (1, np.uint8)))
         count = count.astype(float)
         one = (count + ADD) / below
         words = np.frombuffer(b"".join(left.column("words").to_pylist()), np.uint64)
         coded = [np.frombuffer(c, np.uint32) for c in left.column("codes").to_pylist()]
-        _, inverse = np.unique(np.concatenate([_EMPTY, *(bigrams(words[c]) for c in coded)]), return_inverse=True)
+        pairs, inverse = np.unique(np.concatenate([_EMPTY, *(bigrams(words[c]) for c in coded)]), return_inverse=True)
+        found = told if shipped is None else shipped.value.climbed(pairs)
         levels = np.split(found[inverse], np.cumsum([len(c) for c in coded[:-1]]))
         out = []
         for doc, held, c, q in zip(left.column("doc_id").to_pylist(), left.column("held").to_pylist(), coded, levels):
@@ -223,5 +265,5 @@ def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text")
         return pa.table({name: pa.array(col, k) for name, k, col in zip(names, kinds, zip(*out) if out else [[]] * 7)})
 
     codes = rows.mapInArrow(coded, "block long, doc_id long, held boolean, codes binary, words binary")
-    told = merged.filter("kind < 2").select("kind", "block", "bucket", "counts")
+    told = merged.filter("kind < 2" if shipped is None else "kind = 0").select("kind", "block", "bucket", "counts")
     return codes.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, SCORES)

@@ -95,3 +95,22 @@ def test_score_follows_exact_counts(spark):
     got = {x.doc_id: x.score for x in lm.score(spark.createDataFrame(rows, "doc_id long, held boolean, text string"), F.col("held")).collect()}
     assert all(abs(got[d] - want[d]) < 0.02 * abs(want[d]) for d in want)
     assert np.mean([abs(got[d] - want[d]) < 1e-6 * abs(want[d]) for d, held, _ in rows if not held]) > 0.8
+
+
+def test_counts_beyond_32_bits():
+    """Two blocks of four billion each."""
+    import pyarrow as pa
+
+    rows = lambda key, count: pa.table({"kind": [0, 0], "block": [1, 2], "keys": [key] * 2, "counts": [np.array([count], np.uint32).tobytes()] * 2})
+    got = lm._merge()((pa.scalar(0), pa.scalar(5)), rows(np.array([7], np.uint64).tobytes(), 4_000_000_000)).to_pylist()
+    assert [np.frombuffer(r["counts"], np.int64).tolist() for r in got if r["kind"] == 0] == [[8_000_000_000]] * 2
+    assert got[-1]["n"] == 8_000_000_000
+    got = lm._merge()((pa.scalar(1), pa.scalar(5)), rows(np.array([7], np.uint32).tobytes(), 4_000_000_000)).to_pylist()
+    assert [np.frombuffer(r["counts"], np.uint8).tolist() for r in got if r["kind"] == 1] == [[33]] * 2  # levels 0 to 32
+    assert lm._level(np.array([0, 1, 2, 3, 4, 2**40 - 1, 2**40])).tolist() == [0, 0, 1, 1, 2, 39, 40]
+
+
+def test_broadcast_and_dealt_filters_agree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ask = lambda limit: sorted(tuple(r) for r in lm.score(docs, F.col("doc_id") % 10 == 0, filter_bytes=limit).collect())
+    assert ask(1 << 30) == ask(0)
