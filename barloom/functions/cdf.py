@@ -40,6 +40,11 @@ def log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series - F.ln(steps)
 
 
+def t_constants(nu: Column) -> Column:
+    """t_constant of each row's nu."""
+    return F.exp(log_gamma((nu + 1) / 2) - log_gamma(nu / 2)) / F.sqrt(nu * math.pi)
+
+
 def incomplete_beta(a: Column, b: Column, x: Column, steps: int = 300) -> Column:
     """The regularised incomplete beta function I_x(a, b), for any a, b > 0.
 

@@ -11,9 +11,8 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from barloom.functions.cdf import normal_cdf, student_t_cdf, t_constant
+from barloom.functions.cdf import normal_cdf, student_t_cdf, t_constants
 from barloom.operators.flow import clean_z
 
 NU_MAX = 1e3
@@ -94,9 +93,8 @@ def fit_student_t(df: DataFrame, keys: list[str], z: str = "z", weight: str | No
 
 
 def with_constants(fits: DataFrame) -> DataFrame:
-    """fits with t_c, each row's density constant (the table has one row per group)."""
-    rows = [(*r, t_constant(r.nu) if r.nu else None) for r in fits.collect()]
-    return fits.sparkSession.createDataFrame(rows, StructType([*fits.schema.fields, StructField("t_c", DoubleType())]))
+    """fits with t_c, each row's density constant."""
+    return fits.withColumn("t_c", t_constants(F.col("nu")))
 
 
 def pit(df: DataFrame, fits: DataFrame, keys: list[str], z: str = "z") -> DataFrame:

@@ -12,6 +12,7 @@ from barloom.operators import flow as X
 from barloom.operators import regime as R
 from barloom.operators import validation as V
 from barloom.plans.market import BARS, FEATURES, ROOTS, SIGMA, SPAN, TCDF, features, main_bars, sigma_bars
+from barloom.sources.stage import staged
 from barloom.sources.tables import order_ticks
 
 QUERIES: dict = {}
@@ -169,7 +170,7 @@ def r1(spark, d):
 def r2(spark, d):
     seg = spark.createDataFrame([("orders", "early", None, "1998-01-01"), ("orders", "late", "1998-01-01", None), ("orders", "middle", "1997-01-01", "1999-01-01")], "root string, segment string, s string, e string")
     seg = seg.select("root", "segment", F.col("s").cast("timestamp_ntz").alias("s"), F.col("e").cast("timestamp_ntz").alias("e"))
-    return rounded(R.window_fits(order_z(spark, d), seg, "s", "e", ["root", "segment"], 50), 4)
+    return rounded(R.window_fits(order_z(spark, d), seg, "s", "e", ["root", "segment"], 50, binned=True), 4)
 
 
 def cutoffs(spark) -> DataFrame:
@@ -199,25 +200,27 @@ def r6(spark, d):
     return rounded(R.trend(o, ["root"], "x", "y"), 6, slope=4, intercept=2)
 
 
+def swept(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The sweep of the cutoffs, and the months under its fits."""
+    z = order_z(spark, d)
+    fits = staged(R.sweep(z, cutoffs(spark).withColumn("root", F.lit("orders")), Q.fit_student_t(z, ["root"]), 50))
+    return fits, R.monthly_ks(z, fits, 20)
+
+
 @query("r7_r12_monthly_sweep")
 def r7(spark, d):
-    z = order_z(spark, d)
-    c = cutoffs(spark).withColumn("root", F.lit("orders")).withColumn("e", F.lit(None).cast("timestamp_ntz"))
-    fits = R.window_fits(z, c, "cutoff", "e", ["root", "cutoff"], 50)
-    months = R.monthly_ks(z, fits, 20)
+    fits, months = swept(spark, d)
     return rounded(R.rejections(months, 0.2).join(fits, ["root", "cutoff"]), 4)
 
 
 @query("r9_first_acceptable")
 def r9(spark, d):
-    z = order_z(spark, d)
-    c = cutoffs(spark).withColumn("root", F.lit("orders")).withColumn("e", F.lit(None).cast("timestamp_ntz"))
-    fits = R.window_fits(z, c, "cutoff", "e", ["root", "cutoff"], 50)
-    rows = R.in_intervals(z, c, "cutoff", "e")
-    sweep = fits.join(Q.pit_diagnostics(rows, fits, ["root", "cutoff"]).drop("n"), ["root", "cutoff"])
-    sweep = sweep.join(F.broadcast(Q.fit_student_t(z, ["root"]).select("root", F.col("nu").alias("locked_nu"))), "root")
-    sweep = sweep.withColumn("nu_delta", F.col("nu") - F.col("locked_nu"))
-    return R.first_acceptable(sweep, R.monthly_ks(z, fits, 20), 3.0, 0.5, 0.5)
+    """Every cutoff with what the rule looks at, and whether it is the first that passes (none, if the rule finds none)."""
+    fits, months = swept(spark, d)
+    first = R.first_acceptable(fits, months).withColumn("first_acceptable", F.lit(True))
+    worst = R.rejections(months).withColumnRenamed("passes", "months_ok")
+    out = fits.select("root", "cutoff", "nu_delta", "ks").join(worst, ["root", "cutoff"], "left").join(first, ["root", "cutoff"], "left")
+    return rounded(out.fillna(False, ["first_acceptable"]), 4)
 
 
 @query("r10_six_month_fit")

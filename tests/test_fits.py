@@ -111,3 +111,39 @@ def test_family_shares(spark):
     shares = spark.createDataFrame([("r", "s1", 3.0), ("r", "s2", 1.0), ("r", "v", 1.0), ("r", "root", 5.0)], "root string, feature string, mean_abs double")
     got = {r.family: r for r in M.family_shares(shares, {"s1": "sigma", "s2": "sigma", "v": "flow"}, "flow").collect()}
     assert got["sigma"].share == 0.8 and got["sigma"].supported is None and got["flow"].supported is True
+
+
+def test_running_histograms_against_rows(spark):
+    """Windows, segments, a break scan, months and the rule of the first acceptable cutoff, against fits and distances of the rows."""
+    rng = np.random.default_rng(8)
+    n = 12_000
+    day, z = np.sort(rng.integers(0, 365, n)), 0.02 + 0.9 * rng.standard_t(4.5, n)
+    z[day < 60] = rng.normal(size=(day < 60).sum()) * 2.5  # an unlike start
+    rows = [("a", datetime(2021, 1, 1) + timedelta(days=int(k), seconds=i), float(v)) for i, (k, v) in enumerate(zip(day, z))]
+    df = spark.createDataFrame(rows, "root string, ts timestamp, z double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).cache()
+    at = lambda *m: spark.createDataFrame([("a", f"2021-{i:02d}-01", f"2021-{j:02d}-01" if j else None) for i, j in m], "root string, s string, e string").select("root", *[F.col(c).cast("timestamp_ntz").alias(c) for c in "se"])
+    windows = at((1, 7), (4, 7), (6, None), (3, 10))
+    exact, got = ({(str(r.s), str(r.e)): r for r in R.window_fits(df, windows, "s", "e", ["root", "s", "e"], 50, binned=b).collect()} for b in (False, True))
+    assert len(got) == 4 and all(abs(exact[k].nu - got[k].nu) < 0.01 * max(1, exact[k].nu / 4) and exact[k].n == got[k].n and abs(exact[k].scale - got[k].scale) < 0.002 for k in got)
+    assert all(sum(b.n for b in R.window_bins(R.running_histogram(df, 0.02), windows.filter(F.col("s") == F.lit(k[0]).cast("timestamp_ntz")), "s", "e").collect()) == exact[k].n for k in [("2021-04-01 00:00:00", "2021-07-01 00:00:00")])
+    with pytest.raises(ValueError):
+        R.window_fits(df, windows.withColumn("s", F.date_add("s", 3).cast("timestamp_ntz")), "s", "e", ["root", "s"], 50, binned=True)
+    cut = at((2, None), (3, None), (4, None), (5, None)).select("root", F.col("s").alias("cutoff"))
+    scan = {r.cutoff: r for r in R.break_scan(df, cut.select("cutoff")).collect()}
+    sweep = R.sweep(df, cut, spark.createDataFrame([("a", 4.5)], "root string, nu double"), 50).cache()
+    months = R.monthly_ks(df, sweep, 500).cache()
+    for r in sweep.collect():
+        fit = spark.createDataFrame([("a", r.nu, r["loc"], r.scale)], "root string, nu double, loc double, scale double")
+        own = Q.pit_diagnostics(df.filter(F.col("ts") >= F.lit(r.cutoff)), fit, ["root"]).first()
+        assert abs(own.ks - r.ks) < 0.001 and abs(scan[r.cutoff].post_ks - r.ks) < 1e-9 and abs(own.shoulder_rank - scan[r.cutoff].post_shoulder) < 0.002
+        june = Q.pit_diagnostics(df.filter(F.month("ts") == 6), fit, ["root"]).first()
+        assert abs(june.ks - months.filter(F.col("cutoff") == F.lit(r.cutoff)).filter(F.month("month") == 6).first().ks) < 0.001
+    assert sum(r.winner for r in scan.values()) == 1
+    # The rule with its own limits: the first cutoff after the unlike start, and none if months may not differ at all.
+    assert [str(r.cutoff) for r in R.first_acceptable(sweep, months, 0.6).collect()] == ["2021-03-01 00:00:00"]
+    assert R.first_acceptable(sweep, months, 0.6, 0.05, 0.001).count() == 0
+    worst = {str(r.cutoff): r for r in R.rejections(months).collect()}
+    assert str(worst["2021-02-01 00:00:00"].worst_month) == "2021-02-01" and not worst["2021-02-01 00:00:00"].passes
+    limits = spark.createDataFrame([("a", 4.0, 0.05, 0.5, 1.0)], "root string, nu_floor double, ks_limit double, scale_low double, scale_high double")
+    flags = R.refit_triggers(sweep, limits).collect()
+    assert all(f.nu_low == (f.nu < 4.0) and f.ks_high == (f.ks > 0.05) and f.scale_drift == (not 0.5 <= f.scale <= 1.0) for f in flags)
