@@ -66,12 +66,14 @@ def close_location() -> Column:
     return F.when(span == 0, 0.0).otherwise((2 * F.col("close") - F.col("high") - F.col("low")) / F.nullif(span, F.lit(0.0)))
 
 
-def parent_bars(sub: DataFrame, minutes: int) -> DataFrame:
-    """Parent bars with counts and dispersion of their sub-bars; volume > 0 and two returns at least."""
+def parent_bars(sub: DataFrame, minutes: int, subs: bool = False) -> DataFrame:
+    """Parent bars with counts and dispersion of their sub-bars; volume > 0 and two returns at least. With ``subs``,
+    a bar carries (r, volume) of its sub-bars as an array, which is as long as the minutes allow."""
     s = with_parent(sub, minutes).withColumn("r", bar_return()).withColumn("clv", close_location())
     out = s.groupBy(*KEYS, "bar_ts").agg(
         F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"),
         F.count("r").alias("n_sub"), F.sum(F.abs("r")).alias("sum_abs_ret"), F.median(F.abs("r")).alias("median_abs_ret"), F.avg("clv").alias("clv_mean"), F.var_samp("clv").alias("clv_var"),
+        *([F.collect_list(F.struct("r", "volume")).alias("subs")] if subs else []),
     )
     return out.withColumnRenamed("bar_ts", "ts").filter("volume > 0 AND n_sub >= 2")
 
