@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barloom.functions.safe import rounded, seconds
 from barloom.operators import bars as B
 from barloom.operators import flow as X
+from barloom.sources.stage import bucketed
 from barloom.sources.tables import event_ticks
 
 SUB, MAIN, GAP, WARM, SPAN = 10, 60, 7200, 10, 20
@@ -54,7 +55,11 @@ def gates(spark, name: str, at: str = CUT) -> DataFrame:
 
 
 def features(spark, d) -> DataFrame:
-    return X.feature_table(sub_bars(spark, d), params(spark), gates(spark, "regime_start", REGIME), gates(spark, "cutoff"), MAIN, SPAN, WARM, GAP)
+    return features_of(spark, sub_bars(spark, d))
+
+
+def features_of(spark, sub: DataFrame) -> DataFrame:
+    return X.feature_table(sub, params(spark), gates(spark, "regime_start", REGIME), gates(spark, "cutoff"), MAIN, SPAN, WARM, GAP)
 
 
 def shown(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -288,6 +293,13 @@ def x18(spark, d):
     return shown(features(spark, d), *X.GEOMETRY, *[c for c in X.FLOW_FEATURES], "is_valid_bar", "is_train_valid_bar")
 
 
+@query("s4_s7_bucketed_features", FEATURES + f" SELECT {T}, {_X18}, ok AS is_valid_bar, train AS is_train_valid_bar FROM fe")
+def s7(spark, d):
+    """The feature table from sub-bars stored in buckets: no exchange after the store."""
+    stored = bucketed(sub_bars(spark, d), 8)
+    return shown(features_of(spark, stored), *X.GEOMETRY, *[c for c in X.FLOW_FEATURES], "is_valid_bar", "is_train_valid_bar")
+
+
 @query(
     "x19_summary",
     BARS + """, u AS (SELECT root, 'close' AS feature, close AS v FROM bar UNION ALL SELECT root, 'open', open FROM bar)

@@ -5,6 +5,11 @@ Roots, month codes and decades are parameters of the instrument naming, not of t
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,12 +44,42 @@ def write_results(df: DataFrame, path: str, form: str = "parquet") -> None:
     w.format(form).save(path)
 
 
-def read_through(spark: SparkSession, path: str, compute) -> DataFrame:
-    """The table at path, computed and written first if it isn't there."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where.suffix("/_SUCCESS")):
-        compute().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def fingerprint(spark: SparkSession, inputs: Iterable[str] = (), **parameters) -> str:
+    """A digest of parameters and of the files below the input paths (name, length, time of change)."""
+    found = [json.dumps(parameters, sort_keys=True, default=str)]
+    for path in inputs:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+        own = []
+        while files.hasNext():
+            f = files.next()
+            own.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
+        found += [path, *sorted(own)]
+    return hashlib.sha256("\n".join(found).encode()).hexdigest()[:32]
+
+
+def read_through(spark: SparkSession, path: str, compute, inputs: Iterable[str] = (), **parameters) -> DataFrame:
+    """The table that ``compute`` makes of the input paths with these parameters, written below path at the first call.
+
+    Other parameters or changed input files are another table. It is written aside and then renamed, so that a table
+    that is there is whole; if two jobs write it at once, the first to finish is kept.
+    """
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    target = jvm.Path(f"{path.rstrip('/')}/{fingerprint(spark, inputs, **parameters)}")
+    files = target.getFileSystem(conf)
+    if not files.exists(target):
+        aside = jvm.Path(target.getParent(), f"_{target.getName()}-{uuid.uuid4().hex}")
+        try:
+            compute().write.parquet(aside.toString())
+            if not files.exists(target):
+                files.rename(aside, target)
+                late = jvm.Path(target, aside.getName())  # where a rename goes if the target has come up meanwhile
+                if files.exists(late):
+                    files.delete(late, True)
+        finally:
+            if files.exists(aside):
+                files.delete(aside, True)
+    return spark.read.parquet(target.toString())
 
 
 def typed_ids(df: DataFrame, strict: bool = True) -> DataFrame:

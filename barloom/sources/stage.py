@@ -23,3 +23,14 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, buckets: int, keys: tuple[str, ...] = ("root", "instrument_id"), order: tuple[str, ...] = ("ts",), name: str | None = None) -> DataFrame:
+    """``df`` as a table of one file a bucket, rows of equal keys together and in order.
+
+    Windows and groups by these keys (or by more) read it without an exchange. The table lies in the shared folder; with a
+    name it stays in the session's catalogue under it.
+    """
+    spark, name = df.sparkSession, name or f"barloom_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys, *order).option("path", staged_path(spark)).saveAsTable(name)
+    return spark.table(name)

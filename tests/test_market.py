@@ -12,7 +12,9 @@ from barloom.operators import bars as B
 from barloom.operators import events as E
 from barloom.operators import fitting as Q
 from barloom.operators import forecast as M
+from barloom.plans import market
 from barloom.sources import ingest as S
+from barloom.sources.stage import bucketed
 
 
 @pytest.fixture(scope="module")
@@ -133,6 +135,40 @@ def test_files_round_trip(spark, tmp_path):
     assert again == [3, 3] and spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
 
 
+def test_read_through_knows_its_inputs(spark, tmp_path):
+    at, source = str(tmp_path / "cache"), str(tmp_path / "in")
+    spark.range(3).write.parquet(source)
+    calls = []
+
+    def compute(n):
+        calls.append(n)
+        return spark.read.parquet(source).limit(n)
+
+    read = lambda n: S.read_through(spark, at, lambda: compute(n), [source], n=n).count()
+    assert [read(2), read(2), read(1), read(2)] == [2, 2, 1, 2] and calls == [2, 1]  # a parameter is another table
+    spark.range(5).write.mode("overwrite").parquet(source)
+    assert read(5) == 5 and read(2) == 2 and calls == [2, 1, 5, 2]  # so are changed files
+
+    def broken():
+        return spark.range(10).select(F.when(F.col("id") == 7, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).alias("id"))
+
+    with pytest.raises(Exception, match="lost"):
+        S.read_through(spark, at, broken, [source], n=0)
+    assert read(0) == 0 and calls[-1] == 0  # nothing of the broken write is taken for the table
+    assert not [p for p in (tmp_path / "cache").iterdir() if p.name.startswith("_")]
+
+
+def test_bucketed_bars_need_no_exchange(spark, tmp_path):
+    sub = bucketed(market.sub_bars(spark, "/root/testdata/sf0.001"), 3)
+    df = market.features_of(spark, sub)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" in plan
+    files = {r[0] for r in sub.select(F.input_file_name()).distinct().collect()}
+    assert 0 < len(files) <= 3
+    a, b = (x.select("root", "ts", F.round("z", 9), F.round("subbar_imbalance", 9), "is_valid_bar") for x in (df, market.features(spark, "/root/testdata/sf0.001")))
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
 def test_streaming_bars_match_batch(spark, tmp_path):
     from barloom.sources.tables import event_ticks
     from barloom.streaming.bars import streaming_bars
