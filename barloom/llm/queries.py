@@ -84,7 +84,7 @@ def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
-    shown = F.transform("hits", lambda h: F.concat_ws(":", h["line"], h["family"], F.format_number(h["overlap"], 3)))
+    shown = F.transform("hits", lambda h: F.concat_ws(":", h["par"], h["family"], F.format_number(h["overlap"], 3)))
     return found.select("doc_id", "n_hits", F.array_join("families", ",").alias("families"), F.array_join(shown, ",").alias("hits"))
 
 
