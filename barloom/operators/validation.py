@@ -56,5 +56,5 @@ def stability(df: DataFrame, features: list[str], limit: float = 2.0) -> DataFra
 
 def row_sample(df: DataFrame, n: int, seed: int) -> DataFrame:
     """N rows of each root, drawn by a seeded hash of the row's key."""
-    draw = F.xxhash64("root", "instrument_id", "ts", F.lit(seed))
+    draw = F.md5(F.concat_ws("|", "root", "instrument_id", F.unix_micros(F.col("ts").cast("timestamp")), F.lit(seed)))
     return df.withColumn("_i", F.row_number().over(Window.partitionBy("root").orderBy(draw))).filter(F.col("_i") <= n).drop("_i")

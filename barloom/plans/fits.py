@@ -11,7 +11,7 @@ from barloom.operators import fitting as Q
 from barloom.operators import flow as X
 from barloom.operators import regime as R
 from barloom.operators import validation as V
-from barloom.plans.market import BARS, FEATURES, ROOTS, SIGMA, SPAN, TCDF, features, main_bars, sigma_bars
+from barloom.plans.market import BARS, _ewma, FEATURES, features, GK, main_bars, phi, ROOTS, SIGMA, sigma_bars, SPAN, TCDF, W
 from barloom.sources.stage import staged
 from barloom.sources.tables import order_ticks
 
@@ -92,7 +92,22 @@ def variants(spark, d) -> DataFrame:
     return df.withColumn("z_a", X.z_score("sigma_a")).withColumn("z_b", X.z_score("sigma_b")).withColumn("z_c", X.z_score("sigma_c"))
 
 
-@query("f8_f9_variants")
+#: va: concurrent and causal sigma of each bar, with the z of either.
+VARIANTSQL = BARS + ", " + _ewma(GK, "root", SPAN, "bar", "g1", 10, "sigma_a") + ", g2 AS (SELECT * EXCLUDE (x0, i) FROM g1), " + _ewma(f"lag({GK}) OVER ({W})", "root", SPAN, "g2", "g3", 10, "sigma_b") + """,
+va AS (SELECT root, ts, sigma_a, sigma_b, ln(close / open) / nullif(sigma_a, 0) AS z_a, ln(close / open) / nullif(sigma_b, 0) AS z_b FROM g3)"""
+
+
+def _skew(z: str) -> str:
+    return f"(SELECT root, avg((v - mu) ** 3) / pow(avg((v - mu) ** 2), 1.5) AS skew FROM (SELECT root, {z} AS v, avg({z}) OVER (PARTITION BY root) AS mu FROM va WHERE {z} IS NOT NULL) GROUP BY root)"
+
+
+@query(
+    "f8_f9_variants",
+    VARIANTSQL + f""", c AS (SELECT root, count(*) AS n, corr(z_a, z_b) AS corr, corr(sigma_a, sigma_b) AS corr_sigma, min(z_a) AS min_a, max(z_a) AS max_a, min(z_b) AS min_b, max(z_b) AS max_b, count(*) FILTER (abs(z_a) > 5) AS extreme_a, count(*) FILTER (abs(z_b) > 5) AS extreme_b
+FROM va WHERE z_a IS NOT NULL AND z_b IS NOT NULL GROUP BY root), s AS (SELECT c.*, a.skew AS skew_a, b.skew AS skew_b FROM c JOIN {_skew("z_a")} a USING (root) JOIN {_skew("z_b")} b USING (root))
+SELECT root, n, extreme_a, extreme_b, """ + ", ".join(f"round({c}, 6) + 0 AS {c}" for c in ("corr", "corr_sigma", "min_a", "max_a", "min_b", "max_b", "skew_a", "skew_b")) + """,
+ CASE WHEN sign(skew_a) <> sign(skew_b) THEN 'sign flip' WHEN abs(skew_a - skew_b) > 0.3 THEN 'changed' WHEN abs(skew_a) > 0.3 AND abs(skew_b) > 0.3 THEN 'persistent' ELSE 'moderate' END AS verdict FROM s""",
+)
 def f8(spark, d):
     v = variants(spark, d)
     skew = v.groupBy("root").agg(F.skewness("z_a").alias("skew_a"), F.skewness("z_b").alias("skew_b"))
@@ -150,7 +165,13 @@ def f20(spark, d):
     return rounded(Q.pit_histogram(z_rows(spark, d), locked(spark), ["root"]).withColumn("bin", F.col("bin").cast("long")))
 
 
-@query("f21_residual_curve")
+@query(
+    "f21_residual_curve",
+    ZQ + f""", rk AS (SELECT root, z, k, n, lead(z) OVER (PARTITION BY root ORDER BY k) AS ahead FROM r), mo AS (SELECT root, avg(z) AS m, stddev_pop(z) AS sd FROM c GROUP BY root),
+gx AS (SELECT root, k AS p, -4.0 + k * 8.0 / 199 AS x FROM (SELECT DISTINCT root FROM r), (SELECT unnest(range(0, 200)) AS k)),
+gi AS (SELECT gx.root, p, x, CASE WHEN k IS NULL THEN 0.0 WHEN ahead IS NULL THEN CASE WHEN x > z THEN 1.0 ELSE k / (n + 1) END ELSE (k + coalesce((x - z) / nullif(ahead - z, 0), 0)) / (n + 1) END AS ec, (x - 0.01) / 0.85 AS u FROM gx ASOF LEFT JOIN rk ON gx.root = rk.root AND gx.x >= rk.z)
+SELECT root, p AS k, round(x, 6) + 0 AS x, round(ec - {TCDF}, 6) + 0 AS minus_t, round(ec - {phi("v")}, 6) + 0 AS minus_normal FROM (SELECT gi.*, (x - m) / sd AS v FROM gi JOIN mo USING (root))""",
+)
 def f21(spark, d):
     return rounded(Q.residual_curve(z_rows(spark, d), locked(spark), ["root"], 200))
 
@@ -213,6 +234,22 @@ def r7(spark, d):
     return rounded(R.rejections(months, 0.2).join(fits, ["root", "cutoff"]), 4)
 
 
+@query(
+    "r8_locked_months",
+    """WITH ob AS (SELECT o_orderpriority AS root, time_bucket(INTERVAL '1 day', o_orderdate) AS ts, first(o_totalprice::DOUBLE ORDER BY o_orderdate, o_orderkey) AS open, max(o_totalprice)::DOUBLE AS high, min(o_totalprice)::DOUBLE AS low,
+ last(o_totalprice::DOUBLE ORDER BY o_orderdate, o_orderkey) AS close, count(*) AS volume FROM orders GROUP BY ALL), """
+    + _ewma(f"lag({GK}) OVER ({W})", "root", SPAN, "ob", "og", 10)
+    + f""", oz AS (SELECT ts, ln(close / lag(close) OVER ({W})) / nullif(sigma, 0) AS z FROM og), h AS (SELECT date_trunc('month', ts)::DATE AS month, floor(z / 0.002) AS b, count(*) AS n FROM oz WHERE abs(z) < 50 GROUP BY ALL),
+e AS (SELECT month, b, n, sum(n) OVER (PARTITION BY month ORDER BY b) AS up, sum(n) OVER (PARTITION BY month) AS total FROM h), f AS (SELECT month, total, up / total AS hi, (up - n) / total AS lo, unnest([0, 1]) AS side, ((b + side) * 0.002 - 0.01) / 0.85 AS u FROM e),
+m AS (SELECT month, any_value(total) AS n, max(abs(CASE side WHEN 1 THEN hi ELSE lo END - {TCDF})) AS ks FROM f GROUP BY month), c AS (SELECT unnest([DATE '1998-01-01', DATE '1999-07-01']) AS cutoff)
+SELECT 'orders' AS root, cutoff::TIMESTAMP AS cutoff, month, n::BIGINT AS n, CASE WHEN n >= 100 THEN round(ks, 6) END AS ks FROM m JOIN c ON month >= cutoff""",
+)
+def r8(spark, d):
+    """R8 under locked parameters."""
+    c = spark.createDataFrame([("orders", at, 4.0, 0.01, 0.85) for at in ("1998-01-01", "1999-07-01")], "root string, cutoff string, nu double, loc double, scale double")
+    return rounded(R.monthly_ks(order_z(spark, d), c.withColumn("cutoff", F.col("cutoff").cast("timestamp_ntz")), 100))
+
+
 @query("r9_first_acceptable")
 def r9(spark, d):
     """Every cutoff with what the rule looks at, and whether it is the first that passes (none, if the rule finds none)."""
@@ -289,6 +326,6 @@ def w6(spark, d):
     return rounded(V.stability(main_bars(spark, d), ["close"]))
 
 
-@query("w7_row_sample")
+@query("w7_row_sample", BARS + " SELECT root, round(open, 6) AS open, round(close, 6) AS close FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY md5(concat_ws('|', root, root, epoch_us(ts), 7))) AS i FROM bar) WHERE i <= 5")
 def w7(spark, d):
     return rounded(V.row_sample(main_bars(spark, d), 5, 7).select("root", "open", "close"))

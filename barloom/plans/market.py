@@ -88,6 +88,15 @@ def _ewma(x: str, part: str, span: int, src: str, dst: str, least: int, out: str
 
 
 SIGMA = BARS + ", " + SESS.format(src="bar") + ", " + _ewma(f"lag({GK}) OVER (PARTITION BY root, session_id ORDER BY ts)", "root, session_id", SPAN, "s2", "g", WARM) + ", z AS (SELECT *, ln(close / open) / nullif(sigma, 0) AS z FROM g)"
+
+
+def phi(x: str) -> str:
+    """SQL for the normal distribution at x, by the series of odd powers over odd factorials."""
+    u = f"least(greatest({x}, -8.5), 8.5)"
+    terms = f"list_sum(list_transform(range(0, 160), lambda k: exp((2 * k + 1) * ln(abs({u})) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)))))"
+    return f"CASE WHEN {x} = 0 THEN 0.5 WHEN {x} IS NOT NULL THEN 0.5 + sign({x}) * exp(-{u} * {u} / 2) / sqrt(2 * pi()) * {terms} END"
+
+
 TCDF = "(0.5 + 0.375 * u / sqrt(1 + u * u / 4) * (1 - u * u / (12 * (1 + u * u / 4))))"
 FLOW = SIGMA + f", f AS (SELECT *, 2 * {TCDF} - 1 AS imb, {TCDF} AS buy FROM (SELECT *, (z - 0.01) / 0.85 AS u FROM z))"
 T = "root, epoch(ts)::BIGINT AS t"
@@ -210,7 +219,7 @@ def c3(spark, d):
     return shown(X.with_flow(sigma_bars(spark, d), params(spark)), "v_buy_t", "imbalance_t")
 
 
-@query("c4_gaussian_flow")
+@query("c4_gaussian_flow", SIGMA + f" SELECT {T}, round({phi('z')}, 6) AS v_buy_n FROM z")
 def c4(spark, d):
     return shown(sigma_bars(spark, d).withColumn("v_buy_n", X.gaussian_flow()), "v_buy_n")
 
