@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.cdf import normal_cdf, student_t_cdf, t_constants
-from barloom.operators.flow import clean_z
+from barloom.operators.bars import sigma_session
+from barloom.operators.flow import clean_z, z_score
+from barloom.sources.stage import staged
 
 NU_MAX = 1e3
 
@@ -246,13 +248,18 @@ def calibration(df: DataFrame, keys: list[str], variants: dict[str, str], minimu
     return bundle(long.select(*keys, "ts", "instrument_id", "v.*"), [*keys, "variant"], minimum=minimum)
 
 
-def sensitivity_grid(by_gap: dict[int, DataFrame], warmups: list[int]) -> DataFrame:
-    """clean z of every cell (gap, warmup); by_gap: gap -> rows with z and bar_in_session. A gap makes other sessions, a warm-up only masks rows."""
-    out = None
-    for gap, df in by_gap.items():
-        df = df.select("root", "instrument_id", "ts", "z", "bar_in_session", F.lit(gap).alias("gap"))
-        out = df if out is None else out.unionByName(df)
-    return clean_z(out.withColumn("warmup", F.explode(F.array(*map(F.lit, warmups)))).filter("bar_in_session >= warmup"))
+def sensitivity_grid(by_gap: DataFrame, warmups: list[int]) -> DataFrame:
+    """clean z of every cell (gap, warmup) of rows with gap, z and bar_in_session, staged. A gap makes other sessions, a warm-up only masks rows."""
+    rows = by_gap.select("root", "instrument_id", "ts", "z", "bar_in_session", "gap")
+    return staged(clean_z(rows.withColumn("warmup", F.explode(F.array(*map(F.lit, warmups)))).filter("bar_in_session >= warmup")))
+
+
+def with_gaps(df: DataFrame, gaps: list[int], span: int, least: int) -> DataFrame:
+    """bars with the z and the place in the session that each gap (in seconds) makes, all gaps in one pass: a gap is
+    part of the instrument while sessions and sigma are computed."""
+    rows = df.withColumn("gap", F.explode(F.array(*map(F.lit, gaps)))).withColumn("_own", F.col("instrument_id")).withColumn("instrument_id", F.concat_ws("|", "instrument_id", "gap"))
+    rows = sigma_session(rows, span, least, F.col("gap")).withColumn("z", z_score())
+    return rows.select("root", F.col("_own").alias("instrument_id"), "ts", "gap", "z", "bar_in_session")
 
 
 def grid_cells(grid: DataFrame, keys: list[str], minimum: int = 50) -> DataFrame:

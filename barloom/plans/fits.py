@@ -141,7 +141,7 @@ WARMUPS = [5, 10, 20]
 
 
 def grid(spark, d) -> DataFrame:
-    return Q.sensitivity_grid({gap: B.sigma_session(main_bars(spark, d), SPAN, 5, gap).withColumn("z", X.z_score()) for gap in (3600, 7200, 14400)}, WARMUPS)
+    return Q.sensitivity_grid(Q.with_gaps(main_bars(spark, d), [3600, 7200, 14400], SPAN, 5), WARMUPS)
 
 
 @query("f13_f14_sensitivity_grid")

@@ -35,7 +35,7 @@ def test_variants_are_fitted_on_common_rows(spark, drawn):
 
 
 def test_grid_pivots_and_reconciliation(spark, drawn):
-    by_gap = {g: drawn.withColumn("bar_in_session", F.pmod(F.xxhash64("ts"), F.lit(100))) for g in (60, 120)}
+    by_gap = drawn.withColumn("bar_in_session", F.pmod(F.xxhash64("ts"), F.lit(100))).withColumn("gap", F.explode(F.array(F.lit(60), F.lit(120))))
     cells = Q.grid_cells(Q.sensitivity_grid(by_gap, [0, 50]), ["root"]).cache()
     assert cells.count() == 8 and cells.filter("ks IS NULL OR max_dev_left IS NULL").count() == 0
     pivot = {(r.root, r.gap): r for r in Q.grid_pivots(cells, ["root"], [0, 50]).collect()}
