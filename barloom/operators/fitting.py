@@ -125,6 +125,46 @@ def ks_p(d: Column, n: Column) -> Column:
     return F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
 
 
+def ks_exact(n: int, d: float) -> float:
+    """P(a larger Kolmogorov distance than d) of n values, exact: the n-th power of a banded matrix of step counts
+    (Marsaglia, Tsang and Wang 2003)."""
+    if d >= 1:
+        return 0.0
+    if d <= 0.5 / n:
+        return 1.0
+    k = math.ceil(n * d)
+    m, h = 2 * k - 1, k - n * d
+    a = np.tril(np.ones((m, m)), 1)
+    powers = h ** np.arange(1, m + 1)
+    a[:, 0] -= powers
+    a[-1] -= powers[::-1]
+    a[-1, 0] += max(2 * h - 1, 0.0) ** m
+    steps = np.arange(m)[:, None] - np.arange(m)[None] + 1
+    a /= np.array([math.factorial(s) if s > 0 else 1 for s in range(m + 1)], float)[np.clip(steps, 0, m)]
+    # Powers by squaring; a common factor is kept apart, so that nothing overflows.
+    out, scale, base, base_scale, e = np.eye(m), 0.0, a, 0.0, n
+    while e:
+        if e & 1:
+            out, scale = out @ base, scale + base_scale
+        base, base_scale, e = base @ base, 2 * base_scale, e >> 1
+        size = np.abs(base).max()
+        base, base_scale = base / size, base_scale + math.log(size)
+    p = out[k - 1, k - 1]
+    return 1.0 - math.exp(math.log(p) + scale + math.lgamma(n + 1) - n * math.log(n)) if p > 0 else 1.0
+
+
+def with_exact_p(diagnostics: DataFrame, below: int = 100) -> DataFrame:
+    """the table (a row for each group: n, ks, ks_p) with exact probabilities where n is under ``below``."""
+
+    def run(frames):
+        for f in frames:
+            few = (f.n < below) & f.ks.notna()
+            f.loc[few, "ks_p"] = [ks_exact(int(n), float(d)) for n, d in zip(f.n[few], f.ks[few])]
+            yield f
+
+    return diagnostics.mapInPandas(run, diagnostics.schema)
+
+
 def pit_diagnostics(df: DataFrame, fits: DataFrame, keys: list[str], z: str = "z") -> DataFrame:
     """Kolmogorov distance and p-value, tail and middle densities, shape, and the rank-form shoulder."""
     r = ranked(pit(df, fits, keys, z), keys, "u", F.col("u"))

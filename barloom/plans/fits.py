@@ -60,6 +60,15 @@ def f1(spark, d):
     return rounded(Q.fit_student_t(z_rows(spark, d), ["root"]), 5)
 
 
+@query("f2_monthly_p")
+def f2_months(spark, d):
+    """Months of each instrument under locked parameters: few values each, so that probabilities are exact."""
+    z = order_z(spark, d).withColumn("month", F.trunc(F.col("ts").cast("date"), "MM"))
+    keys = ["root", "instrument_id", "month"]
+    table = staged(z.select(*keys).distinct()).join(F.broadcast(locked(spark).drop("n")), "root")
+    return rounded(Q.with_exact_p(Q.pit_diagnostics(z, table, keys)).select(*keys, "n", "ks", "ks_p"))
+
+
 @query(
     "f4_shoulder",
     ZQ + f""", rk AS (SELECT root, z, k, n, lead(z) OVER (PARTITION BY root ORDER BY k) AS ahead FROM r), gx AS (SELECT root, side, CASE side WHEN 'right' THEN 1.0 ELSE -3.0 END + i * 2.0 / 499 AS x FROM (SELECT DISTINCT root FROM r), (SELECT unnest(range(0, 500)) AS i), (SELECT unnest(['right', 'left']) AS side)),

@@ -129,7 +129,12 @@ def q5(spark, d):
     return S.drill_down(outrights(spark, d), "ESH0").select("instrument_id", seconds("first_ts").alias("first_t"), seconds("last_ts").alias("last_t"), "n")
 
 
-@query("q6_schema_check")
+@query(
+    "q6_schema_check",
+    RAWSQL + """, w AS (SELECT count(*) AS n, count(ts_event) AS ts_event, count(i.instrument_id) AS instrument_id, count(close) AS close, count(i.symbol) AS symbol, count(contract_root) AS contract_root, count(expiry) AS expiry_date FROM outr o JOIN ins5 i USING (instrument_id)),
+e(place, name, type) AS (VALUES (0, 'ts_event', 'timestamp'), (1, 'rtype', 'bigint'), (2, 'publisher_id', 'bigint'), (3, 'instrument_id', 'bigint'), (4, 'open', 'double'), (5, 'high', 'double'), (6, 'low', 'double'), (7, 'close', 'double'), (8, 'volume', 'bigint'), (9, 'symbol', 'string'), (10, 'contract_root', 'string'), (11, 'expiry_date', 'date'))
+SELECT place, name, type, false AS agrees, CASE name WHEN 'ts_event' THEN ts_event WHEN 'instrument_id' THEN instrument_id WHEN 'close' THEN close WHEN 'symbol' THEN symbol WHEN 'contract_root' THEN contract_root WHEN 'expiry_date' THEN expiry_date ELSE 0 END AS known, n FROM e, w""",
+)
 def q6(spark, d):
     return S.schema_check(S.resolved(outrights(spark, d)))
 

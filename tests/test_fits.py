@@ -147,3 +147,16 @@ def test_running_histograms_against_rows(spark):
     limits = spark.createDataFrame([("a", 4.0, 0.05, 0.5, 1.0)], "root string, nu_floor double, ks_limit double, scale_low double, scale_high double")
     flags = R.refit_triggers(sweep, limits).collect()
     assert all(f.nu_low == (f.nu < 4.0) and f.ks_high == (f.ks > 0.05) and f.scale_drift == (not 0.5 <= f.scale <= 1.0) for f in flags)
+
+
+def test_exact_distances_of_few_values(spark):
+    # tabulated 5 % and 1 % points of the Kolmogorov distance, and the closed form for one and two values
+    for n, d, p in [(5, 0.56328, 0.05), (10, 0.40925, 0.05), (20, 0.29408, 0.05), (20, 0.35241, 0.01), (50, 0.18841, 0.05), (100, 0.13403, 0.05)]:
+        assert abs(Q.ks_exact(n, d) - p) < 2e-4
+    assert abs(Q.ks_exact(1, 0.7) - 0.6) < 1e-12 and abs(Q.ks_exact(2, 0.6) - 2 * 0.4**2) < 1e-12
+    rng = np.random.default_rng(3)
+    u = np.sort(rng.random((40_000, 7)), axis=1)
+    far = np.maximum(np.arange(1, 8) / 7 - u, u - np.arange(7) / 7).max(axis=1)
+    assert abs((far > 0.4).mean() - Q.ks_exact(7, 0.4)) < 0.01
+    df = spark.createDataFrame([("a", 7, 0.4, 0.5), ("b", 700, 0.04, 0.5)], "root string, n long, ks double, ks_p double")
+    assert {r.root: round(r.ks_p, 6) for r in Q.with_exact_p(df).collect()} == {"a": round(Q.ks_exact(7, 0.4), 6), "b": 0.5}
