@@ -31,6 +31,7 @@ def test_held_out_accuracy(spark):
     got = op1_nnpu_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out").toPandas()
     agree = (got.predicted == got.toxic).mean()
     assert agree > 0.97, agree
+    assert got.predicted[got.toxic == 1].mean() >= 0.8 and got.predicted[got.toxic == 0].mean() <= 0.005
 
 
 def test_all_unlabelled_rows_train_in_shards(spark):
@@ -51,3 +52,27 @@ def test_all_unlabelled_rows_train_in_shards(spark):
     assert toxicity.accepted(docs, (weights, bias)).columns == docs.columns
     patterns = {r.doc_id: list(r.pattern) for r in toxicity._patterns(docs, ["vile", "w1"]).collect() if r.doc_id == 9}
     assert patterns[9][0] == 0
+
+
+def test_scores_and_risk_against_plain_sums(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{j}" for j in rng.integers(0, 40, 15)) + " vile" * (i % 7 == 0) for i in range(400)] + ["", None, "VILE, w1! w1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(0, 400, 2)], "doc_id long, toxic int")
+    weights, bias = toxicity.fit(docs, known)
+    for r in toxicity.score(docs, (weights, bias)).collect():
+        f = bias[0] + sum(w[0] for x, w in weights.items() if x in toxicity.words_in(texts[r.doc_id]))
+        assert abs(r.score - 1 / (1 + np.exp(-f))) < 1e-8
+    # Where the descent ends, no small step lowers the risk.
+    xp, xu = (rng.random((n, 3)) < p for n, p in ((60, [0.5, 0.3, 0.5]), (300, [0.3, 0.2, 0.5])))
+    xp, xu, prior = xp.astype(np.float32), xu.astype(np.float32), 0.15
+    theta = toxicity.descend(xp, np.ones(60), xu, np.ones(300), prior, 4000)
+
+    def risk(t):
+        fp, fu = xp @ t[:-1] + t[-1], xu @ t[:-1] + t[-1]
+        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+        return prior * np.logaddexp(0, -fp).mean() + max(negative, 0.0) + 0.5e-4 * prior * (t[:-1] ** 2).sum()
+
+    for i in range(4):
+        for step in (-0.2, 0.2):
+            assert risk(theta + step * np.eye(4)[i]) > risk(theta) - 1e-6
