@@ -322,6 +322,7 @@ def reconciled(methods: dict[str, DataFrame], keys: list[str], minimum: int = 50
     for name, df in methods.items():
         df = df.select(*keys, "instrument_id", "ts", "z", F.lit(name).alias("method"))
         tagged = df if tagged is None else tagged.unionByName(df)
+    tagged = staged(clean_z(tagged))
     fits = fit_student_t(tagged, [*keys, "method"], minimum=minimum)
     out = fits.join(pit_diagnostics(tagged, fits, [*keys, "method"]).select(*keys, "method", "ks"), [*keys, "method"], "left")
     return out.withColumn("heavy", F.col("nu") < heavy)

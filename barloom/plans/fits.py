@@ -11,9 +11,9 @@ from barloom.operators import fitting as Q
 from barloom.operators import flow as X
 from barloom.operators import regime as R
 from barloom.operators import validation as V
-from barloom.plans.market import BARS, _ewma, FEATURES, features, GK, main_bars, phi, ROOTS, SIGMA, sigma_bars, SPAN, TCDF, W
+from barloom.plans.market import BARS, _ewma, FEATURES, features, GAP, GK, main_bars, phi, ROOTS, SIGMA, sigma_bars, SPAN, TCDF, W, WARM
 from barloom.sources.stage import staged
-from barloom.sources.tables import order_ticks
+from barloom.sources.tables import line_ticks, order_ticks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -165,8 +165,15 @@ def f15(spark, d):
 
 @query("f16_f17_reconciliation")
 def f16(spark, d):
-    old = B.boundary_mask(variants(spark, d), 3600, 12).withColumn("z", F.col("z_b"))
-    return rounded(Q.reconciled({"unfiltered": old, "filtered": old.filter("clear"), "session": z_rows(spark, d)}, ["root"]), 4)
+    """Three methods on two datasets: hourly bars of events, four-day bars of line items."""
+    methods: dict[str, DataFrame] = {}
+    for name, bars, gap, edge in (("events", main_bars(spark, d), GAP, 3600), ("lines", B.bars(line_ticks(spark, d), 5760), 40 * 86400, 8 * 86400)):
+        old = B.boundary_mask(B.sigma_causal(bars, SPAN).withColumn("z", X.z_score()), edge, 12)
+        session = B.sigma_session(bars, SPAN, WARM, gap).withColumn("z", X.z_score())
+        for method, rows in (("unfiltered", old), ("filtered", old.filter("clear")), ("session", session)):
+            own = rows.select(F.lit(name).alias("dataset"), "root", "instrument_id", "ts", "z")
+            methods[method] = methods[method].unionByName(own) if method in methods else own
+    return rounded(Q.reconciled(methods, ["dataset", "root"]), 4)
 
 
 @query("f20_pit_histogram", ZQ + ", h AS (SELECT root, least(floor(pr * 50), 49)::BIGINT AS bin, count(*) AS count FROM p GROUP BY ALL) SELECT root, bin, count, round(count * 50 / sum(count) OVER (PARTITION BY root), 6) AS density FROM h")

@@ -65,3 +65,21 @@ def test_trend_of_many_points(spark):
     beyond = grid > math.atan(t / math.sqrt(58))
     assert abs(got["a"].p - density[beyond].sum() / density.sum()) < 1e-4
     assert got["b"].p < 1e-9 and abs(got["b"].slope - 2) < 1e-12
+
+
+def test_published_cells(spark):
+    """Counts of the pooled cells at the first horizon, and what was published for them."""
+    cells = {
+        ("A", "primary"): (4249, 2050, 0.4824664626971052, 0.4674643192078746, 0.497500281179247, 0.4678689103318428, 0.4991821605083549, -2.285824603127426, 0.021489706105103142),
+        ("A", "secondary"): (4489, 2166, 0.48251280908888394, 0.46791635532452974, 0.497139166567576, 0.4684729338382713, 0.4967698819336155, -2.3432835820895517, 0.020907352373977374),
+        ("B", "primary"): (4424, 2135, 0.4825949367088608, 0.4678916908736395, 0.4973283827373484, 0.46903254972875225, 0.4968467450271247, -2.3153314003984127, 0.02106038385191233),
+    }
+    rows = [(g, t, int(i < k)) for (g, t), (n, k, *_) in cells.items() for i in range(n)]
+    hits = spark.createDataFrame(rows, "gate string, tier string, hit int").cache()
+    got = {(r.gate, r.tier): r for r in E.accuracy(hits, ["gate", "tier"]).join(E.bootstrap(hits, ["gate", "tier"]), ["gate", "tier"]).collect()}
+    for key, (n, k, p, lo, hi, boot_lo, boot_hi, z, mde) in cells.items():
+        r = got[key]
+        assert (r.n_scored, r.n_correct) == (n, k)
+        assert max(abs(a - b) for a, b in zip((r.accuracy, r.wilson_lo, r.wilson_hi, r.z_vs_half), (p, lo, hi, z))) < 1e-9
+        assert abs(r.mde_80pct - mde) < 3e-5  # the published table rounds the two quantiles
+        assert abs(r.boot_lo - boot_lo) < 0.002 and abs(r.boot_hi - boot_hi) < 0.002
