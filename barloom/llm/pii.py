@@ -3,8 +3,10 @@
 Broad patterns propose candidate spans. Labelers vote on each (yes, no, or nothing): the strict format, gazetteers
 of prefixes and ranges, a checksum or character mix, and the words before the span. Expectation-maximisation over
 the counts of the vote patterns (at most 3^labelers rows for each kind) estimates how reliable each labeler is and
-how likely each pattern; a logistic span classifier is then trained on the candidates' features, again as counts of
-the few distinct feature rows, with those probabilities as soft labels. What it accepts is added to the base spans,
+how likely each pattern; a logistic span classifier is then trained with those probabilities as soft labels. It doesn't
+see the votes but the span and its context (``FEATURES``: format, length, kinds of characters, separators, variety, the
+character and the hashed word before it), so that it also decides where labelers abstain. It is fitted to counts of the
+distinct feature rows, at most ``CODES`` for each kind at any table size. What it accepts is added to the base spans,
 which always stay: emails, IP addresses, card numbers and phone numbers by their fixed patterns.
 
 Places are in code points, end exclusive. Patterns are written so that each text is scanned in linear time.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +52,9 @@ CALLING_CODES = r"^\+(?:1|33|34|44|49|39|7|81|86|91)"
 LABELERS = ("format", "gazetteer", "mix", "context", "assigned")
 BEFORE = 24
 ACCEPT = 0.5
+#: What the classifier sees of a span and its context, with the number of values of each.
+FEATURES = {"valid": 2, "size": 6, "shape": 8, "parts": 4, "variety": 3, "edge": 5, "word": 17}
+CODES = math.prod(FEATURES.values())
 
 
 def proposals(docs: DataFrame) -> DataFrame:
@@ -116,9 +122,30 @@ def judged(candidates: DataFrame) -> DataFrame:
     return out.select(
         "text_key", "kind", "start", "stop", (strict & (kind != "secret")).alias("base"),
         vote(strict, ~strict).alias("format"), listed.alias("gazetteer"), mix.alias("mix"), told.alias("context"), assigned.alias("assigned"),
+        code(strict, variety).alias("code"),
     )
 
 
+def code(valid: Column, variety: Column) -> Column:
+    """The FEATURES of a candidate (value, before) as one number: digits of mixed base, the first feature highest."""
+    value, before = F.col("value"), F.lower("before")
+    has = lambda pattern, weight: F.when(value.rlike(pattern), weight).otherwise(0)
+    word = F.regexp_extract(before, r"([\p{L}]+)[^\p{L}]*$", 1)
+    seen = {
+        "valid": F.coalesce(valid, F.lit(False)).cast("int"),
+        "size": F.least(F.floor(F.log2(F.length("value"))), F.lit(FEATURES["size"] - 1)),
+        "shape": has("[0-9]", 1) + has("[A-Z]", 2) + has("[a-z]", 4),
+        "parts": F.least(F.length(F.regexp_replace(F.left(value, F.lit(256)), "[A-Za-z0-9]+", "")), F.lit(FEATURES["parts"] - 1)),
+        "variety": F.when(variety < 6, 0).when(variety < 9, 1).otherwise(2),
+        "edge": F.when(before == "", 0).when(before.rlike(r"\s$"), 1).when(before.rlike("[=:\"']$"), 2).when(before.rlike(r"[\p{L}\p{N}]$"), 3).otherwise(4),
+        "word": F.when(word == "", 0).otherwise(1 + F.pmod(F.xxhash64(word), F.lit(FEATURES["word"] - 1))),
+    }
+    out = F.lit(0).cast("long")
+    for name, values in FEATURES.items():
+        out = out * values + seen[name]
+    return out.cast("int")
+
+
 def reliabilities(patterns: list[tuple[tuple, int]], rounds: int = 50):
     """(prior, sensitivity, specificity, probability of each pattern) by expectation-maximisation over vote patterns.
 
@@ -144,46 +171,84 @@ def reliabilities(patterns: list[tuple[tuple, int]], rounds: int = 50):
     return prior, sens, spec, p
 
 
-def features(votes: tuple) -> list[float]:
-    """What the classifier sees of a candidate: a constant, and each labeler's yes and no."""
-    return [1.0, *(float(v == 1) for v in votes), *(float(v == 0) for v in votes)]
+def indicators(codes: np.ndarray) -> np.ndarray:
+    """A constant and an indicator of each value of each feature, for the codes of code()."""
+    columns, rest = [], codes.copy()
+    for values in reversed(FEATURES.values()):
+        columns.append(np.eye(values)[rest % values])
+        rest = rest // values
+    return np.hstack([np.ones((len(codes), 1)), *reversed(columns)])
 
 
-def classifier(patterns: list[tuple[tuple, int]], p: list[float], steps: int = 300) -> list[float]:
-    """Weights of a logistic regression on the patterns' features, with soft labels p and an L2 penalty."""
-    x = [features(v) for v, _ in patterns]
-    share = [c / sum(c for _, c in patterns) for _, c in patterns]
-    w = [0.0] * len(x[0])
+def classifier(codes: np.ndarray, counts: np.ndarray, p: np.ndarray, steps: int = 25) -> np.ndarray:
+    """Weights of a logistic regression on the codes' indicators with soft labels p and an L2 penalty, by Newton steps.
+
+    The penalty weighs as much as a few candidates, so that rare values of a feature decide little.
+    """
+    x, penalty = indicators(codes), np.full(1 + sum(FEATURES.values()), 1.0)
+    penalty[0] = 1e-3
+    w = np.zeros(x.shape[1])
+    loss = lambda w: float(counts @ (np.logaddexp(0, x @ w) - p * (x @ w)) + 0.5 * penalty @ w**2)
     for _ in range(steps):
-        grad = [1e-3 * v for v in w]
-        for row, q, s in zip(x, p, share):
-            d = s * (1 / (1 + math.exp(-min(max(sum(a * b for a, b in zip(row, w)), -60), 60))) - q)
-            grad = [g + d * r for g, r in zip(grad, row)]
-        w = [v - 2.0 * g for v, g in zip(w, grad)]
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
+        step = np.linalg.solve(x.T @ (x * (counts * q * (1 - q))[:, None]) + np.diag(penalty), x.T @ (counts * (q - p)) + penalty * w)
+        rate = 1.0
+        while rate > 1e-6 and loss(w - rate * step) > loss(w):
+            rate /= 2
+        w = w - rate * step
+        if np.abs(rate * step).max() < 1e-9:
+            break
     return w
 
 
-def fit(votes: DataFrame) -> dict[str, list[float]]:
-    """Classifier weights of each kind, from the counts of all candidates' vote patterns."""
+def _pattern() -> Column:
+    """The number of a candidate's votes: a digit of base 3 for each labeler (0: none)."""
+    out = F.lit(0)
+    for name in LABELERS:
+        out = out * 3 + F.coalesce(F.col(name) + 1, F.lit(0))
+    return out
+
+
+def fit(votes: DataFrame) -> dict[str, np.ndarray]:
+    """Classifier weights of each kind: the label model from the counts of all vote patterns, the classifier from the
+    counts and mean probabilities of all feature rows."""
     counted = votes.groupBy("kind", *LABELERS).count().collect()  # at most 3^5 rows for each kind
-    out = {}
-    for kind in KINDS:
+    likely = [0.0] * (len(KINDS) * 3 ** len(LABELERS))
+    for i, kind in enumerate(KINDS):
         patterns = sorted((((tuple(r[x] for x in LABELERS)), r["count"]) for r in counted if r.kind == kind), key=str)
         if patterns:
-            out[kind] = classifier(patterns, reliabilities(patterns)[3])
+            for (v, _), p in zip(patterns, reliabilities(patterns)[3]):
+                number = 0
+                for x in v:
+                    number = number * 3 + (0 if x is None else x + 1)
+                likely[i * 3 ** len(LABELERS) + number] = p
+    place = (rank(F.col("kind")) - 1) * 3 ** len(LABELERS) + _pattern() + 1
+    rows = votes.groupBy("kind", "code").agg(F.count("*").alias("n"), F.avg(F.element_at(F.lit(likely), place.cast("int"))).alias("p")).collect()  # CODES a kind at most
+    out = {}
+    for kind in KINDS:
+        if own := sorted((r.code, r.n, r.p) for r in rows if r.kind == kind):
+            codes, n, p = zip(*own)
+            out[kind] = classifier(np.array(codes, np.int64), np.array(n, float), np.array(p))
     return out
 
 
+def probability(weights: dict[str, np.ndarray]) -> Column:
+    """The classifier's probability of a candidate (kind, code); -1 for a kind without a classifier."""
+    width, score = 1 + sum(FEATURES.values()), F.lit(-1.0)
+    table = np.concatenate([weights.get(k, np.zeros(width)) for k in KINDS])
+    weight = lambda at: F.element_at(F.lit(table.tolist()), ((rank(F.col("kind")) - 1) * width + at + 1).cast("int"))
+    f, below, first = weight(F.lit(0)), CODES, 1
+    for values in FEATURES.values():
+        below //= values
+        f = f + weight(first + F.floor(F.col("code") / below) % values)
+        first += values
+    return F.when(F.col("kind").isin(*weights), 1 / (1 + F.exp(-f))).otherwise(score) if weights else score
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """(text_key, kind, start, stop, base): base spans and those that the classifier adds; docs: (text)."""
     votes = written(judged(proposals(docs)))
-    score = F.lit(-1.0)
-    for kind, w in fit(votes).items():
-        f = F.lit(w[0])
-        for j, name in enumerate(LABELERS):
-            f = f + F.when(F.col(name) == 1, w[1 + j]).when(F.col(name) == 0, w[1 + len(LABELERS) + j]).otherwise(0.0)
-        score = F.when(F.col("kind") == kind, 1 / (1 + F.exp(-f))).otherwise(score)
-    return votes.filter(F.col("base") | (score >= ACCEPT)).select("text_key", "kind", "start", "stop", "base")
+    return votes.filter(F.col("base") | (probability(fit(votes)) >= ACCEPT)).select("text_key", "kind", "start", "stop", "base")
 
 
 def rank(kind: Column) -> Column:

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,59 @@ def test_reliabilities():
     assert all(abs(a - b) < 0.05 for a, b in zip(sens, true_sens)) and all(abs(a - b) < 0.05 for a, b in zip(spec, true_sens))
 
 
+def mixed_base(**seen):
+    out = 0
+    for name, values in pii.FEATURES.items():
+        out = out * values + seen.get(name, 0)
+    return out
+
+
+def test_features_of_span_and_context(spark):
+    rows = [("email", "A.b@c.org", "Mail: "), ("secret", "0" * 20 + "aB3", "key='"), ("phone", "+49 30 12", ""), ("card", "1 2", "é"), ("ip", "1.2.3.4", "host7(")]
+    made = [(str(i), k, 0, len(v), v, before, "") for i, (k, v, before) in enumerate(rows)]
+    schema = "text_key string, kind string, start long, stop long, value string, before string, after string"
+    got = [r.code for r in pii.judged(spark.createDataFrame(made, schema)).orderBy("text_key").collect()]
+    words = [r.h for r in spark.createDataFrame([(w,) for w in ("mail", "key", "é", "host")], "w string").select((1 + F.pmod(F.xxhash64("w"), F.lit(16))).alias("h")).collect()]
+    assert got == [
+        mixed_base(valid=1, size=3, shape=6, parts=3, variety=1, edge=1, word=words[0]),
+        mixed_base(valid=1, size=4, shape=7, variety=0, edge=2, word=words[1]),
+        mixed_base(size=3, shape=1, parts=3, variety=1),
+        mixed_base(size=1, shape=1, parts=1, variety=0, edge=3, word=words[2]),
+        mixed_base(valid=1, size=2, shape=1, parts=3, variety=0, edge=4, word=words[3]),
+    ]
+
+
+def test_classifier_decides_where_labelers_abstain(spark):
+    import random
+
+    r, rows = random.Random(1), []
+    for i in range(6000):
+        y = r.random() < 0.5
+        word = r.choice((3, 4, 5) if y else (6, 7, 8)) if r.random() < 0.95 else r.randrange(17)
+        silent = i % 3 == 0
+        votes = [None if silent or r.random() < 0.3 else int(y if r.random() < 0.8 else not y) for _ in pii.LABELERS]
+        rows.append(("secret", *votes, mixed_base(size=r.randrange(6), word=word), y, silent))
+    names = ", ".join(f"{x} int" for x in pii.LABELERS)
+    votes = spark.createDataFrame(rows, f"kind string, {names}, code int, y boolean, silent boolean").cache()
+    weights = pii.fit(votes)
+    judged = votes.withColumn("p", pii.probability(weights)).collect()
+    silent = [x for x in judged if x.silent]
+    # The label model gives all silent candidates one probability: it is right about half of them.
+    assert sum((x.p >= 0.5) == x.y for x in silent) > 0.93 * len(silent)
+    x = pii.indicators(np.array([x.code for x in judged]))
+    assert np.allclose(1 / (1 + np.exp(-x @ weights["secret"])), [x.p for x in judged], atol=1e-12)
+    other = spark.createDataFrame([("ip", 0)], "kind string, code int")
+    assert other.select(pii.probability(weights)).first()[0] == -1 and other.select(pii.probability({})).first()[0] == -1
+
+
+def test_classifier_is_at_the_minimum():
+    rng = np.random.default_rng(0)
+    codes, counts, p = rng.integers(0, pii.CODES, 200), rng.integers(1, 1000, 200).astype(float), rng.random(200)
+    w, x = pii.classifier(codes, counts, p), pii.indicators(codes)
+    slope = x.T @ (counts * (1 / (1 + np.exp(-x @ w)) - p)) + np.r_[1e-3, np.ones(len(w) - 1)] * w
+    assert np.abs(slope).max() < 1e-6
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.examine(docs).count() == 0 and pii.redact(docs).count() == 0
