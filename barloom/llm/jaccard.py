@@ -10,7 +10,8 @@
    sets that share a frequent shingle (over ``HOT`` of them) are dealt into blocks of one size band, and blocks of the
    same or neighbouring bands meet in tiles. In a tile, counts of the bits set in one hashed bitmap and not in the other
    bound every overlap from above; only pairs that the bound lets through become rows, so that a family of thousands of
-   sets that don't link makes no quadratic number of rows. Blocks of one and the same group don't meet.
+   sets that don't link makes no quadratic number of rows. Blocks of one and the same group don't meet, and blocks whose
+   sets all share a smaller frequent shingle meet at that one only: a family that shares dozens is compared once.
 5. Whatever pairs remain are bounded by the bitmaps in the same way and have their sorted arrays intersected.
 
 Defined results: a null, empty or blank text has no shingles and links with nothing; fewer words than five are one
@@ -41,6 +42,8 @@ STARS = 8
 HOT, TILE = 64, 1024
 #: Of a set's shared shingles, the smallest ones that it carries into a tile, so that a pair is told once, not at each shingle.
 LOW = 8
+#: A set that more than one in HOT_SHARE documents hold is hot; so there are fewer than HOT_SHARE of these, and they are broadcast.
+HOT_SHARE = 4096
 
 _R = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -245,6 +248,21 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n) / F.log(F.lit(1.25))).cast("int")
 
 
+def meetings(held: DataFrame) -> DataFrame:
+    """(token, block_x, block_y): where the blocks of rows held (token, band, block, lone, low) meet.
+
+    ``always`` are the shingles that all sets of a block carry. Where two blocks have a smaller one in common, each of
+    their pairs is told at that shingle or at a smaller one, so they needn't meet here.
+    """
+    common = F.aggregate(F.collect_list("low"), F.first("low"), F.array_intersect)  # a block has about TILE sets
+    blocks = held.groupBy("token", "band", "block", "lone").agg(common.alias("always"))
+    x, y = (blocks.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("band", "block", "lone", "always")]) for k in "xy")
+    earlier = F.exists(F.array_intersect("always_x", "always_y"), lambda t: t < F.col("token"))
+    return x.join(y, "token").filter(
+        (F.col("block_x") <= F.col("block_y")) & (F.abs(F.col("band_x") - F.col("band_y")) <= 1) & ~F.coalesce(F.col("lone_x") == F.col("lone_y"), F.lit(False)) & ~earlier
+    ).select("token", "block_x", "block_y")
+
+
 def tiled(hot: DataFrame, reps: DataFrame) -> DataFrame:
     """The distinct pairs (a, b) across groups that the bitmaps let through, of rows hot (token, rep, n, group)."""
     hot = hot.select("token", "rep", "n", "group", _band(F.col("n")).alias("band"))
@@ -258,11 +276,7 @@ def tiled(hot: DataFrame, reps: DataFrame) -> DataFrame:
     low = hot.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("token")), 1, LOW).alias("low"))
     held = hot.select("token", "band", "rep", "n", "group", lone.alias("lone"), dealt.alias("part")).join(low, "rep").join(reps.select("rep", "bitmap"), "rep")
     held = written(held.withColumn("block", F.concat_ws(":", "band", F.coalesce(F.col("lone").cast("string"), F.lit("-")), "part")))
-    blocks = held.select("token", "band", "block", "lone").distinct()
-    x, y = (blocks.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("band", "block", "lone")]) for k in "xy")
-    meet = x.join(y, "token").filter(
-        (F.col("block_x") <= F.col("block_y")) & (F.abs(F.col("band_x") - F.col("band_y")) <= 1) & ~F.coalesce(F.col("lone_x") == F.col("lone_y"), F.lit(False))
-    )
+    meet = meetings(held)
     tiles = meet.select("token", F.concat_ws("|", "block_x", "block_y").alias("tile"), F.explode(F.array_distinct(F.array("block_x", "block_y"))).alias("block"), (F.col("block_x") == F.col("block_y")).alias("alone"))
     rows = held.join(tiles, ["token", "block"]).select("token", "tile", "alone", "block", "rep", "n", "group", "low", "bitmap")
 
@@ -311,8 +325,8 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    reps = sets(docs, frequent_shingles(docs)).filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "n", "bitmap", "prefix")).alias("s"))
-    reps = written(reps.select("key", F.col("s.doc_id").alias("rep"), "s.n", "s.bitmap", "s.prefix"))
+    reps = sets(docs, frequent_shingles(docs)).filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "n", "bitmap", "prefix")).alias("s"), F.count("*").alias("copies"))
+    reps = written(reps.select("key", "copies", F.col("s.doc_id").alias("rep"), "s.n", "s.bitmap", "s.prefix"))
     entries = reps.select("rep", "n", F.explode("prefix").alias("token"))
     draw = F.xxhash64("rep", F.pmod("token", F.lit(STARS)))
     heads = entries.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), "n", "rep")).alias("head"), F.count("*").alias("k")).filter("k > 1").select("token", "head")
@@ -338,7 +352,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not across.isEmpty():
         more = verified(across, reps, docs)
         groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    named = reps.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("group"))
-    return keys(docs).join(named, "key", "left").select(
+    named = written(reps.select("key", "rep", "copies").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("group"), "copies"))
+    return grouped(keys(docs), named).select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("group")).alias("component_id")
     )
+
+
+def grouped(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """rows (doc_id, n, key) with the ``group`` of their key, of named (key, group, copies); a null key has none.
+
+    Sets that many documents hold are found by a broadcast (fewer than HOT_SHARE of them by their definition). The other
+    rows are shuffled by key, if they aren't few; rows that look for nothing any more are dealt by their id.
+    """
+    least = (named.agg(F.sum("copies")).first()[0] or 0) // HOT_SHARE
+    every = named.select("key", "group")
+    if (few := small(every)) is not every:
+        return rows.join(few, "key", "left")
+    hot = F.broadcast(named.filter(F.col("copies") > least).select("key", F.col("group").alias("hot_group")))
+    done = F.col("key").isNull() | F.col("hot_group").isNotNull()
+    dealt = F.when(done, F.xxhash64("doc_id").cast("string").cast("binary")).otherwise(F.concat(F.lit(b"k"), F.col("key")))
+    found = every.select(F.concat(F.lit(b"k"), F.col("key")).alias("dealt"), "group")
+    near = rows.join(hot, "key", "left").withColumn("dealt", dealt).join(found, "dealt", "left")
+    return near.select("doc_id", "n", "key", F.coalesce("hot_group", "group").alias("group"))

@@ -111,3 +111,28 @@ def test_tiles_of_a_family_against_brute_force(spark, monkeypatch, with_base):
     docs = family()[0 if with_base else 1 :]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(tuple(r) for r in jaccard.near_duplicates(df).collect()) == brute(docs)
+
+
+def test_blocks_meet_once(spark):
+    # Three blocks whose sets all carry shingles 1, 2 and 3, and a fourth with a set that lacks 1.
+    rows = [(t, 4, b, f"{b}{i}", [1, 2, 3]) for t in (1, 2, 3) for b in "abc" for i in range(5)]
+    rows += [(t, 5, "d", "d0", [1, 2, 3]) for t in (1, 2, 3)] + [(t, 5, "d", "d1", [2, 3]) for t in (2, 3)]
+    held = spark.createDataFrame([(t, band, b, None, low) for t, band, b, _, low in rows], "token long, band int, block string, lone long, low array<long>")
+    got = sorted(tuple(r) for r in jaccard.meetings(held).collect())
+    every = [(x, y) for x in "abcd" for y in "abcd" if x <= y]
+    # At 2, d's second set is told of for the first time; at 3, all have been told at 2.
+    assert got == sorted([(1, x, y) for x, y in every] + [(2, x, y) for x, y in every if y == "d"])
+
+
+@pytest.mark.parametrize("share", [1, 2, 4096])
+def test_groups_of_hot_sets_without_a_whole_broadcast(spark, monkeypatch, share):
+    monkeypatch.setattr(jaccard, "HOT_SHARE", share)
+    rows = [(i, 7, b"hot" if i % 2 else b"cold%d" % (i % 6)) for i in range(60)] + [(None, 7, b"hot"), (None, 0, None), (70, 0, None), (71, 3, b"new")]
+    found = [(b"hot", 1, 30)] + [(b"cold%d" % k, 100 + k, 10) for k in (0, 2, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, n int, key binary")
+    named = spark.createDataFrame(found, "key binary, group long, copies long")
+    want = sorted(((d, n, k, {a: b for a, b, _ in found}.get(k)) for d, n, k in rows), key=str)
+    for few in (lambda x: x, jaccard.small):
+        monkeypatch.setattr(jaccard, "small", few)
+        got = [(r.doc_id, r.n, bytes(r.key) if r.key is not None else None, r.group) for r in jaccard.grouped(df, named).select("doc_id", "n", "key", "group").collect()]
+        assert sorted(got, key=str) == want
