@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.safe import log, ratio, require_columns, seconds
+from barloom.functions.safe import log_ratio, ratio, require_columns, seconds
 from barloom.functions.smoothing import ewm_std, ewma
 
 KEYS = ["root", "instrument_id"]
@@ -52,12 +52,12 @@ def with_parent(sub: DataFrame, minutes: int) -> DataFrame:
 
 def bar_return() -> Column:
     """log(close / open)."""
-    return log(ratio("close", "open"))
+    return log_ratio("close", "open")
 
 
 def close_return() -> Column:
     """Log return from the instrument's last bar, across sessions."""
-    return log(ratio(F.col("close"), F.lag("close").over(order())))
+    return log_ratio(F.col("close"), F.lag("close").over(order()))
 
 
 def close_location() -> Column:
@@ -80,13 +80,13 @@ def parent_bars(sub: DataFrame, minutes: int, subs: bool = False) -> DataFrame:
 
 def parkinson() -> Column:
     """V2: high-low variance."""
-    return F.pow(log(ratio("high", "low")), F.lit(2.0)) / (4 * math.log(2))
+    return F.pow(log_ratio("high", "low"), F.lit(2.0)) / (4 * math.log(2))
 
 
 def garman_klass() -> Column:
     """V1: range variance; without range the squared return, Parkinson where it is negative, null where it is 0."""
     r = F.pow(bar_return(), F.lit(2.0))
-    gk = 0.5 * F.pow(log(ratio("high", "low")), F.lit(2.0)) - (2 * math.log(2) - 1) * r
+    gk = 0.5 * F.pow(log_ratio("high", "low"), F.lit(2.0)) - (2 * math.log(2) - 1) * r
     return F.nullif(F.when(F.col("high") == F.col("low"), r).when(gk < 0, parkinson()).otherwise(gk), F.lit(0.0))
 
 
@@ -159,8 +159,8 @@ def _yang_zhang(w, n: int) -> Column:
 
 
 def with_yang_zhang(df: DataFrame, n: int = 20, name: str = "sigma_yz") -> DataFrame:
-    rs = log(ratio("high", "close")) * log(ratio("high", "open")) + log(ratio("low", "close")) * log(ratio("low", "open"))
-    df = df.withColumn("_night", log(ratio(F.col("open"), F.lag("close").over(order())))).withColumn("_day", bar_return()).withColumn("_rs", rs)
+    rs = log_ratio("high", "close") * log_ratio("high", "open") + log_ratio("low", "close") * log_ratio("low", "open")
+    df = df.withColumn("_night", log_ratio(F.col("open"), F.lag("close").over(order()))).withColumn("_day", bar_return()).withColumn("_rs", rs)
     return df.withColumn(name, _yang_zhang(trailing(n), n)).drop("_night", "_day", "_rs")
 
 
