@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.cdf import normal_cdf, signed_imbalance, student_t_cdf, t_constant
-from barloom.functions.safe import col, finite, log, ratio
+from barloom.functions.safe import col, finite, log, log_ratio, ratio, sign
 from barloom.functions.smoothing import ewma
 from barloom.operators.bars import (
     GAP, KEYS, SPAN, WARMUP, bar_return, close_return, full, order, parent_bars, sigma_concurrent, sigma_session, trailing, with_yang_zhang,
@@ -32,10 +32,16 @@ def parameter_table(spark, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame([(r, float(n), float(m), float(s), t_constant(n)) for r, n, m, s in rows], "root string, nu double, loc double, scale double, t_c double")
 
 
+def buy_fraction(z: str | Column) -> Column:
+    """C3 by the row's parameters (nu, loc, scale, t_c); an infinite z, which only a price of 0 gives, has none: NaN."""
+    z = col(z)
+    return F.when(F.abs(z) == float("inf"), float("nan")).otherwise(student_t_cdf(z, F.col("nu"), F.col("loc"), F.col("scale"), F.col("t_c")))
+
+
 def with_flow(df: DataFrame, parameters: DataFrame, z: str = "z") -> DataFrame:
     """v_buy_t and imbalance_t by the root's parameters."""
     df = df.join(F.broadcast(parameters), "root", "left")
-    return df.withColumn("v_buy_t", student_t_cdf(z, F.col("nu"), F.col("loc"), F.col("scale"), F.col("t_c"))).withColumn("imbalance_t", signed_imbalance("v_buy_t"))
+    return df.withColumn("v_buy_t", buy_fraction(z)).withColumn("imbalance_t", signed_imbalance("v_buy_t"))
 
 
 def gaussian_flow(z: str | Column = "z") -> Column:
@@ -66,8 +72,8 @@ def subbar_features(sub: DataFrame, parameters: DataFrame, minutes: int, sigma_m
     kept = [c for c in parents.columns if c not in (*KEYS, "ts", "subs", "nu", "loc", "scale", "t_c")]
     each = parents.withColumn("_s", F.explode_outer("subs")).withColumns({"_r": F.col("_s.r"), "_v": F.col("_s.volume")}).drop("subs", "_s")
     known = F.col("log_ret").isNotNull() & F.col("sigma_gk").isNotNull() & F.col("_r").isNotNull()
-    same = F.when(F.col("log_ret") == 0, 0.5).otherwise((F.signum("_r") == F.signum("log_ret")).cast("double"))
-    tilt = signed_imbalance(student_t_cdf(ratio("_r", "sigma_gk"), F.col("nu"), F.col("loc"), F.col("scale"), F.col("t_c")))
+    same = F.when(F.col("log_ret") == 0, 0.5).otherwise((sign("_r") == sign("log_ret")).cast("double"))
+    tilt = signed_imbalance(buy_fraction(ratio("_r", "sigma_gk")))
     out = each.groupBy(*KEYS, "ts").agg(
         *[F.first(c).alias(c) for c in kept], F.avg(F.when(known, same)).alias("sign_concordance"), F.try_divide(F.sum(F.when(known, tilt * F.col("_v"))), F.sum(F.when(known, F.col("_v")))).alias("subbar_imbalance")
     )
@@ -114,7 +120,7 @@ def gel_fraction() -> Column:
 def wick_asymmetry() -> Column:
     """X13."""
     body = F.col("open").isNotNull() & F.col("close").isNotNull()
-    return F.when(body, log(ratio("high", F.greatest("open", "close"))) - log(ratio(F.least("open", "close"), "low")))
+    return F.when(body, log_ratio("high", F.greatest("open", "close")) - log_ratio(F.least("open", "close"), "low"))
 
 
 def amihud() -> Column:
@@ -129,7 +135,7 @@ def polar_order(n: int = 50) -> Column:
 
 def geometry(df: DataFrame, sigma: str = "sigma_gk", yz_bars: int = 20, polar_bars: int = 50) -> DataFrame:
     """X11 to X16 and V9 as columns."""
-    df = with_yang_zhang(df, yz_bars).withColumn("_sign", F.signum(F.coalesce(close_return(), F.lit(0.0))))
+    df = with_yang_zhang(df, yz_bars).withColumn("_sign", sign(F.coalesce(close_return(), F.lit(0.0))))
     return (
         df.withColumn("body_to_range", body_to_range()).withColumn("gel_fraction", gel_fraction()).withColumn("wick_asymmetry", wick_asymmetry())
         .withColumn("amihud", amihud()).withColumn("ko_W", F.col(sigma) * F.col("close") * F.col("volume")).withColumn("polar_order_P", polar_order(polar_bars)).drop("_sign")
