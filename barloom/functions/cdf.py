@@ -87,8 +87,8 @@ def two_sided_t(t: Column, freedom: Column) -> Column:
 
 
 def normal_cdf(x: str | Column) -> Column:
-    """Phi(x), with x clipped to +-8.5."""
-    z = F.least(F.greatest(col(x), F.lit(-8.5)), F.lit(8.5))
+    """Phi(x), with x clipped to +-8.5; one half for NaN."""
+    z = F.least(F.greatest(F.nanvl(col(x), F.lit(0.0)), F.lit(-8.5)), F.lit(8.5))
     z = F.when(col(x).isNotNull(), z)
     total = sum((F.lit(w) * F.exp(-F.pow(z * ((1 + n) / 2), F.lit(2.0)) / 2) for n, w in zip(_NODES, _WEIGHTS)), F.lit(0.0))
     return F.lit(0.5) + z / 2 * total / math.sqrt(2 * math.pi)
