@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.cdf import detectable_effect, wilson, z_against_half
-from barloom.functions.safe import log, ratio, seconds
+from barloom.functions.safe import log_ratio, ratio, seconds, sign
 from barloom.operators.bars import KEYS, order
 
 GATES = ("A", "B", "C")
@@ -43,7 +43,7 @@ def with_gates(df: DataFrame, gap: int, n: int = 20, median_n: int = 50, valid:
 def with_forward(df: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """Df with ``forward``, structs (horizon, fwd): log return h bars ahead in the same session, else null."""
     w = order()
-    each = [F.struct(F.lit(h).alias("horizon"), F.when(F.lead("session_id", h).over(w) == F.col("session_id"), log(ratio(F.lead("close", h).over(w), F.col("close")))).alias("fwd")) for h in horizons]
+    each = [F.struct(F.lit(h).alias("horizon"), F.when(F.lead("session_id", h).over(w) == F.col("session_id"), log_ratio(F.lead("close", h).over(w), F.col("close"))).alias("fwd")) for h in horizons]
     return df.withColumn("forward", F.array(*each))
 
 
@@ -93,8 +93,8 @@ def forward_returns(df: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> Data
 def scored(events: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """events (with ``forward``) by horizon with ``hit``: 1 or 0 where both signs are known and not 0, else null."""
     both = events.withColumn("f", F.explode(F.filter("forward", lambda f: f["horizon"].isin(*horizons)))).select(*[c for c in events.columns if c != "forward"], "f.*")
-    ok = F.col("fwd").isNotNull() & (F.signum("imbalance_t") != 0) & (F.signum("fwd") != 0)
-    return both.withColumn("hit", F.when(ok, (F.signum("imbalance_t") == F.signum("fwd")).cast("int")))
+    ok = F.col("fwd").isNotNull() & (sign("imbalance_t") != 0) & (sign("fwd") != 0)
+    return both.withColumn("hit", F.when(ok, (sign("imbalance_t") == sign("fwd")).cast("int")))
 
 
 def accuracy(hits: DataFrame, keys: list[str]) -> DataFrame:
