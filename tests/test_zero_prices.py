@@ -31,7 +31,7 @@ def rows(found):
     return collections.Counter(tuple("NaN" if isinstance(v, float) and math.isnan(v) else v for v in r) for r in found)
 
 
-@pytest.mark.parametrize("name", ["b2_parent_bars", "c1_c2_clean_z", "c3_c5_student_flow", "c4_gaussian_flow", "d2_d5_gates", "d6_thresholds", "d7_d8_events", "d10_d12_cells", "d10_d16_d20_cells", "d14_event_counts", "d15_sanity", "d17_cross_cutting", "d18_best"])
+@pytest.mark.parametrize("name", ["b2_parent_bars", "c1_c2_clean_z", "c3_c5_student_flow", "c4_gaussian_flow", "d2_d5_gates", "d6_thresholds", "d7_d8_events", "d10_d12_cells", "d10_d16_d20_cells", "d14_event_counts", "d15_sanity", "d17_cross_cutting", "d18_best", "d19_d20_horizon_decay", "x1_x7_subbar_features"])
 def test_as_sql(spark, zeroed, name):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
