@@ -3,8 +3,8 @@
 The words of all texts are counted once; the most frequent ones (about ``LEXICON_WORDS``, found by a histogram of
 counts, so that only they reach the driver) are merged there and compiled into a shared-suffix automaton whose arcs
 carry word numbers, so a walk yields the place of the word's token ids. The automaton is one byte string of bounded
-size; each executor keeps it in one file that its Python workers memory-map. Words that it doesn't hold are merged
-exactly by rank. Walks and merges run over all new words of a slice of texts at once, in numpy.
+size; each Python worker memory-maps it from a file without a name, which goes with the worker. Words that it doesn't
+hold are merged exactly by rank. Walks and merges run over all new words of a slice of texts at once, in numpy.
 
 Defined results: a null or empty text has no tokens; repeated rows are encoded alike; only the id and text
 columns are read, so other columns and their names don't matter; an empty table gives no rows.
@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
-import os
 import re
 import tempfile
 import unicodedata
@@ -249,12 +248,9 @@ class Lexicon:
         return head + b"".join(map(pad, parts))
 
     def __init__(self, blob: bytes):
-        name = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(blob).hexdigest()[:32]}")
-        if not os.path.exists(name):
-            with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
-                f.write(blob)
-            os.replace(f.name, name)
-        with open(name, "rb") as f:
+        with tempfile.TemporaryFile() as f:
+            f.write(blob)
+            f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         sizes = np.frombuffer(self.map, np.int64, 6)
         starts = 48 + np.concatenate([[0], np.cumsum((sizes + 7) // 8 * 8)])

@@ -78,3 +78,10 @@ def test_merges_and_walks_of_many_words_at_once(spark):
     docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
     one, two = bpe.encode(docs, PATH, words=9, decoded=True), bpe.decode(bpe.encode(docs, PATH, words=9), PATH)
     assert sorted(map(tuple, one.collect()), key=lambda r: r[0]) == sorted(map(tuple, two.collect()), key=lambda r: r[0])
+
+
+def test_lexicon_leaves_no_file(tmp_path, monkeypatch):
+    monkeypatch.setattr("tempfile.tempdir", str(tmp_path))
+    lexicon = bpe.Lexicon(bpe.Lexicon.build({b"the": [5, 6], b"then": [7]}))
+    assert not list(tmp_path.iterdir())
+    assert [lexicon.get(w) for w in (b"the", b"then", b"th")] == [np.array(x, "<i4").tobytes() if x else None for x in ([5, 6], [7], None)]
