@@ -3,8 +3,8 @@
 A paragraph ends at a blank line (comment marks aside) or at a line that ends a sentence, so that a notice that is wrapped
 over lines is one paragraph, and a line of its own too. A multinomial logistic regression over word bigrams names the
 licence family of a paragraph. It is trained on the notices below, whole and in parts, against an unknown class: sentences
-about licences that grant none, and paragraphs of a bounded sample of the scanned texts, less those that the comparison
-below confirms for any notice: else the commonest licences would be learnt as unknown. A family that shares its wording
+about licences that grant none, and all paragraphs of the scanned texts, less those that the comparison below confirms for any
+notice: else the commonest licences would be learnt as unknown. They are counted as patterns of the notices' bigrams. A family that shares its wording
 with others (``PROOF``) is open only to a paragraph that has one of its own word pairs, such as ``version 3``, and closed to
 one that has those of a family named after it. A paragraph is a hit if its family's probability reaches a cut-off that was
 set on held-back unknown paragraphs, and if the comparison with the family's notices confirms it: enough of the shorter
@@ -66,13 +66,15 @@ NO_GRANT = [
     "The version 2 of the report was released in May.", "Fishing licenses are issued by the county.", "He was granted permission to use the source of the river.",
 ]
 UNKNOWN = "unknown"
-#: Texts that are sampled, and of their paragraphs how many train and calibrate the unknown class, at most about.
-SAMPLE_TEXTS, SAMPLE_PARAGRAPHS = 250, 2_000
+#: What all scanned paragraphs that train the unknown class weigh together; a notice weighs 1.
+UNKNOWN_WEIGHT = 1_000.0
 #: Hits of a family at most so many paragraphs apart are one notice.
 NEAR = 6
 #: The share of held-back unknown paragraphs that may pass the cut-off, and the least cut-off.
 FALSE_SHARE, LEAST = 0.001, 0.5
 CONFIRM = 0.6
+#: The cut-off is found to 1 / STEPS.
+STEPS = 10_000
 
 
 def words(text: Column) -> Column:
@@ -99,66 +101,78 @@ def notices(spark: SparkSession) -> DataFrame:
     return df.select("family", "notice", bigrams(F.col("w")).alias("grams"), "w")
 
 
-def confirmed(rows: DataFrame) -> DataFrame:
-    """(text_key, par) of the rows (text_key, par, grams) that the comparison with any notice confirms."""
-    held = notices(rows.sparkSession).select("notice", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    found = rows.select("text_key", "par", F.size("grams").alias("size"), F.explode_outer("grams").alias("gram"))
-    found = found.join(F.broadcast(held), "gram").dropDuplicates(["text_key", "par", "notice", "gram"])
-    found = found.groupBy("text_key", "par", "size", "notice", "n").agg(F.count("*").alias("k"))
-    return found.filter(F.col("k") / F.least("n", "size") >= CONFIRM).select("text_key", "par").distinct()
+def matched(docs: DataFrame) -> DataFrame:
+    """(text_key, par, size, n, grams, proved, sure, of) of every paragraph of two words or more with a word pair of the
+    notices or proofs: size counts its pairs, n the rows of its text, grams are the pairs met; sure tells whether the
+    comparison with any notice confirms it, and of lists (notice, family, n) of each pair then."""
+    spark = docs.sparkSession
+    held = notices(spark).select("notice", "family", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    held = held.groupBy("gram").agg(F.collect_list(F.struct("notice", "family", "n")).alias("of"))
+    proofs = spark.createDataFrame([(g, [f for f, own in PROOF.items() if g in own]) for g in sorted({g for own in PROOF.values() for g in own})], "gram string, proves array<string>")
+    rows = paragraphs(docs).filter(F.size("w") > 1).select("text_key", "par", bigrams(F.col("w")).alias("grams"))
+    # The outer form adds no filter on the array, which the optimizer would push down into the splitting of paragraphs.
+    rows = rows.select("text_key", "par", F.size("grams").alias("size"), F.explode_outer("grams").alias("gram"))
+    met = rows.join(F.broadcast(held.join(proofs, "gram", "full")), "gram")
+    met = met.groupBy("text_key", "par", "size", "gram").agg(F.first("of").alias("of"), F.first("proves").alias("proves"), F.count("*").alias("n"))
+    met = met.groupBy("text_key", "par", "size").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("gram")).alias("grams"), F.flatten(F.collect_list("of")).alias("of"), F.flatten(F.collect_set("proves")).alias("proved"))
+    sure = F.exists(F.array_distinct("of"), lambda o: F.size(F.filter("of", lambda x: x["notice"] == o["notice"])) / F.least(o["n"], F.col("size")) >= CONFIRM)
+    return written(met.withColumn("sure", sure).withColumn("of", F.when(F.col("sure"), F.col("of"))))
 
 
-def training_paragraphs(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """(family, grams, held): notices whole and without their ends, sentences that grant nothing, and sampled paragraphs."""
+def training_paragraphs(docs: DataFrame, spark: SparkSession, met: DataFrame | None = None) -> DataFrame:
+    """(family, grams, held, weight): notices whole and without their ends, sentences that grant nothing, and all
+    unconfirmed paragraphs of docs, as the patterns of notice pairs that they have, weighted by how often each occurs."""
     whole = notices(spark)
     cuts = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.slice("w", i + 1, F.greatest(F.size("w") - 2 * i, F.least(F.size("w"), F.lit(3)))))
-    parts = whole.select("family", F.explode(cuts).alias("w")).filter(F.size("w") > 2).select("family", bigrams(F.col("w")).alias("grams"), F.lit(False).alias("held"))
+    parts = whole.select("family", F.explode(cuts).alias("w")).filter(F.size("w") > 2).select("family", bigrams(F.col("w")).alias("grams"))
     none = spark.createDataFrame([(t,) for t in NO_GRANT], "text string").select(F.lit(UNKNOWN).alias("family"), words(F.col("text")).alias("w"))
-    none = none.select("family", bigrams(F.col("w")).alias("grams"), F.lit(False).alias("held"))
-    drawn = lambda *c, seed: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    some = written(paragraphs(docs.filter(drawn("text", seed=7) < SAMPLE_TEXTS / max(docs.count(), 1))))
-    some = some.filter(drawn("text_key", "par", seed=11) < SAMPLE_PARAGRAPHS / max(some.count(), 1))  # a text may have any number
-    some = some.select("text_key", "par", bigrams(F.col("w")).alias("grams"))
-    some = some.join(confirmed(some), ["text_key", "par"], "left_anti")
-    some = some.select(F.lit(UNKNOWN).alias("family"), "grams", (F.pmod("par", F.lit(2)) == 1).alias("held"))
-    return parts.unionByName(none).unionByName(some)
-
-
-def train(docs: DataFrame, spark: SparkSession):
+    fixed = parts.unionByName(none.select("family", bigrams(F.col("w")).alias("grams"))).withColumns({"held": F.lit(False), "weight": F.lit(1.0)})
+    met, held = matched(docs) if met is None else met, F.pmod("par", F.lit(2)) == 1
+    some = met.filter("NOT sure").groupBy("grams", held.alias("held")).agg(F.sum("n").alias("n"))
+    every = paragraphs(docs).filter(F.size("w") > 1).groupBy(held.alias("held")).agg(F.count("*").alias("n"))
+    rest = every.join(met.groupBy(held.alias("held")).agg(F.sum("n").alias("met")), "held", "left")  # those without any pair
+    rest = rest.select(F.array().cast("array<string>").alias("grams"), "held", (F.col("n") - F.coalesce("met", F.lit(0))).alias("n")).filter("n > 0")
+    some = written(some.unionByName(rest))
+    total = some.groupBy("held").agg(F.sum("n").alias("total"))
+    some = some.join(F.broadcast(total), "held").select(F.lit(UNKNOWN).alias("family"), "grams", "held", (F.col("n") / F.col("total") * UNKNOWN_WEIGHT).alias("weight"))
+    return fixed.unionByName(some)
+
+
+def train(docs: DataFrame, spark: SparkSession, met: DataFrame | None = None):
     """(weights, constants, cut-off): (bigram -> weight of each class), both small and fixed in size."""
     grams = sorted({g for r in notices(spark).select("grams").collect() for g in r.grams})
     vectors = CountVectorizerModel.from_vocabulary(grams, inputCol="grams", outputCol="features", minTF=1.0)
     vectors.setBinary(True)
-    known = written(training_paragraphs(docs, spark))  # a few thousand rows, drawn by a parallel scan
-    texts = vectors.transform(known.coalesce(1)).cache()
+    texts = vectors.transform(written(training_paragraphs(docs, spark, met))).cache()
     order = [*NOTICES, UNKNOWN]
     label = F.array_position(F.array(*[F.lit(f) for f in order]), F.col("family")).cast("double") - 1
-    model = LogisticRegression(family="multinomial", regParam=3e-4, maxIter=30).fit(texts.filter("NOT held").select("features", label.alias("label")))
+    model = LogisticRegression(family="multinomial", regParam=3e-4, maxIter=30, weightCol="weight").fit(texts.filter("NOT held").select("features", label.alias("label"), "weight"))
     matrix, constants = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     weights = {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(grams)}
-    chance = model.transform(texts.filter("held").select("features"))
-    passed = chance.select((1 - F.element_at(vector_to_array("probability"), len(order))).alias("p")).agg(F.percentile("p", 1 - FALSE_SHARE)).first()[0]
+    chance = model.transform(texts.filter("held").select("features", "weight")).select((1 - F.element_at(vector_to_array("probability"), len(order))).alias("p"), "weight")
+    steps = chance.filter(F.col("p") >= LEAST).groupBy(F.floor(F.col("p") * STEPS).alias("step")).agg(F.sum("weight").alias("weight"))
+    passed, above = 0.0, 0.0
+    for r in steps.orderBy(F.desc("step")).collect():  # at most STEPS rows
+        above += r.weight
+        if above > FALSE_SHARE * UNKNOWN_WEIGHT:
+            passed = (r.step + 1) / STEPS
+            break
     texts.unpersist()
-    return weights, [float(c) for c in constants], max(LEAST, min(0.95, passed or 0.0)), order
+    return weights, [float(c) for c in constants], max(LEAST, min(0.95, passed)), order
 
 
 def scan(docs: DataFrame, model=None) -> DataFrame:
     """(text_key, par, family, p, overlap) of every paragraph that is a hit; docs: (text); model: what ``train`` gives."""
-    spark = docs.sparkSession
-    weights, constants, cut, order = model or train(docs, spark)
+    spark, met = docs.sparkSession, matched(docs)
+    weights, constants, cut, order = model or train(docs, spark, met)
     none = [0.0] * len(order)
     proofs = {g for own in PROOF.values() for g in own}
-    table = spark.createDataFrame([(g, weights.get(g, none), [f for f, own in PROOF.items() if g in own]) for g in sorted({*weights, *proofs})], "gram string, weights array<double>, proves array<string>")
-    fixed = notices(spark)
-    held = fixed.select("notice", "family", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    table = table.join(held.groupBy("gram").agg(F.collect_list(F.struct("notice", "family", "n")).alias("of")), "gram", "left")
-    rows = paragraphs(docs).filter(F.size("w") > 1).select("text_key", "par", bigrams(F.col("w")).alias("grams"))
-    # The outer form adds no filter on the array, which the optimizer would push down into the splitting of paragraphs.
-    rows = rows.select("text_key", "par", F.size("grams").alias("size"), F.explode_outer("grams").alias("gram"))
-    found = rows.join(F.broadcast(table), "gram").dropDuplicates(["text_key", "par", "gram"])
+    table = spark.createDataFrame([(g, weights.get(g, none)) for g in sorted({*weights, *proofs})], "gram string, weights array<double>")
     sums = [F.sum(F.get("weights", k)).alias(f"s{k}") for k in range(len(order))]
     keys = ["text_key", "par", "size"]
-    lined = found.groupBy(*keys).agg(*sums, F.flatten(F.collect_list("of")).alias("of"), F.flatten(F.collect_set("proves")).alias("proved"))
+    # Only what a notice confirms can become a hit.
+    rows = met.filter("sure").select(*keys, "of", "proved", F.explode("grams").alias("gram"))
+    lined = rows.join(F.broadcast(table), "gram").groupBy(*keys).agg(*sums, F.first("of").alias("of"), F.first("proved").alias("proved"))
     has = lambda f: F.array_contains("proved", f)
     scores = []
     for k, f in enumerate(order):

@@ -153,3 +153,13 @@ def test_scan_against_plain_python(spark):
     keyed = docs.select(F.md5("text").alias("text_key"), "text").distinct()
     got = {(x.text, x.par, x.family) for x in licenses.scan(docs, model).join(keyed, "text_key").collect()}
     assert got == want and len(want) > 60
+
+
+def test_every_paragraph_trains(spark):
+    rows = [(i, f"the river of the license runs here {i}\n\nplain prose number {i} of the day\n\nplain prose again") for i in range(900)] + [(900, "the river of the license runs here 0")] + [(901, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shown = licenses.training_paragraphs(docs, spark).filter("family = 'unknown'").groupBy("held").agg({"weight": "sum"}).collect()
+    sums = {r.held: r[1] for r in shown}
+    assert abs(sums[False] - licenses.UNKNOWN_WEIGHT - len(licenses.NO_GRANT)) < 1e-6 and abs(sums[True] - licenses.UNKNOWN_WEIGHT) < 1e-6
+    met = licenses.matched(docs)
+    assert {r.n for r in met.collect()} == {1} and met.filter("array_contains(grams, 'the license')").count() == 901
