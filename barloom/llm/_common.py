@@ -92,6 +92,22 @@ def attach(rows: DataFrame, found: DataFrame, key: str, spread: Column) -> DataF
     return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], "left").drop("_salt")
 
 
+#: A key that more than one in HOT_SHARE rows hold is hot; so there are fewer than HOT_SHARE of these at any size.
+HOT_SHARE = 4096
+
+
+def attach_shuffled(rows: DataFrame, found: DataFrame, key: str, spread: Column) -> DataFrame:
+    """As attach(), but whatever the size of ``found``, only the part of it that hot keys find may go through the driver;
+    other rows are shuffled by key. ``rows`` is read twice."""
+    least = rows.count() // HOT_SHARE
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    hot = written(counts.filter(F.col("_n") > least).select(key))
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    apart = F.col(key).isNull() | F.col("_hot").isNotNull()
+    few = attach(marked.filter(apart).drop("_hot"), written(found.join(F.broadcast(hot), key, "left_semi")), key, spread)
+    return marked.filter(~apart).drop("_hot").join(found, key, "left").unionByName(few)
+
+
 def ship(spark: SparkSession, value):
     """A broadcast of a value whose size the caller has bounded."""
     light_batches(spark)

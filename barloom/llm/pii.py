@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm._common import attach, written
+from barloom.llm._common import attach, attach_shuffled, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
@@ -260,8 +260,8 @@ def examine(docs: DataFrame) -> DataFrame:
     found = spans(docs.select("text")).select("text_key", F.struct("start", rank(F.col("kind")).alias("rank"), "kind", "stop", "base").alias("s"))
     found = written(found.groupBy("text_key").agg(F.array_sort(F.collect_list("s")).alias("spans")))
     kind = dict(found.dtypes)["spans"]
-    keyed = docs.select("doc_id", F.md5("text").alias("text_key"))
-    return attach(keyed, found, "text_key", F.col("doc_id")).select("doc_id", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
+    keyed = written(docs.select("doc_id", F.md5("text").alias("text_key")))
+    return attach_shuffled(keyed, found, "text_key", F.col("doc_id")).select("doc_id", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import pii
+from barloom.llm import _common, pii
 from barloom.llm.queries import op6_weak_supervision
 
 FIXED = {
@@ -134,3 +134,14 @@ def test_query_against_brute_force(spark, d):
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), docs[r.doc_id]
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k) for x in want) for k in FIXED]
         assert set(want) <= set(r.spans.split(",")) | {""}
+
+
+def test_spans_of_rare_texts_are_not_broadcast(spark, monkeypatch):
+    """What is broadcast stays under HOT_SHARE texts, however many texts have spans."""
+    docs = spark.createDataFrame([(i, f"write to name{i}@mail{i}.org" if i % 4 else "call +49 30 1234567 now") for i in range(200)], "doc_id long, text string")
+    want = {(r.doc_id, str(r.spans)) for r in pii.examine(docs).collect()}
+    monkeypatch.setattr(_common, "HOT_SHARE", 10)
+    sent, attach = [], _common.attach
+    monkeypatch.setattr(_common, "attach", lambda rows, found, *a: (sent.append(found.count()), attach(rows, found, *a))[1])
+    assert {(r.doc_id, str(r.spans)) for r in pii.examine(docs).collect()} == want and len(want) == 200
+    assert sent == [1]
