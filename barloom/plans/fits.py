@@ -119,7 +119,8 @@ SELECT root, n, extreme_a, extreme_b, """ + ", ".join(f"round({c}, 6) + 0 AS {c}
 )
 def f8(spark, d):
     v = variants(spark, d)
-    skew = v.groupBy("root").agg(F.skewness("z_a").alias("skew_a"), F.skewness("z_b").alias("skew_b"))
+    still = lambda c: F.coalesce(F.skewness(c), F.lit(float("nan")))  # noqa: E731  equal values have no skewness
+    skew = v.groupBy("root").agg(still("z_a").alias("skew_a"), still("z_b").alias("skew_b"))
     return rounded(Q.compare_variants(v, ["root"], "z_a", "z_b", "sigma_a", "sigma_b").join(skew, "root").withColumn("verdict", Q.skew_verdict(F.col("skew_a"), F.col("skew_b"))))
 
 
