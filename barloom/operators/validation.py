@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.safe import correlation
+
 
 def long(df: DataFrame, features: list[str]) -> DataFrame:
     return df.select("root", *features).unpivot(["root"], features, "feature", "value")
@@ -30,9 +34,10 @@ def range_check(df: DataFrame, expected: DataFrame, valid: str = "is_valid_bar")
 
 
 def correlations(df: DataFrame, features: list[str], high: float = 0.85, expected: tuple = ()) -> DataFrame:
-    """Pearson r of each pair on complete rows, high pairs that aren't expected, and how orthogonal they are."""
-    whole = df.dropna(subset=features)
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in combinations(features, 2)]
+    """Pearson r of each pair on rows without a null (NaN is a value), high pairs that aren't expected, and how
+    orthogonal they are; r is null where a feature stands still."""
+    whole = df.filter(reduce(and_, (F.col(c).isNotNull() for c in features)))
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(a, b).alias("r")) for a, b in combinations(features, 2)]
     out = whole.groupBy("root").agg(F.count("*").alias("n"), F.array(*pairs).alias("p")).select("root", "n", F.explode("p").alias("p")).select("root", "p.a", "p.b", "n", "p.r")
     exempt = F.lit(False)
     for a, b in expected:
